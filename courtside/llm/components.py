@@ -1,0 +1,27 @@
+"""Connected components of an edge table, by minimum labels with pointer jumping."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of any orderable type -> (node, component): the least node it is connected with.
+
+    Each pass takes the least label among a node and its neighbours, then the label of that label; the passes are about
+    as many as the logarithm of the longest chain. Labels are kept in the shared folder between passes. A hot node's
+    labels are reduced before they are shuffled, and its joins are plain ones that Spark can split.
+    """
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
+        heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
+        nearer = saved(labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("m")))
+        up = nearer.select(F.col("node").alias("m"), F.col("m").alias("up"))
+        jumped = saved(nearer.join(up, "m", "left").select("node", "component", F.least("m", F.coalesce("up", "m")).alias("m")))
+        done = jumped.where("m <> component").isEmpty()
+        labels = jumped.select("node", F.col("m").alias("component"))
+        if done:
+            return labels

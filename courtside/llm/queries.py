@@ -4,10 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, language_id, licenses, packing, secrets
+from . import binary_output, decontamination, language_id, licenses, near_dedup, packing, secrets
 from .common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fit(docs))
@@ -46,5 +50,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_decontamination, op5_language_id, op7_packing, op9_license_scan, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op4_decontamination, op5_language_id, op7_packing, op9_license_scan, op10_binary_output)}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.ORACLE_SQL}
