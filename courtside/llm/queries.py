@@ -4,14 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, language_id, licenses, near_dedup, packing, secrets
-from .common import table
+from . import binary_output, decontamination, language_id, licenses, near_dedup, packing, secrets, spotsigs, token_rollup
+from .common import fresh_path, table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fresh_path(spark, "ledger"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.fit(docs))
@@ -36,6 +40,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compared(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,5 +58,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op4_decontamination, op5_language_id, op7_packing, op9_license_scan, op10_binary_output)}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_rollup, op3_secret_scan, op4_decontamination, op5_language_id, op6_spot_signatures, op7_packing, op9_license_scan, op10_binary_output)}
+ORACLE_SQL: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE_SQL, "op4_decontamination": decontamination.ORACLE_SQL}
