@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, decontamination, language_id, licenses, near_dedup, packing, secrets, spotsigs, token_rollup
+from . import binary_output, decontamination, language_id, licenses, lm_scoring, near_dedup, packing, secrets, spotsigs, token_rollup
 from .common import fresh_path, table
 
 
@@ -48,6 +48,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -58,5 +62,5 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_rollup, op3_secret_scan, op4_decontamination, op5_language_id, op6_spot_signatures, op7_packing, op9_license_scan, op10_binary_output)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_rollup, op3_secret_scan, op4_decontamination, op5_language_id, op6_spot_signatures, op7_packing, op8_lm_scoring, op9_license_scan, op10_binary_output)}
 ORACLE_SQL: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE_SQL, "op4_decontamination": decontamination.ORACLE_SQL}
