@@ -1,3 +1,23 @@
-"""All queries of the library by name, each with the SQL that gives the same rows."""
+"""All queries of the library by name, each with the SQL that gives the same rows where SQL can."""
+from __future__ import annotations
+
+import importlib
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+for _name in ("reshape", "lookups", "aggregates", "ordered", "kernels", "statistics", "structures", "models", "live"):
+    importlib.import_module(f"courtside.plans.{_name}")
