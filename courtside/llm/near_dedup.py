@@ -161,69 +161,56 @@ def _verified(least: float):
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, words as hashes) of the given ids; they are broadcast only while they are known to be few."""
-    ids = saved(ids)
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     there = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
     hashed = _hashed_words(there).select(F.col("doc_id").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
     return saved(hashed.dropDuplicates(["id"]))
 
 
-def classes(docs: DataFrame, least: float = LEAST, few: int = 4, most_rounds: int = 12) -> DataFrame:
+def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that are near-duplicates: first by their registers, then by their words."""
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("id").alias(side), F.col("marks").alias(f"marks_{side}")), side)
+    likely = pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(_alike, "a long, b long")
+    for side in ("a", "b"):
+        likely = likely.join(texts.select(F.col("id").alias(side), F.col("words").alias(f"words_{side}")), side)
+    return saved(likely.select("a", "b", "words_a", "words_b").mapInArrow(_verified(least), "a long, b long"))
+
+
+def classes(docs: DataFrame, least: float = LEAST, few: int = 8, most_rounds: int = 6) -> DataFrame:
     """(doc_id, class_id) for each row: the least doc_id among the texts linked with it, directly or through others.
 
-    few: how many pairs for each text may be left when the leaders' rounds give way to all that are left.
+    few: how many pairs for each text that shares a band may be left when the leaders' rounds give way to all that are left.
     """
     docs = docs.select("doc_id", "text")
     words = _hashed_words(docs.where(F.col("doc_id").isNotNull()))
     keyed = words.select("doc_id", F.md5(F.array_join("words", " ")).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     signed = saved(keyed.mapInArrow(_signed, "doc_id long, text_key string, bands array<long>, marks binary"))
     texts = saved(signed.groupBy("text_key").agg(F.min("doc_id").alias("id")))
-    own = saved(signed.join(texts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "marks"))
-    marks = own.select("id", "marks")
-    members = own.select("id", F.col("id").alias("component"), F.explode("bands").alias("bucket"))
+    own = signed.join(texts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "marks")
+    own = saved(own)
+    banded = own.select("id", F.explode("bands").alias("bucket"))
+    shared = saved(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = saved(banded.join(shared.select("bucket"), "bucket", "left_semi").withColumn("component", F.col("id")))
+    near = saved(members.select("id").distinct())
+    near_n = near.count()
+    marks = saved(own.select("id", "marks").join(near, "id", "left_semi"))
+    near_texts = _texts_of(near, docs)
     merged, turn = None, 0
-    while True:
+    while near_n:
         turn += 1
-        # buckets in which more than one component is left, with the pairs of texts of different ones
-        parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        open_ = saved(parts.where("pairs > 0"))
-        left = open_.agg(F.sum("pairs").alias("p"), F.count("*").alias("n")).first()
-        if not left.n:
+        # a bucket's leader is the first by a hash; buckets use several hashes, so that a text meets several leaders
+        ordered = F.xxhash64("id", F.pmod("bucket", F.lit(5)), F.lit(turn))
+        leaders = saved(members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), ordered).alias("leader")))
+        pairs = members.join(leaders, "bucket").where("component <> leader.component").select(F.col("id").alias("a"), F.col("leader.id").alias("b"))
+        merged = _merged(merged, _links(pairs.distinct(), marks, near_texts, least))
+        members, left = _still_apart(members, merged)
+        if not left:
             break
-        members = saved(members.join(open_.select("bucket"), "bucket", "left_semi"))
-        last = turn > 1 and (left.p <= few * left.n or turn > most_rounds)
-        if last:
+        if left <= few * near_n or turn == most_rounds:
             other = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("of_b"))
             pairs = members.join(other, "bucket").where("id < b and component <> of_b").select(F.col("id").alias("a"), "b")
-        else:
-            leaders = saved(members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("leader")))
-            pairs = members.join(leaders, "bucket").where("component <> leader.component").select(F.col("id").alias("a"), F.col("leader.id").alias("b"))
-        pairs = saved(pairs.distinct())
-        marked = pairs.join(marks.select(F.col("id").alias("a"), F.col("marks").alias("marks_a")), "a")
-        marked = marked.join(marks.select(F.col("id").alias("b"), F.col("marks").alias("marks_b")), "b")
-        likely = saved(marked.select("a", "b", "marks_a", "marks_b").mapInArrow(_alike, "a long, b long"))
-        texts_of = _texts_of(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs)
-        full = likely.join(texts_of.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a")
-        full = full.join(texts_of.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-        links = saved(full.select("a", "b", "words_a", "words_b").mapInArrow(_verified(least), "a long, b long"))
-        if not links.isEmpty():
-            # links between texts become links between the components they are in so far
-            if merged is not None:
-                of = merged.withColumnRenamed("node", "id")
-                for side in ("a", "b"):
-                    links = links.join(of.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-            joined = connected_components(links)
-            if merged is None:
-                merged = joined
-            else:
-                step = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
-                moved = merged.join(step, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-                fresh = joined.join(merged, "node", "left_anti")
-                merged = moved.unionByName(fresh)
-            merged = saved(merged)
-            now = merged.select(F.col("node").alias("id"), F.col("component").alias("now"))
-            members = saved(members.join(now, "id", "left").select("id", F.coalesce("now", "component").alias("component"), "bucket"))
-        if last:
+            merged = _merged(merged, _links(pairs.distinct(), marks, near_texts, least))
             break
     found = texts
     if merged is not None:
@@ -235,6 +222,31 @@ def classes(docs: DataFrame, least: float = LEAST, few: int = 4, most_rounds: in
     return classed.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id")))
 
 
+def _merged(merged: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """(node, component) so far, and the links: between texts, so between their components."""
+    if links.isEmpty():
+        return merged
+    if merged is None:
+        return connected_components(links)
+    of = merged.withColumnRenamed("node", "id")
+    for side in ("a", "b"):
+        links = links.join(of.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    joined = connected_components(links)
+    step = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    moved = merged.join(step, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return saved(moved.unionByName(joined.join(merged, "node", "left_anti")))
+
+
+def _still_apart(members: DataFrame, merged: DataFrame | None) -> tuple[DataFrame, int]:
+    """The members of buckets in which texts of several components are left, and the number of their pairs."""
+    if merged is not None:
+        now = merged.select(F.col("node").alias("id"), F.col("component").alias("now"))
+        members = saved(members.join(now, "id", "left").select("bucket", "id", F.coalesce("now", "component").alias("component")))
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs"))
+    apart = saved(parts.where("pairs > 0"))
+    return saved(members.join(apart.select("bucket"), "bucket", "left_semi")), apart.agg(F.sum("pairs")).first()[0] or 0
+
+
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs less all but one (that with the least doc_id) of each class of near-duplicates; rows without an id stay."""
     from .common import without_ids

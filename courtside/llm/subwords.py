@@ -16,7 +16,7 @@ import numpy as np
 END_ID = 1
 VOCAB_FILE = "word_bpe_49k.json"
 #: Words that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def default_path() -> str:

@@ -9,7 +9,7 @@ from courtside.sources.tables import GAMES, RATING, SLOTS, games, rating, slots,
 
 @query(f"""with {GAMES}, {SLOTS} select player, count(*) games, sum(won) wins, count(*) - sum(won) losses, sum(pf) pf, sum(pa) pa,
 count(*) filter (where context = 'mixed') mixed, count(*) filter (where tour = 'MLP') mlp, count(*) filter (where (best_of, game_no) in ((3, 3), (5, 5))) deciding,
-count(*) filter (where greatest(pf, pa) > target) overtime, count(*) filter (where target = 11 and won = 1 and pa <= 5) blowouts from slots where not is_forfeit group by player""")
+count(*) filter (where greatest(pf, pa) > target) overtime, count(*) filter (where target = 11 and won = 1 and pa <= 5) blowouts from slots where not is_forfeit group by player""", wins="bigint", losses="bigint", pf="bigint", pa="bigint")
 def player_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of a player's counters in one aggregate over the four-way expansion."""
     c = F.col
@@ -64,7 +64,7 @@ def margin_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {GAMES}, t as (select context, a1 team, cast(margin > 0 as int) won, margin from games union all select context, b1, cast(margin < 0 as int), -margin from games)
-select context, team, sum(won) games_won, count(*) - sum(won) games_lost, sum(margin) diff from t group by all""")
+select context, team, sum(won) games_won, count(*) - sum(won) games_lost, sum(margin) diff from t group by all""", games_won="bigint", games_lost="bigint", diff="bigint")
 def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda team, sign: F.struct(F.col(team).alias("team"), (F.col("margin") * sign > 0).cast("int").alias("won"), (F.col("margin") * sign).alias("diff"))
     t = games(spark, sf_dir).select("context", F.inline(F.array(side("a1", 1), side("b1", -1))))
@@ -106,7 +106,7 @@ def tail_laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts(spark, sf_dir).where("greatest(p, 1 - p) >= 0.8").groupBy("tour").agg(F.count("*").alias("n"), lost.alias("lost"), F.round((lost + 1) / (F.count("*") + 2), 8).alias("rate"))
 
 
-@query(f"with {GAMES} select least(a1, a2) p, greatest(a1, a2) q, count(*) n, sum(cast(margin > 0 as int)) wins from games group by all")
+@query(f"with {GAMES} select least(a1, a2) p, greatest(a1, a2) q, count(*) n, sum(cast(margin > 0 as int)) wins from games group by all", wins="bigint")
 def pair_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games(spark, sf_dir).groupBy(F.least("a1", "a2").alias("p"), F.greatest("a1", "a2").alias("q")).agg(F.count("*").alias("n"), F.sum((F.col("margin") > 0).cast("int")).alias("wins"))
 

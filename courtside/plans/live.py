@@ -1,0 +1,28 @@
+"""The streaming path run over what is there; its results equal the batch ones."""
+from pyspark.sql import DataFrame, SparkSession
+
+from courtside.catalog import query
+from courtside.sources.storage import fresh_path
+from courtside.streaming import live
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.event_stream(spark, f"{sf_dir}/events.parquet*")
+
+
+@query("select event_id, user_id, event_type from (select *, lag(event_type) over (partition by user_id order by event_id) prev from events) where prev is null or prev <> event_type")
+def live_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.drained(live.changes(_events(spark, sf_dir)), fresh_path(spark, "changes"))
+
+
+@query("select distinct event_id, user_id, event_type from events")
+def live_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = _events(spark, sf_dir)
+    return live.drained(live.deduplicated(twice.unionByName(_events(spark, sf_dir))).select("event_id", "user_id", "event_type"), fresh_path(spark, "once"))
+
+
+@query("select user_id, min(event_id) event_id, arg_min(event_type, event_id) event_type from events group by user_id")
+def live_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "frozen")
+    live.write_once(_events(spark, sf_dir).select("user_id", "event_id", "event_type"), "user_id", path)
+    return spark.read.parquet(f"{path}/rows/*").select("user_id", "event_id", "event_type")

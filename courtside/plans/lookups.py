@@ -67,7 +67,7 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {GAMES}, {SLOTS}, t as (select match_id, side, sum(pf) pf from slots group by all)
-select a.match_id, a.side, a.pf, b.pf other_pf from t a join t b on a.match_id = b.match_id and a.side <> b.side""")
+select a.match_id, a.side, a.pf, b.pf other_pf from t a join t b on a.match_id = b.match_id and a.side <> b.side""", pf="bigint", other_pf="bigint")
 def other_side_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each side's points beside the other side's of the same match."""
     t = slots(games(spark, sf_dir)).groupBy("match_id", "side").agg(F.sum("pf").alias("pf"))

@@ -65,7 +65,7 @@ def lookahead_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {RALLIES}, l as (select *, lag(log_type) over w prev, lag(side) over w server from rallies where log_type in (12, 14, 16, 23) window w as (partition by match_id order by log_index))
-select match_id, server, count(*) rallies, sum(cast(log_type = 14 and k >= 5 as int)) wins from l where log_type <> 12 and prev = 12 group by all""")
+select match_id, server, count(*) rallies, sum(cast(log_type = 14 and k >= 5 as int)) wins from l where log_type <> 12 and prev = 12 group by all""", wins="bigint")
 def rally_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outcome belongs to the rally that the row before it opened."""
     w = Window.partitionBy("match_id").orderBy("log_index")
@@ -117,7 +117,7 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {GAMES} select match_id, gid, coalesce(sum(cast(margin > 0 as int)) over w, 0) w1, coalesce(sum(cast(margin < 0 as int)) over w, 0) w2, coalesce(sum(s1 + s2) over w, 0) x_offset from games
-window w as (partition by match_id order by game_no, gid rows between unbounded preceding and 1 preceding)""")
+window w as (partition by match_id order by game_no, gid rows between unbounded preceding and 1 preceding)""", w1="bigint", w2="bigint", x_offset="bigint")
 def running_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _ahead(Window.partitionBy("match_id").orderBy("game_no", "gid"))
     run = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))

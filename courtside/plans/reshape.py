@@ -40,7 +40,7 @@ def quality_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {GAMES}, {SLOTS}, seen as (select player, count(*) n from slots where not is_forfeit group by player),
 poor as (select distinct gid from slots join seen using (player) where n < 650)
-select context, count(*) games, sum(margin) margin from games where not is_forfeit and gid not in (select gid from poor) group by context""")
+select context, count(*) games, sum(margin) margin from games where not is_forfeit and gid not in (select gid from poor) group by context""", margin="bigint")
 def core_pool(spark: SparkSession, sf_dir: str, least: int = 650) -> DataFrame:
     """Games all of whose four players have been seen often enough."""
     played = games(spark, sf_dir).where(~F.col("is_forfeit"))
