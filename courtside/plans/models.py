@@ -70,14 +70,14 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str, reps: int = 40) -> DataFr
 
 
 @query(f"""with {GAMES}, d as (select gid, a1, game_no x, margin y, row_number() over (partition by a1 order by gid) i from games), r as (select unnest(range(0, 10)) rep),
-s as (select rep, a1, y, row_number() over (partition by rep, a1 order by md5(rep || ':' || gid), gid) i from d, r), j as (select rep, a1, d.x, s.y from s join d using (a1, i))
+s as (select rep, a1, y, row_number() over (partition by rep, a1 order by md5(rep || ':' || gid), gid, y) i from d, r), j as (select rep, a1, d.x, s.y from s join d using (a1, i))
 select a1, round(stddev_samp(c), 5) null_sd from (select rep, a1, avg(x * y) - avg(x) * avg(y) c from j group by all) group by a1""")
 def permutation_null(spark: SparkSession, sf_dir: str, reps: int = 10) -> DataFrame:
     """Spread of a player's covariance when results are dealt anew among that player's games."""
     own = games(spark, sf_dir).select("gid", "a1", F.col("game_no").alias("x"), F.col("margin").alias("y"))
     d = own.withColumn("i", F.row_number().over(Window.partitionBy("a1").orderBy("gid")))
     s = own.select("gid", "a1", "y", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    s = s.withColumn("i", F.row_number().over(Window.partitionBy("rep", "a1").orderBy(F.md5(F.concat_ws(":", "rep", "gid")), "gid")))
+    s = s.withColumn("i", F.row_number().over(Window.partitionBy("rep", "a1").orderBy(F.md5(F.concat_ws(":", "rep", "gid")), "gid", "y")))
     c = s.select("rep", "a1", "y", "i").join(d.select("a1", "x", "i"), ["a1", "i"]).groupBy("rep", "a1").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("c"))
     return c.groupBy("a1").agg(F.round(F.stddev_samp("c"), 5).alias("null_sd"))
 
