@@ -170,8 +170,8 @@ def fit(docs: DataFrame, hidden: int = 6, steps: int = 400) -> ByteGru | None:
     return ByteGru(langs, hidden).train([t.encode() for _, t in rows], [langs.index(x) for x, _ in rows], steps)
 
 
-def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
-    """All columns of docs, and lang_pred and score; reads `text` alone."""
+def _labelled(docs: DataFrame, model: ByteGru | None) -> tuple[DataFrame, str]:
+    """docs with one more column, a struct of lang_pred and score, under a name that docs doesn't have; and that name."""
     hold = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -194,8 +194,16 @@ def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
                 at = end
             yield out
 
-    found = docs.withColumn("_found", label("text"))
-    return found.select(*docs.columns, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
+    name = "_found"
+    while name in docs.columns:
+        name = "_" + name
+    return docs.withColumn(name, label("text")), name
+
+
+def predict(docs: DataFrame, model: ByteGru | None) -> DataFrame:
+    """All columns of docs, and lang_pred and score in the place of any that docs has of these names; reads `text` alone."""
+    found, name = _labelled(docs, model)
+    return found.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).drop(name)
 
 
 def _lettered(text: str) -> bool:
@@ -212,4 +220,5 @@ def held_out(doc_id):
 
 def keep_identified(docs: DataFrame, model: ByteGru | None, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose text is in a learned language."""
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    found, name = _labelled(docs, model)
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).select(*docs.columns)
