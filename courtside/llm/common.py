@@ -36,6 +36,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs, written to the shared folder with a number of its own for each row, and the numbers' column (a name that docs has not)."""
+    path, row = fresh_path(docs.sparkSession, name), f"row_{uuid.uuid4().hex}"
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), row
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less the rows whose key is in ids; ids is broadcast only while it is known to be short. Null keys stay."""
     ids = saved(ids.select(key).where(F.col(key).isNotNull()).distinct())

@@ -248,7 +248,15 @@ def _still_apart(members: DataFrame, merged: DataFrame | None) -> tuple[DataFram
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs less all but one (that with the least doc_id) of each class of near-duplicates; rows without an id stay."""
-    from .common import without_ids
+    """docs less all but one row of each class of near-duplicates: the one with the least doc_id, rows without an id last.
 
-    return without_ids(docs, classes(docs, least).where("doc_id <> class_id"))
+    Rows are told apart by numbers of their own, so repeated rows, texts that share a doc_id and rows without an id are deduplicated too.
+    Each text without words is a class of its own.
+    """
+    from .common import numbered, without_ids
+
+    rows, row = numbered(docs, "dedup-rows")
+    of = classes(rows.select(F.col(row).alias("doc_id"), "text"), least).select(F.col("doc_id").alias(row), "class_id")
+    of = saved(of.join(rows.select(row, "doc_id"), row))
+    kept = of.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(row)))[row].alias("kept"))
+    return without_ids(rows, of.join(kept, "class_id").where(F.col(row) != F.col("kept")), row).select(docs.columns)
