@@ -7,9 +7,9 @@ leaves, in which their counts over all training texts decide. The tree is cut al
 follows which. So the score of a text is the log10 of a probability over all id sequences that end with the end id.
 
 Steps: one pass over the texts makes blocks of documents (their ids, and for each word of a block the documents that have it), which are
-written to the shared folder. Id counts and word counts are summed over all training documents. The network starts from
-a bounded sample (SAMPLE documents) and is then trained further on windows of every training document in every block, and the blocks'
-networks are averaged. A last pass scores the blocks; words get their counts by a join and go back to their blocks.
+written to the shared folder. Id counts and word counts are summed over all training documents. Which leaf
+follows which is counted over all training texts too. The network starts from a bounded sample (SAMPLE documents) and is then trained
+further on every window of every training document, PART windows at a time; the partitions' networks are averaged by their windows. A last pass scores the blocks; words get their counts by a join and go back to their blocks.
 
 Null and empty texts have the end alone. Rows that share a doc_id are scored each for itself. A table without training rows gives
 the uniform model. Other columns are ignored.
@@ -31,6 +31,8 @@ WIDTH, CONTEXT, D, BRANCH = 16, 4, 12, 32
 LEAVES = BRANCH * BRANCH
 BLOCK_DOCS, BLOCK_CHARS, HEAD_DOCS = 6000, 24_000_000, 1000
 SAMPLE = 1000
+#: Windows that are laid out in memory at once in training.
+PART = 1 << 16
 END, VOCAB = 1, 49_408
 
 
@@ -181,6 +183,19 @@ class Attention:
         x = np.where(inside & (place > 0), leaf[np.maximum(flat - 1, 0)], LEAVES)
         return x, y, first, text
 
+    def learn(self, ids: np.ndarray, sizes: np.ndarray, rate: float, seed: int) -> int:
+        """Trains once on every window of the texts, in a random order; how many windows there were."""
+        total, a = 0, 0
+        n = 1 + np.maximum(0, -(-(sizes - WIDTH) // (WIDTH - CONTEXT)))
+        part = np.cumsum(n) // PART
+        cuts = np.concatenate([np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        for b in cuts.tolist() if len(sizes) else []:
+            x, y, _, _ = self.windows_of(ids[starts[a] : starts[b]], sizes[a:b])
+            self.train(x, y, steps=-(-len(x) // 64), rate=rate, seed=seed + a)
+            total, a = total + len(x), b
+        return total
+
     def scores(self, ids: np.ndarray, sizes: np.ndarray, part: int = 1024) -> np.ndarray:
         """log10 probability of each text."""
         out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.share[ids], len(sizes))
@@ -203,21 +218,33 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(-1, keepdims=True)
 
 
-def tree(counts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf_of, log10 share) from the ids' counts over the corpus and a sample's flat ids.
-
-    Half the leaves hold one frequent id each and half share the rest by rank; the leaves are then numbered so that halves, quarters and so on part
-    where the leaves' neighbours in the sample differ most.
-    """
+def leaves(counts: np.ndarray) -> np.ndarray:
+    """The leaf of each id by its count, before the leaves are numbered: 7 of 8 hold one frequent id each, the others share the rest by rank."""
     rank = np.empty(VOCAB, np.int64)
     rank[np.lexsort((np.arange(VOCAB), -counts))] = np.arange(VOCAB)
     single = LEAVES * 7 // 8
     # the others in runs of ranks that grow in length
     rest = single + np.minimum(LEAVES - single - 1, (np.log2(np.maximum(rank - single, 0) / single * 3 + 1) / np.log2((VOCAB - single) / single * 3 + 1) * (LEAVES - single)).astype(np.int64))
-    leaf = np.where(rank < single, rank, rest)
-    pairs = np.zeros((LEAVES, LEAVES))
-    if len(ids) > 1:
-        np.add.at(pairs, (leaf[ids[:-1]], leaf[ids[1:]]), 1)
+    return np.where(rank < single, rank, rest)
+
+
+def follows(leaf: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(LEAVES * LEAVES): how often a leaf comes right before another in a text; the last leaf of one text does not lead to the next text."""
+    if not len(ids):
+        return np.zeros(LEAVES * LEAVES, np.int64)
+    pair = leaf[ids[:-1]] * LEAVES + leaf[ids[1:]]
+    inside = np.ones(len(ids), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    return np.bincount(pair[inside[:-1]], minlength=LEAVES * LEAVES)
+
+
+def tree(counts: np.ndarray, ids: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf_of, log10 share) from the ids' counts, and from how often leaves follow each other (follows) or, without it, from flat ids.
+
+    The leaves are numbered so that halves, quarters and so on part where the leaves' neighbours differ most.
+    """
+    leaf = leaves(counts)
+    pairs = (follows(leaf, ids, np.array([len(ids)])) if pairs is None else pairs).reshape(LEAVES, LEAVES)
     near = np.concatenate([np.sqrt(pairs), np.sqrt(pairs.T)], 1)
     near /= np.linalg.norm(near, axis=1, keepdims=True) + 1e-9
     near -= near.mean(0)
@@ -345,9 +372,22 @@ def fit(blocks: DataFrame) -> Attention:
                     at = int(rng.integers(0, max(1, len(cut) - 512)))
                     yield pd.DataFrame({"chance": [rng.random()], "ids": [cut[at : at + 512].tobytes()]})
 
+    leaf = leaves(counts)
+
+    def next_leaves(batches):
+        total = np.zeros(LEAVES * LEAVES, np.int64)
+        for batch in batches:
+            for row in batch.itertuples():
+                total += follows(leaf, *_training(*_texts(row)))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": at, "n": total[at]})
+
+    pairs = np.zeros(LEAVES * LEAVES)
+    summed = blocks.mapInPandas(next_leaves, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs[summed["pair"].to_numpy()] = summed["n"]
     rows = blocks.mapInPandas(few, "chance double, ids binary").orderBy("chance", "ids").limit(SAMPLE).collect()
     some = [np.frombuffer(r.ids, "<u2") for r in rows]
-    net = Attention(*tree(counts, np.concatenate(some) if some else np.empty(0, np.uint16)))
+    net = Attention(*tree(counts, np.empty(0, np.uint16), pairs))
     if not some:
         return net
     x, y, _, _ = net.windows_of(np.concatenate(some), np.array([len(s) for s in some]))
@@ -364,12 +404,7 @@ def fit(blocks: DataFrame) -> Attention:
                 if not len(sizes):
                     continue
                 own = own or copy.deepcopy(hold.value)
-                x, y, _, text = own.windows_of(ids, sizes)
-                pick = np.random.default_rng(row.block).random(len(x))
-                pick = np.lexsort((pick, text))
-                pick = pick[np.concatenate([[True], text[pick][1:] != text[pick][:-1]])]  # one window of each document
-                own.train(x[pick], y[pick], steps=-(-len(pick) // 64), rate=0.004, seed=int(row.block & 0xFFFF))
-                n += len(sizes)
+                n += own.learn(ids, sizes, rate=0.004, seed=int(row.block & 0xFFFF) + int(row.first))
         if own is not None:
             yield pd.DataFrame({"at": np.arange(len(own.flat())), "v": own.flat().astype(float) * n, "n": n})
 
