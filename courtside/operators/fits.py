@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions.probability import sigmoid
-from courtside.sources.storage import saved, written
+from courtside.sources.storage import discard, written
 
 
 def logistic_newton(rows: DataFrame, names: list[str], steps: int = 6) -> DataFrame:
     """rows: y, x (array). One row for each name: estimate and standard error."""
-    rows, k = saved(rows), len(names)
+    rows, k = written(rows), len(names)
     beta = np.zeros(k)
     x = lambda i: F.col("x")[i]
     for _ in range(steps):
@@ -24,7 +24,7 @@ def logistic_newton(rows: DataFrame, names: list[str], steps: int = 6) -> DataFr
     return rows.sparkSession.createDataFrame([(n, float(b), float(e)) for n, b, e in zip(names, beta, error)], "name string, estimate double, se double")
 
 
-def paired_map(met: DataFrame, steps: int = 24, prior_sd: float = 0.5) -> DataFrame:
+def paired_map(met: DataFrame, steps: int = 200, prior_sd: float = 0.5) -> DataFrame:
     """met: a, b, won (by a), n. (player, value): most likely values under a normal prior, by scaled gradient steps.
 
     Values are a table joined to the meetings, so nothing depends on how many players there are. Each step reads
@@ -33,10 +33,14 @@ def paired_map(met: DataFrame, steps: int = 24, prior_sd: float = 0.5) -> DataFr
     met = written(met)
     both = written(met.select("a", "b", "won", "n").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") - F.col("won")).alias("won"), "n")))
     values = written(both.select(F.col("a").alias("player")).distinct().withColumn("value", F.lit(0.0)))
+    old: list[str] = []
     for _ in range(steps):
         own, other = values.select(F.col("player").alias("a"), F.col("value").alias("va")), values.select(F.col("player").alias("b"), F.col("value").alias("vb"))
         p = sigmoid(F.col("va") - F.col("vb"))
         g = both.join(own, "a").join(other, "b").groupBy("a", "va").agg(F.sum(F.col("won") - F.col("n") * p).alias("g"), F.sum(F.col("n") * p * (1 - p)).alias("h"))
         prior = 1 / prior_sd**2
-        values = written(g.select(F.col("a").alias("player"), (F.col("va") + 0.7 * (F.col("g") - prior * F.col("va")) / (F.col("h") + prior)).alias("value")))
+        now: list[str] = []
+        values = written(g.select(F.col("a").alias("player"), (F.col("va") + 0.7 * (F.col("g") - prior * F.col("va")) / (F.col("h") + prior)).alias("value")), "values", now)
+        discard(met.sparkSession, old)
+        old = now
     return values

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.sources.storage import saved
+from courtside.sources.storage import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,15 +14,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     as many as the logarithm of the longest chain. Labels are kept in the shared folder between passes. A hot node's
     labels are reduced before they are shuffled, and its joins are plain ones that Spark can split.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
-    labels = saved(labels)
+    spark, own, old = edges.sparkSession, [], []
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges", own)
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels", old)
     while True:
         heard = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("m"))
         up = labels.select(F.col("node").alias("m"), F.col("component").alias("up"))
-        jumped = saved(nearer.join(up, "m", "left").select("node", "component", F.least("m", F.coalesce("up", "m")).alias("m")))
+        now: list[str] = []
+        jumped = written(nearer.join(up, "m", "left").select("node", "component", F.least("m", F.coalesce("up", "m")).alias("m")), "labels", now)
         done = jumped.where("m <> component").isEmpty()
+        discard(spark, old)
+        old = now
         labels = jumped.select("node", F.col("m").alias("component"))
         if done:
+            discard(spark, own)
             return labels

@@ -10,34 +10,49 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset a temporary folder, but only if driver and executors are one process (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    there = there or "file://" + tempfile.mkdtemp(prefix="courtside-")
+    if not there:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="courtside-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, cut from their lineage by an eager checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "rows") -> DataFrame:
-    """The same rows as a table in the shared folder. Unlike a checkpoint it carries no constraints over to the next
-    plan, which would grow with each step of a fit."""
+def written(df: DataFrame, name: str = "rows", keep: list[str] | None = None) -> DataFrame:
+    """The same rows as a table in the shared folder: cut from their lineage, and safe from lost executors. Unlike a
+    checkpoint it carries no constraints over to the next plan, which would grow with each step of a fit.
+    keep: gets the table's path, for discard()."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    if keep is not None:
+        keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a folder on any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written() tables that no later plan reads."""
+    for path in paths:
+        fs, at = folder(spark, path)
+        fs.delete(at, True)
+    paths.clear()
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows in place of those of the same keys; new is unique by them."""
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], newest: list) -> DataFrame:
+    """old with new's rows in place of those of the same keys; of several new rows of a key the first by `newest` counts."""
+    new = newest_by_key(new, keys, newest)
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
@@ -48,8 +63,8 @@ def quarantined(rows: DataFrame, reason: F.Column) -> tuple[DataFrame, DataFrame
 
 
 def read_lenient(spark: SparkSession, path: str, schema: str, kind: str = "json") -> tuple[DataFrame, DataFrame]:
-    """(rows, corrupt lines) of JSON or CSV files with an explicit schema."""
-    reader = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE")
+    """(rows, corrupt lines) of JSON or CSV files with an explicit schema; each with its file."""
+    reader = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
     df = reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)
     df = df.withColumn("file", F.col("_metadata.file_path"))
     return df.where("_corrupt is null").drop("_corrupt"), df.where("_corrupt is not null").select("_corrupt", "file")
