@@ -1,55 +1,28 @@
-"""Helpers shared by the corpus operators: inputs, the shared folder, size-checked joins and ids."""
+"""Helpers shared by the corpus operators: row numbers, and leaving out rows by an id list."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that an id list may have before it is shuffled rather than broadcast (8 bytes each).
-BROADCAST_IDS = 1_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="courtside-")
-        spark.sparkContext.setCheckpointDir(there)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(there)
-    return there
+from courtside.sources.storage import discard, fresh_path, shared_dir, written
+from courtside.sources.tables import table
 
+__all__ = ["BROADCAST_IDS", "discard", "fresh_path", "numbered", "shared_dir", "table", "without_ids", "written"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, cut from their lineage by an eager checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Rows that an id list may have before it is shuffled rather than broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """docs, written to the shared folder with a number of its own for each row, and the numbers' column (a name that docs has not)."""
-    path, row = fresh_path(docs.sparkSession, name), f"row_{uuid.uuid4().hex}"
-    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path), row
+    row = f"row_{uuid.uuid4().hex}"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs less the rows whose key is in ids; ids is broadcast only while it is known to be short. Null keys stay."""
-    ids = saved(ids.select(key).where(F.col(key).isNotNull()).distinct())
+    ids = written(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
     short = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if short else ids, key, "left_anti")
-
-
-def ascii_lower(col):
-    """Lower-cases A-Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

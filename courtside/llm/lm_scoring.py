@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, saved
+from .common import fresh_path, written
 
 WIDTH, CONTEXT, D, BRANCH = 16, 4, 12, 32
 LEAVES = BRANCH * BRANCH
@@ -423,7 +423,7 @@ def scores(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
     heads = rows.where("word is null").select(*_HEADS)
     words = rows.where("word is not null").select(*_WORDS)
-    counts = saved(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0"))
+    counts = written(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0"))
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     train_tokens, distinct = int(total.n or 0), int(total.v)
     hold = spark.sparkContext.broadcast(fit(heads))

@@ -7,13 +7,19 @@ is later than all registers' (early termination). Registers are hashed in bands,
 and candidates are verified by their exact probability Jaccard similarity, `least` or more. For texts whose shingles all come once this
 is the plain Jaccard similarity.
 
-Texts with the same words are one text from the start. In each bucket of texts that share a band, every text is
-compared with one leader; linked texts join components, and only texts of other components than their new leader's are
-compared again. When few are left, all pairs of texts of different components in a bucket are compared: no link between
-buckets' members is left out, and no group is expanded into its pairs.
+Texts with the same words are one text from the start. Candidates are looked at in three turns, and links of one turn are
+components in the next:
+1. each text is compared with the one leader, of all the leaders of its buckets, whose registers are most like its own;
+2. in buckets that still hold texts of several components, each text is compared with the likeliest text of each other component;
+3. then with every text of another component that is likely enough.
+Turns 2 and 3 go through a bucket in chunks of bounded size, a pair of chunks a row: one bit of each register (192 bits a text) is compared in
+bulk, and only pairs whose bits agree as often as those of `least` do are handed on. So no bucket is held in one task, none is expanded into its pairs,
+and no link is left out: texts of different components in a bucket are unlike, by their bits or word for word.
 
 Texts without words (null, empty, punctuation alone) are each a class of their own; texts of under five words have one
-shingle, of all of them; rows that share a doc_id share a class; an empty table gives no rows; other columns are ignored.
+shingle, of all of them; very long texts are hashed whole; each row is classed by its own text, so rows that share a doc_id may be in
+several classes and repeated rows are in one; a class of rows without doc_id has the class_id null; an empty table gives no rows;
+other columns are ignored.
 """
 from __future__ import annotations
 
@@ -24,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, saved
-from .components import connected_components
+from courtside.operators.graph import connected_components
+
+from .common import BROADCAST_IDS, discard, numbered, without_ids, written
 
 SHINGLE = 5
 #: Chance that a pair of similarity 0.8 shares no band: (1 - 0.8^6)^32 = 6e-5.
 ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
 LEAST = 0.8
-#: Of 192 registers a pair of similarity 0.8 has fewer alike than this with a chance of 1e-9.
-_LEAST_ALIKE = int(REGISTERS * 0.62)
+#: Bits of two texts of similarity 0.8 agree at 172.8 of 192 places in the mean, deviation 4.2; at fewer than this with a chance of 1e-5.
+LEAST_ALIKE = 155
+CHUNK = 1024
 _PART = 400_000
 
 
@@ -101,150 +109,199 @@ def probability_jaccard(a: dict[int, int] | tuple, b: dict[int, int] | tuple) ->
     return float((1 / (above[at] / x[common] + below[at] / y[common])).sum())
 
 
-def _hashed_words(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """The columns, text_key (equal for equal words) and the words as hashes, of rows that have words."""
     words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
-    return docs.select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    docs = docs.select(*columns, words.alias("words")).where(F.size("words") > 0)
+    return docs.select(*columns, F.unhex(F.md5(F.array_join("words", " "))).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
+
+def _parts(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last, flat values, sizes) of runs of rows that hold about `most` values; null lists are not among them."""
+    ends, flat, a, n = lists.offsets.to_numpy(), lists.values.to_numpy(), 0, len(lists)
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(ends, ends[a] + most)) - 1))
+        yield a, b, flat[ends[a] : ends[b]], np.diff(ends[a : b + 1]).astype(np.int64)
+        a = b
+
+
+SIGNED = "id long, doc_id long, text_key binary, bands array<long>, s0 long, s1 long, s2 long"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids are scrambled row numbers, so that the least id of a bucket is any of its texts."""
     for batch in batches:
-        lists = batch.column("hashes")
-        ends = lists.offsets.to_numpy()
-        flat = lists.values.to_numpy()
-        a = 0
-        while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _PART)) - 1)
-            b = min(b, batch.num_rows)
-            sizes = np.diff(ends[a : b + 1]).astype(np.int64)
-            owner = signatures(*shingles(flat[ends[a] : ends[b]], sizes), len(sizes))
+        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART):
+            owner = signatures(*shingles(flat, sizes), len(sizes))
             keys = np.zeros((len(sizes), BANDS), np.uint64)
             for k in range(ROWS):
                 keys = _mix(keys * np.uint64(31) + owner[:, k::ROWS])
             keys = _mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            marks = (owner & np.uint64(255)).astype(np.uint8)
+            bits = np.packbits((owner & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
+            part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("text_key").slice(a, b - a),
+                [pa.array(_mix(part.column("id").to_numpy().view(np.uint64)).view(np.int64)), part.column("doc_id"), part.column("text_key"),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
-                 pa.array([m.tobytes() for m in marks], pa.binary())],
-                ["doc_id", "text_key", "bands", "marks"])
-            a = b
+                 *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3))],
+                [c.split()[0] for c in SIGNED.split(", ")])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose registers are alike often enough to be worth their words."""
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sorted distinct shingles, their weights; no weights where each comes once) of hashed words."""
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("marks_a", "marks_b"))
-            yield batch.filter(pa.array((x == y).sum(1) >= _LEAST_ALIKE)).select(["a", "b"])
+        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART):
+            text, shingle, weight = shingles(flat, sizes)
+            order = np.lexsort((shingle, text))
+            text, shingle, weight = text[order], shingle[order], weight[order]
+            cuts = np.searchsorted(text, np.arange(len(sizes) + 1)).tolist()
+            ones = np.minimum.reduceat(weight == 1, cuts[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").slice(a, b - a), pa.array([shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
+                 pa.array([None if one else weight[i:j].astype("<i4").tobytes() for one, i, j in zip(ones, cuts, cuts[1:])], pa.binary())],
+                ["id", "shingles", "weights"])
+
+
+def similarity(a: bytes, wa: bytes | None, b: bytes, wb: bytes | None) -> float:
+    """Of two rows of _weighed()."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if wa is None and wb is None:
+        both = np.concatenate([x, y])
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common / (len(both) - common)
+    weights = (np.ones(len(s)) if w is None else np.frombuffer(w, "<i4") for s, w in ((x, wa), (y, wb)))
+    return probability_jaccard((x, next(weights)), (y, next(weights)))
 
 
 def _verified(least: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def weighed(words: list[int]):
-            _, s, w = shingles(np.array(words, np.int64), np.array([len(words)]))
-            order = np.argsort(s)
-            return s[order], w[order]
-
         for batch in batches:
-            known: dict = {}
-            keep = []
-            for i in range(batch.num_rows):
-                leader = batch.column("b")[i].as_py()
-                if leader not in known:
-                    known = {leader: weighed(batch.column("words_b")[i].values.to_numpy())}
-                own = weighed(batch.column("words_a")[i].values.to_numpy())
-                keep.append(probability_jaccard(own, known[leader]) >= least)
+            columns = (batch.column(c).to_pylist() for c in ("shingles_a", "weights_a", "shingles_b", "weights_b"))
+            keep = [similarity(*row) >= least for row in zip(*columns)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return verify
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, words as hashes) of the given ids; they are broadcast only while they are known to be few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    there = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
-    hashed = _hashed_words(there).select(F.col("doc_id").alias("id"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    return saved(hashed.dropDuplicates(["id"]))
+def _agreement(a: str, b: str):
+    return F.lit(REGISTERS) - sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(3)), F.lit(0))
 
 
-def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are near-duplicates: first by their registers, then by their words."""
-    for side in ("a", "b"):
-        pairs = pairs.join(marks.select(F.col("id").alias(side), F.col("marks").alias(f"marks_{side}")), side)
-    likely = pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(_alike, "a long, b long")
-    for side in ("a", "b"):
-        likely = likely.join(texts.select(F.col("id").alias(side), F.col("words").alias(f"words_{side}")), side)
-    return saved(likely.select("a", "b", "words_a", "words_b").mapInArrow(_verified(least), "a long, b long"))
-
-
-def classes(docs: DataFrame, least: float = LEAST, few: int = 8, most_rounds: int = 6) -> DataFrame:
-    """(doc_id, class_id) for each row: the least doc_id among the texts linked with it, directly or through others.
+def _crossing(best: bool):
+    """Of pairs of chunks: the pairs (a, b) of texts of different components whose bits are alike; best: for each text only the likeliest of each other component."""
 
-    few: how many pairs for each text that shares a band may be left when the leaders' rounds give way to all that are left.
-    """
-    docs = docs.select("doc_id", "text")
-    words = _hashed_words(docs.where(F.col("doc_id").isNotNull()))
-    keyed = words.select("doc_id", F.md5(F.array_join("words", " ")).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    signed = saved(keyed.mapInArrow(_signed, "doc_id long, text_key string, bands array<long>, marks binary"))
-    texts = saved(signed.groupBy("text_key").agg(F.min("doc_id").alias("id")))
-    own = signed.join(texts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "bands", "marks")
-    own = saved(own)
-    banded = own.select("id", F.explode("bands").alias("bucket"))
-    shared = saved(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = saved(banded.join(shared.select("bucket"), "bucket", "left_semi").withColumn("component", F.col("id")))
-    near = saved(members.select("id").distinct())
-    near_n = near.count()
-    marks = saved(own.select("id", "marks").join(near, "id", "left_semi"))
-    near_texts = _texts_of(near, docs)
-    merged, turn = None, 0
-    while near_n:
-        turn += 1
-        # a bucket's leader is the first by a hash; buckets use several hashes, so that a text meets several leaders
-        ordered = F.xxhash64("id", F.pmod("bucket", F.lit(5)), F.lit(turn))
-        leaders = saved(members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), ordered).alias("leader")))
-        pairs = members.join(leaders, "bucket").where("component <> leader.component").select(F.col("id").alias("a"), F.col("leader.id").alias("b"))
-        merged = _merged(merged, _links(pairs.distinct(), marks, near_texts, least))
-        members, left = _still_apart(members, merged)
-        if not left:
-            break
-        if left <= few * near_n or turn == most_rounds:
-            other = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("of_b"))
-            pairs = members.join(other, "bucket").where("id < b and component <> of_b").select(F.col("id").alias("a"), "b")
-            merged = _merged(merged, _links(pairs.distinct(), marks, near_texts, least))
-            break
-    found = texts
-    if merged is not None:
-        found = texts.join(merged.withColumnRenamed("node", "id"), "id", "left").select("text_key", F.coalesce("component", "id").alias("id"))
-    found = saved(found.select("text_key", F.col("id").alias("class_id")))
-    classed = signed.select("doc_id", "text_key").join(found, "text_key").select("doc_id", "class_id")
-    # texts without words, and rows without an id, have classes of their own
-    bare = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.lower("text").rlike(r"[\p{L}\p{N}]"), F.lit(False)))
-    return classed.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id")))
-
-
-def _merged(merged: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    """(node, component) so far, and the links: between texts, so between their components."""
-    if links.isEmpty():
-        return merged
-    if merged is None:
-        return connected_components(links)
-    of = merged.withColumnRenamed("node", "id")
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values for c in ("xs", "ys"))
+                take = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
+                (xi, xc), (yi, yc) = ((take(t, "id"), take(t, "component")) for t in (x, y))
+                n = np.zeros((len(xi), len(yi)), np.int16)
+                for k in range(3):
+                    n += np.bitwise_count(take(x, f"s{k}")[:, None] ^ take(y, f"s{k}")[None, :])
+                n = REGISTERS - n
+                a, b = np.nonzero((n >= LEAST_ALIKE) & (xc[:, None] != yc[None, :]))
+                if best and len(a):
+                    # a text of either side with a component of the other
+                    both = []
+                    for own, other in ((a, yc[b]), (b, xc[a])):
+                        order = np.lexsort((-n[a, b], other, own))
+                        first = np.ones(len(order), bool)
+                        first[1:] = (own[order][1:] != own[order][:-1]) | (other[order][1:] != other[order][:-1])
+                        both.append(order[first])
+                    pick = np.unique(np.concatenate(both))
+                    a, b = a[pick], b[pick]
+                if len(a):
+                    p, q = xi[a], yi[b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    return crossing
+
+
+def _in_chunks(members: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of likely texts of different components in a bucket. members: bucket, id, component, s0, s1, s2."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    chunked = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    chunks = chunked.groupBy("bucket", "chunks", "chunk").agg(F.collect_list(F.struct("id", "component", "s0", "s1", "s2")).alias("xs"))
+    single = chunks.where("chunks = 1").select("xs", F.col("xs").alias("ys"))
+    many = chunks.where("chunks > 1")
+    left = many.select("bucket", "xs", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"))
+    double = left.join(many.select("bucket", "chunk", F.col("xs").alias("ys")), ["bucket", "chunk"]).select("xs", "ys")
+    return single.unionByName(double).mapInArrow(_crossing(best), "a long, b long").distinct()
+
+
+def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of ids those that are near-duplicates by their words."""
     for side in ("a", "b"):
-        links = links.join(of.select(F.col("id").alias(side), F.col("component").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-    joined = connected_components(links)
-    step = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    moved = merged.join(step, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
-    return saved(moved.unionByName(joined.join(merged, "node", "left_anti")))
-
-
-def _still_apart(members: DataFrame, merged: DataFrame | None) -> tuple[DataFrame, int]:
-    """The members of buckets in which texts of several components are left, and the number of their pairs."""
-    if merged is not None:
-        now = merged.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        members = saved(members.join(now, "id", "left").select("bucket", "id", F.coalesce("now", "component").alias("component")))
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs"))
-    apart = saved(parts.where("pairs > 0"))
-    return saved(members.join(apart.select("bucket"), "bucket", "left_semi")), apart.agg(F.sum("pairs")).first()[0] or 0
+        pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("shingles").alias(f"shingles_{side}"), F.col("weights").alias(f"weights_{side}")), side)
+    return pairs.select("a", "b", "shingles_a", "weights_a", "shingles_b", "weights_b").mapInArrow(_verified(least), "a long, b long")
+
+
+def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the components that links join; links' ids are components' names or texts, whose components they mean."""
+    joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return members.join(joined, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+
+def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, class_id) for each row: the least doc_id among the texts linked with it, directly or through others."""
+    spark, own, scratch = docs.sparkSession, [], []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = _keyed(docs.withColumn("id", F.monotonically_increasing_id()), "id", "doc_id")
+    signed = written(keyed.mapInArrow(_signed, SIGNED), "signed", own)
+    # one text of each key
+    reps = signed.groupBy("text_key").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"))
+    reps = written(reps, "texts", own)
+    distinct = signed.join(reps.select("id"), "id", "left_semi")
+    banded = distinct.select("id", F.explode("bands").alias("bucket"))
+    leaders = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
+    bits = ["s0", "s1", "s2"]
+    sketch = signed.select("id", *bits)
+    shared = banded.join(leaders.select("bucket", "lo", "hi"), "bucket")
+    members = written(shared.join(sketch, "id"), "members", scratch)
+    if members.isEmpty():
+        found = reps.select("text_key", F.col("doc_id").alias("class_id"))
+        discard(spark, scratch)
+        return _classed(docs, signed, found)
+    near = members.select("id").distinct().join(reps.select("id", "text_key"), "id")
+    near = written(near, "near", scratch)
+    few = near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = _keyed(docs).join(F.broadcast(near) if few else near, "text_key").dropDuplicates(["id"]).select("id", "hashes")
+    texts = written(texts.mapInArrow(_weighed, "id long, shingles binary, weights binary"), "shingles", scratch)
+    # 1: the likeliest leader
+    led = members.select("id", *bits, F.explode(F.array("lo", "hi")).alias("b")).where("id <> b").distinct()
+    led = led.join(sketch.select(F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in bits)), "b").withColumn("n", _agreement("s", "bs")).where(F.col("n") >= LEAST_ALIKE)
+    led = led.groupBy("id").agg(F.max(F.struct("n", "b")).alias("most")).select(F.col("id").alias("a"), F.col("most.b").alias("b"))
+    links = written(_links(led, texts, least), "links", scratch)
+    every = links
+    step: list[str] = []
+    members = written(_relabelled(members.select("bucket", "id", F.col("id").alias("component"), *bits), links), "members", step)
+    # 2 and 3
+    for best in (True, False):
+        links = written(_links(_in_chunks(members, best), texts, least), "links", scratch)
+        every = every.unionByName(links)
+        if best:
+            of = members.select("id", "component").distinct()
+            sides = links
+            for side in ("a", "b"):
+                sides = sides.join(of.withColumnsRenamed({"id": side, "component": f"c{side}"}), side)
+            sides = sides.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            members = written(_relabelled(members, sides), "members", scratch)
+            discard(spark, step)
+    joined = connected_components(every)
+    found = reps.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least_id = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    found = written(found.join(least_id, "component").select("text_key", "class_id"), "classes")
+    discard(spark, scratch)
+    return _classed(docs, signed, found)
+
+
+def _classed(docs: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    rows = signed.select("doc_id", "text_key").join(found, "text_key").select("doc_id", "class_id")
+    # texts without words have classes of their own
+    bare = docs.where(~F.coalesce(F.lower("text").rlike(r"[\p{L}\p{N}]"), F.lit(False)))
+    return rows.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -253,10 +310,8 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Rows are told apart by numbers of their own, so repeated rows, texts that share a doc_id and rows without an id are deduplicated too.
     Each text without words is a class of its own.
     """
-    from .common import numbered, without_ids
-
     rows, row = numbered(docs, "dedup-rows")
     of = classes(rows.select(F.col(row).alias("doc_id"), "text"), least).select(F.col("doc_id").alias(row), "class_id")
-    of = saved(of.join(rows.select(row, "doc_id"), row))
+    of = written(of.join(rows.select(row, "doc_id"), row), "classed")
     kept = of.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(row)))[row].alias("kept"))
     return without_ids(rows, of.join(kept, "class_id").where(F.col(row) != F.col("kept")), row).select(docs.columns)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import written
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("""
@@ -167,15 +167,15 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFram
     Sets are partitioned by size, in steps of 1 / least, so that a set meets those of its own and the next partition only. In a partition they
     meet by the rarest signatures of each: so many that two sets alike enough share one of them. Then sizes, then the sets are compared.
     """
-    found = saved(fingerprints(docs))
-    reps = saved(found.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")))
+    found = written(fingerprints(docs))
+    reps = written(found.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")))
     members = found.join(reps.select("fingerprint", F.col("id").alias("class_id")), "fingerprint", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sig = reps.select("id", F.size("s").alias("n"), F.explode("s").alias("sig"))
-    common = saved(sig.groupBy("sig").count())
+    common = written(sig.groupBy("sig").count())
     ranked = sig.join(common, "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("ranked"))
     prefix = F.slice("ranked", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least)) + 1e-9)
-    parts = saved(ranked.select("id", "n", step.alias("part"), F.explode(prefix.sig).alias("sig")))
+    parts = written(ranked.select("id", "n", step.alias("part"), F.explode(prefix.sig).alias("sig")))
     other = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array("part", F.col("part") - 1)).alias("part"), "sig", F.col("part").alias("pb"))
     met = parts.withColumnsRenamed({"id": "a", "n": "na"}).join(other, ["part", "sig"]).where("(pb > part or a < b) and a <> b and least(na, nb) >= %r * greatest(na, nb)" % least).select("a", "b").distinct()
     sets = reps.select("id", "s")
