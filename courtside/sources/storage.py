@@ -25,12 +25,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "rows", keep: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str = "rows", keep: list[str] | None = None, compression: str = "snappy") -> DataFrame:
     """The same rows as a table in the shared folder: cut from their lineage, and safe from lost executors. Unlike a
     checkpoint it carries no constraints over to the next plan, which would grow with each step of a fit.
     keep: gets the table's path, for discard()."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if keep is not None:
         keep.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
