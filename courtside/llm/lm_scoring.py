@@ -6,34 +6,40 @@ a time. Its output is a two-level softmax: BRANCH groups of BRANCH leaves. Frequ
 leaves, in which their counts over all training texts decide. The tree is cut along the principal directions of which leaf
 follows which. So the score of a text is the log10 of a probability over all id sequences that end with the end id.
 
-Steps: one pass over the texts makes blocks of documents (their ids, and for each word of a block the documents that have it), which are
-written to the shared folder. Id counts and word counts are summed over all training documents. Which leaf
-follows which is counted over all training texts too. The network starts from a bounded sample (SAMPLE documents) and is then trained
-further on every window of every training document, PART windows at a time; the partitions' networks are averaged by their windows. A last pass scores the blocks; words get their counts by a join and go back to their blocks.
-
-Null and empty texts have the end alone. Rows that share a doc_id are scored each for itself. A table without training rows gives
-the uniform model. Other columns are ignored.
+Steps: one pass writes each text with its ids to the shared folder, and what words its task has counted. Counts of words, of ids and
+of which leaf follows which are summed over all training texts. The network starts from a bounded sample (SAMPLE documents) and is then trained
+further on every id of every training document, in windows side by side; the partitions' networks are averaged by their windows. A last pass
+scores the texts. Words that make up a FREQUENT-th of all training words or more (so at most FREQUENT words) have their counts broadcast;
+the others, which are rare, get theirs by a join.
+
+Null and empty texts have the end alone; very long texts are read in parts and scored whole; each row is scored for itself, so repeated
+rows and rows that share a doc_id have a score each; rows without a doc_id are training rows. A table without training rows gives
+the uniform model, an empty table no rows. Other columns are ignored.
 """
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import discard, written
 
 WIDTH, CONTEXT, D, BRANCH = 16, 4, 12, 32
 LEAVES = BRANCH * BRANCH
-BLOCK_DOCS, BLOCK_CHARS, HEAD_DOCS = 6000, 24_000_000, 1000
-SAMPLE = 1000
-#: Windows that are laid out in memory at once in training.
-PART = 1 << 16
+SAMPLE, SAMPLE_IDS = 1000, 512
+#: Windows that are laid out in memory at once, and that one step of the long training takes.
+PART, LANES = 1 << 15, 512
+FREQUENT = 1_000_000
 END, VOCAB = 1, 49_408
+#: Characters whose words a task holds at once; words it counts before it hands them on.
+CHARS, HELD_WORDS = 2_000_000, 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -45,19 +51,24 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-class Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of so many ids (end included): of each window the text, its first position, and the first it scores."""
-    step = WIDTH - CONTEXT
+def windows(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of so many ids (end included): of each window the text and its first position."""
     n = 1 + np.maximum(0, -(-(sizes - WIDTH) // step))
     text = np.repeat(np.arange(len(sizes)), n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return text, k * step, np.where(k > 0, CONTEXT, 0)
+    return text, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for a b of two axes, in one call."""
+    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[-1])
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """In place; the weights keep z far below what would overflow."""
+    np.minimum(z, 80, out=z)
+    np.exp(z, out=z)
+    z /= z @ np.ones((z.shape[1], 1), z.dtype)
+    return z
 
 
 class Attention:
@@ -66,86 +77,94 @@ class Attention:
     def __init__(self, leaf_of: np.ndarray, share: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
         normal = lambda *s: rng.normal(0, 0.25, s).astype("f4")
-        self.leaf_of, self.share = leaf_of, share
+        self.leaf_of, self.share = leaf_of.astype(np.int16), share
         self.w = {"e": normal(LEAVES + 1, D), "p": normal(WIDTH, D), "qkv": normal(D, 3 * D), "o": normal(D, D), "x": normal(D, D), "b": np.zeros(D, "f4"), "c1": normal(D, BRANCH), "b1": np.zeros(BRANCH, "f4"), "c2": normal(BRANCH, D, BRANCH), "b2": np.zeros((BRANCH, BRANCH), "f4")}
         self.mask = np.where(np.tril(np.ones((WIDTH, WIDTH), bool)), 0, -1e9).astype("f4")
 
-    def _hidden(self, x: np.ndarray, keep: bool = False):
+    def _hidden(self, x: np.ndarray):
         w = self.w
-        e = w["e"][x] + w["p"]
-        q, k, v = np.split(e @ w["qkv"], 3, axis=2)
+        e = w["e"].take(x, 0)
+        e += w["p"]
+        qkv = _times(e, w["qkv"])
+        q, k, v = qkv[..., :D], qkv[..., D : 2 * D], qkv[..., 2 * D :]
         a = q @ k.transpose(0, 2, 1)
-        a *= D**-0.5
-        a += self.mask
+        a *= a.dtype.type(D**-0.5)
         np.minimum(a, 60, out=a)  # far beyond what these weights give; no overflow
+        a += self.mask
         np.exp(a, out=a)
-        total = a @ np.ones((WIDTH, 1), a.dtype)
-        if keep:
-            a /= total
-            m = a @ v
-        else:
-            m = a @ v
-            m /= total
-        return e, q, k, v, a, m, np.tanh(m @ w["o"] + e @ w["x"] + w["b"])
-
-    def leaf_logs(self, x: np.ndarray, scored: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of each scored target leaf. x: (windows, WIDTH) of leaves before; scored: a mask; target: of the scored ones."""
-        h = self._hidden(x)[-1][scored]
-        group, member = target // BRANCH, target % BRANCH
-        one = h @ self.w["c1"] + self.w["b1"]
-        out = one[np.arange(len(h)), group]
-        out -= _log_sum(one)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(BRANCH + 1))
-        h = h[order]
+        a /= a @ np.ones((WIDTH, 1), a.dtype)
+        m = a @ v
+        h = _times(m, w["o"])
+        h += _times(e, w["x"])
+        h += w["b"]
+        return e, q, k, v, a, m, np.tanh(h, out=h)
+
+    def _by_group(self, y: np.ndarray):
+        """(places of y that are not -1, sorted by their leaf's group; those leaves' groups and members; where groups begin)."""
+        at = np.flatnonzero(y.ravel() >= 0)
+        leaf = y.ravel()[at]
+        group = (leaf >> BRANCH.bit_length() - 1).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        return at[order], group, leaf[order] & BRANCH - 1, np.searchsorted(group, np.arange(BRANCH + 1)).tolist()
+
+    def leaf_logs(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of target leaves, and their places. x: (windows, WIDTH) of leaves before; y: leaves, -1 where none is scored."""
+        at, group, member, cuts = self._by_group(y)
+        h = self._hidden(x)[-1].reshape(-1, D)[at]
+        row = np.arange(len(h))
+        out = _softmax(h @ self.w["c1"] + self.w["b1"])[row, group]
         for g in range(BRANCH):
             a, b = cuts[g], cuts[g + 1]
             if b > a:
-                two = h[a:b] @ self.w["c2"][g] + self.w["b2"][g]
-                own = two[np.arange(b - a), member[order[a:b]]]
-                out[order[a:b]] += own - _log_sum(two)
-        return out
+                out[a:b] *= _softmax(h[a:b] @ self.w["c2"][g] + self.w["b2"][g])[row[: b - a], member[a:b]]
+        return np.log(out), at
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all places of whole windows (y: -1 is left out) and its gradient."""
-        w, there = self.w, y >= 0
-        e, q, k, v, a, m, h = self._hidden(x, keep=True)
-        t = np.where(there, y, 0)
-        group, member = t // BRANCH, t % BRANCH
-        n = max(1, int(there.sum()))
-        flat, group, member, on = h.reshape(-1, D), group.ravel(), member.ravel(), (there.ravel() / n).astype(h.dtype)
-        at = np.arange(len(flat))
-        one = _softmax(flat @ w["c1"] + w["b1"])
-        loss = np.log(one[at, group]) * on
-        one[at, group] -= 1
-        one *= on[:, None]
-        g = {key: np.zeros_like(val) for key, val in w.items()}
-        g["c1"], g["b1"] = flat.T @ one, one.sum(0)
-        dh = one @ w["c1"].T
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(BRANCH + 1))
+        """Mean loss over all places (y: -1 is left out) and its gradient."""
+        w = self.w
+        e, q, k, v, a, m, h = self._hidden(x)
+        at, group, member, cuts = self._by_group(y)
+        n, row = max(1, len(at)), np.arange(len(at))
+        own = h.reshape(-1, D)[at]
+        one = _softmax(own @ w["c1"] + w["b1"])
+        chance = one[row, group]
+        one[row, group] -= 1
+        one /= one.dtype.type(n)
+        g = {"c1": own.T @ one, "b1": one.sum(0), "c2": np.zeros_like(w["c2"]), "b2": np.zeros_like(w["b2"])}
+        back = one @ w["c1"].T
         for branch in range(BRANCH):
-            own = order[cuts[branch] : cuts[branch + 1]]
-            if len(own):
-                two = _softmax(flat[own] @ w["c2"][branch] + w["b2"][branch])
-                row = at[: len(own)]
-                loss[own] += np.log(two[row, member[own]]) * on[own]
-                two[row, member[own]] -= 1
-                two *= on[own, None]
-                g["c2"][branch], g["b2"][branch] = flat[own].T @ two, two.sum(0)
-                dh[own] += two @ w["c2"][branch].T
-        loss = -float(loss.sum())
-        dh = dh.reshape(h.shape) * (1 - h * h)
-        g["o"], g["x"], g["b"] = np.einsum("nti,ntj->ij", m, dh), np.einsum("nti,ntj->ij", e, dh), dh.sum((0, 1))
-        de, dm = dh @ w["x"].T, dh @ w["o"].T
-        da = dm @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(2, keepdims=True)) * D**-0.5
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], 2)
-        g["qkv"] = np.einsum("nti,ntj->ij", e, dqkv)
+            i, j = cuts[branch], cuts[branch + 1]
+            if j > i:
+                two = _softmax(own[i:j] @ w["c2"][branch] + w["b2"][branch])
+                chance[i:j] *= two[row[: j - i], member[i:j]]
+                two[row[: j - i], member[i:j]] -= 1
+                two /= two.dtype.type(n)
+                g["c2"][branch], g["b2"][branch] = own[i:j].T @ two, two.sum(0)
+                back[i:j] += two @ w["c2"][branch].T
+        loss = -float(np.log(chance).sum()) / n
+        own *= own
+        back *= 1 - own
+        dh = np.zeros((x.size, D), h.dtype)
+        dh[at] = back
+        e, m = e.reshape(-1, D), m.reshape(-1, D)
+        g["o"], g["x"], g["b"] = m.T @ dh, e.T @ dh, back.sum(0)
+        de, dm = dh @ w["x"].T, (dh @ w["o"].T).reshape(h.shape)
+        ds = dm @ v.transpose(0, 2, 1)
+        ds -= (a * ds) @ np.ones((WIDTH, 1), a.dtype)
+        ds *= a
+        ds *= a.dtype.type(D**-0.5)
+        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], 2).reshape(-1, 3 * D)
+        g["qkv"] = e.T @ dqkv
         de += dqkv @ w["qkv"].T
-        g["p"] = de.sum(0)
-        np.add.at(g["e"], x, de)
-        return loss, {key: val.astype("f4") for key, val in g.items()}
+        g["p"] = de.reshape(h.shape).sum(0)
+        flat = x.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        g["e"] = np.zeros_like(w["e"])
+        g["e"][flat[first]] = np.add.reduceat(de[order], first, axis=0)
+        return loss, g
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, rate: float, lanes: int = 64, seed: int = 5) -> "Attention":
         rng, m, v = np.random.default_rng(seed), {}, {}
@@ -157,7 +176,7 @@ class Attention:
             for key, g in grad.items():
                 m[key] = 0.9 * m.get(key, 0) + 0.1 * g
                 v[key] = 0.98 * v.get(key, 0) + 0.02 * g * g
-                self.w[key] = self.w[key] - now * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.98**step)) + 1e-8)
+                self.w[key] = (self.w[key] - now * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.98**step)) + 1e-8)).astype(self.w[key].dtype)
         return self
 
     def flat(self) -> np.ndarray:
@@ -171,53 +190,52 @@ class Attention:
             at += n
         return self
 
-    def windows_of(self, ids: np.ndarray, sizes: np.ndarray):
-        """(x, y, first scored place, text) of the texts' windows; y is -1 beyond a text's end. ids: flat, ends included."""
-        text, at, first = windows(sizes)
+    def windows_of(self, ids: np.ndarray, sizes: np.ndarray, overlap: int = CONTEXT):
+        """(x, y, text) of the texts' windows; y is -1 beyond a text's end and where the window before has scored. ids: flat, ends included."""
+        text, at = windows(sizes, WIDTH - overlap)
         starts = np.cumsum(sizes) - sizes
-        leaf = self.leaf_of[ids]
-        place = at[:, None] + np.arange(WIDTH)
-        inside = place < sizes[text][:, None]
-        flat = np.minimum(starts[text][:, None] + place, len(ids) - 1)
-        y = np.where(inside, leaf[flat], -1)
-        x = np.where(inside & (place > 0), leaf[np.maximum(flat - 1, 0)], LEAVES)
-        return x, y, first, text
+        # each text's leaves with the sign of a beginning before them
+        line = np.full(len(ids) + len(sizes) + WIDTH, LEAVES, np.int16)
+        line[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = self.leaf_of[ids]
+        rows = np.lib.stride_tricks.sliding_window_view(line, WIDTH)
+        first = starts[text] + text + at
+        x, y = rows[first], rows[first + 1]
+        end = sizes[text] - at  # ids from the window's start to the text's end
+        short = np.flatnonzero(end < WIDTH)
+        y[short] = np.where(np.arange(WIDTH) < end[short, None], y[short], -1)
+        if overlap:
+            y[at > 0, :overlap] = -1
+        return x, y, text
+
+    def _in_parts(self, sizes: np.ndarray, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+        """(first text, last, first id, last) of runs of texts with about PART windows."""
+        part = np.cumsum(1 + np.maximum(0, -(-(sizes - WIDTH) // (WIDTH - overlap)))) // PART
+        starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        a = 0
+        for b in np.concatenate([np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist() if len(sizes) else []:
+            yield a, b, starts[a], starts[b]
+            a = b
 
     def learn(self, ids: np.ndarray, sizes: np.ndarray, rate: float, seed: int) -> int:
-        """Trains once on every window of the texts, in a random order; how many windows there were."""
-        total, a = 0, 0
-        n = 1 + np.maximum(0, -(-(sizes - WIDTH) // (WIDTH - CONTEXT)))
-        part = np.cumsum(n) // PART
-        cuts = np.concatenate([np.flatnonzero(np.diff(part)) + 1, [len(sizes)]])
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        for b in cuts.tolist() if len(sizes) else []:
-            x, y, _, _ = self.windows_of(ids[starts[a] : starts[b]], sizes[a:b])
-            self.train(x, y, steps=-(-len(x) // 64), rate=rate, seed=seed + a)
-            total, a = total + len(x), b
+        """Trains once on every id of the texts, in a random order of windows; how many windows there were."""
+        total = 0
+        for a, b, i, j in self._in_parts(sizes, 0):
+            x, y, _ = self.windows_of(ids[i:j], sizes[a:b], 0)
+            self.train(x, y, steps=-(-len(x) // LANES), rate=rate, lanes=LANES, seed=seed + a)
+            total += len(x)
         return total
 
-    def scores(self, ids: np.ndarray, sizes: np.ndarray, part: int = 1024) -> np.ndarray:
+    def scores(self, ids: np.ndarray, sizes: np.ndarray, lanes: int = 1024) -> np.ndarray:
         """log10 probability of each text."""
         out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.share[ids], len(sizes))
-        x, y, first, text = self.windows_of(ids, sizes)
-        for a in range(0, len(x), part):
-            yp = y[a : a + part]
-            scored = (yp >= 0) & (np.arange(WIDTH) >= first[a : a + part, None])
-            logs = self.leaf_logs(x[a : a + part], scored, yp[scored])
-            out += np.bincount(np.repeat(text[a : a + part], scored.sum(1)), logs, len(sizes)) / np.log(10)
+        for first, last, i, j in self._in_parts(sizes, CONTEXT):
+            x, y, text = self.windows_of(ids[i:j], sizes[first:last])
+            for a in range(0, len(x), lanes):
+                logs, at = self.leaf_logs(x[a : a + lanes], y[a : a + lanes])
+                out[first:last] += np.bincount(text[a : a + lanes][at // WIDTH], logs, last - first) / np.log(10)
         return out
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, 80, out=z)
-    return np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(-1, keepdims=True))
-    return z / z.sum(-1, keepdims=True)
-
-
 def leaves(counts: np.ndarray) -> np.ndarray:
     """The leaf of each id by its count, before the leaves are numbered: 7 of 8 hold one frequent id each, the others share the rest by rank."""
     rank = np.empty(VOCAB, np.int64)
@@ -265,207 +283,161 @@ def tree(counts: np.ndarray, ids: np.ndarray, pairs: np.ndarray | None = None) -
     return leaf, np.log10(smooth / np.bincount(leaf, smooth, LEAVES)[leaf])
 
 
-BLOCK = "block long, word binary, n_train long, docs binary, times binary, first long, doc_ids binary, held binary, sizes binary, ids binary"
-_WORDS, _HEADS = ("block", "word", "n_train", "docs", "times"), ("block", "first", "doc_ids", "held", "sizes", "ids")
+ENCODED = "row long, doc_id long, held boolean, text string, ids binary, word binary, n long"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, times: int>>"
 
 
-def _cut(raw: bytes, ends: np.ndarray) -> pa.Array:
-    """raw, cut at the given ends, without a copy."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+def _arrow(columns: dict, schema: dict) -> pa.RecordBatch:
+    """columns, and nulls for the others of the schema."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in schema.items()], list(schema))
 
 
-def _arrow(columns: dict) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    types = {k: pa.int64() if t == "long" else pa.binary() for k, t in (c.split() for c in BLOCK.split(", "))}
-    return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in types.items()], list(types))
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about `most` bytes."""
+    part, a = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy().astype(np.int64)) // most, 0
+    for b in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []:
+        yield batch.slice(a, b - a)
+        a = b
 
 
-def _blocks(tokenizer_path: str | None):
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _encoded(tokenizer_path: str | None):
+    schema = {"row": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "text": pa.string(), "ids": pa.binary(), "word": pa.binary(), "n": pa.int64()}
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .subwords import subwords
 
-        encoder, block = subwords(tokenizer_path), TaskContext.get().partitionId() << 33
-
-        def made(doc_ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-            nonlocal block
-            held = np.array([is_held_out(d) for d in doc_ids])
-            codes = Codes()
-            codes[b""]  # the end
-            per_doc = []
-            for t in texts:
-                words = tokens(t)
-                per_doc.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-            lengths = np.array([len(x) for x in per_doc])
-            key = np.concatenate([*per_doc, np.zeros(len(texts), np.int64)]) << 16
-            key |= np.concatenate([np.repeat(np.arange(len(texts)), lengths), np.arange(len(texts))])
-            key, times = np.unique(key, return_counts=True)
-            code, doc = key >> 16, key & 0xFFFF
-            n_train = np.bincount(code, times * ~held[doc], len(codes)).astype(np.int64)
-            cuts = np.searchsorted(code, np.arange(len(codes) + 1))
-            words = list(codes)
-            docs_raw, times_raw = doc.astype("<u2").tobytes(), times.astype("<u4").tobytes()
-            for a in range(0, len(words), 20_000):
-                at = cuts[a : a + 20_001]
-                docs, times = (_cut(raw[size * at[0] : size * at[-1]], size * (at - at[0])) for raw, size in ((docs_raw, 2), (times_raw, 4)))
-                yield _arrow({"block": pa.array(np.full(len(at) - 1, block)), "word": pa.array(words[a : a + 20_000], pa.binary()), "n_train": pa.array(n_train[a : a + 20_000]), "docs": docs, "times": times})
-            del codes, words, per_doc, key, code, doc
-            for a in range(0, len(texts), HEAD_DOCS):
-                ids = [np.append(x, np.uint16(END)) for x in encoder.encode(texts[a : a + HEAD_DOCS])]
-                own, kept = doc_ids[a : a + HEAD_DOCS], held[a : a + HEAD_DOCS]
-                known = np.array([d is not None for d in own])
-                one = {"doc_ids": np.array([d if k else -1 for d, k in zip(own, known)], "<i8"), "held": (2 * ~known + kept).astype(np.uint8), "sizes": np.array([len(x) for x in ids], "<i8"), "ids": np.concatenate(ids).astype("<u2")}
-                yield _arrow({"block": pa.array([block]), "first": pa.array([a])} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in one.items()})
-            block += 1
-
-        doc_ids, texts, chars = [], [], 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    doc_ids.append(d)
-                    texts.append(t or "")
-                    chars += len(texts[-1])
-                    if len(texts) == BLOCK_DOCS or chars >= BLOCK_CHARS:
-                        yield from made(doc_ids, texts)
-                        doc_ids, texts, chars = [], [], 0
-        if texts:
-            yield from made(doc_ids, texts)
+        encoder, counts = subwords(tokenizer_path), Counter()
+        end = np.uint16(END).tobytes()
 
-    return blocks
+        def counted() -> Iterator[pa.RecordBatch]:
+            words = list(counts.items())
+            counts.clear()
+            for a in range(0, len(words), 20_000):
+                yield _arrow({"word": pa.array([w for w, _ in words[a : a + 20_000]], pa.binary()), "n": pa.array([n for _, n in words[a : a + 20_000]])}, schema)
 
+        for batch in batches:
+            for part in _slices(batch, CHARS):
+                texts = part.column("text").to_pylist()
+                held = [is_held_out(d) for d in part.column("doc_id").to_pylist()]
+                for t, h in zip(texts, held):
+                    if not h:
+                        counts.update(tokens(t))
+                        counts[b""] += 1  # the end
+                yield _arrow({"row": part.column("row"), "doc_id": part.column("doc_id"), "held": pa.array(held), "text": part.column("text"), "ids": pa.array([x.tobytes() + end for x in encoder.encode(texts)], pa.binary())}, schema)
+                if len(counts) > HELD_WORDS:
+                    yield from counted()
+        yield from counted()
 
-def _texts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row.ids, "<u2"), np.frombuffer(row.sizes, "<i8"), np.frombuffer(row.held, np.uint8)
+    return encoded
 
 
-def _training(ids: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = held & 1 == 0
-    return ids[np.repeat(keep, sizes)], sizes[keep]
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows one after another, and how many each has."""
+    column = batch.column("ids")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint16, (ends[-1] - ends[0]) // 2, ends[0]), np.diff(ends).astype(np.int64) // 2
 
 
-def fit(blocks: DataFrame) -> Attention:
-    """From the header rows of the blocks."""
-    spark = blocks.sparkSession
+def _summed(texts: DataFrame, size: int, of) -> np.ndarray:
+    """The sum over all batches of of(ids, sizes), an array of `size` counts."""
 
-    def count(batches):
-        total = np.zeros(VOCAB, np.int64)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for row in batch.itertuples():
-                total += np.bincount(_training(*_texts(row))[0], minlength=VOCAB)
+            if batch.num_rows:
+                total += of(*_ids(batch))
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    counts = np.zeros(VOCAB)
-    for r in blocks.mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
+    out = np.zeros(size)
+    summed = texts.select("ids").mapInArrow(sums, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out[summed["at"].to_numpy()] = summed["n"]
+    return out
 
-    def few(batches):
-        for batch in batches:
-            for row in batch.itertuples():
-                ids, sizes = _training(*_texts(row))
-                starts = np.cumsum(sizes) - sizes
-                rng = np.random.default_rng(row.block)
-                for i in rng.permutation(len(sizes))[:SAMPLE]:
-                    cut = ids[starts[i] : starts[i] + sizes[i]]
-                    at = int(rng.integers(0, max(1, len(cut) - 512)))
-                    yield pd.DataFrame({"chance": [rng.random()], "ids": [cut[at : at + 512].tobytes()]})
 
+def fit(texts: DataFrame) -> Attention:
+    """From the training rows: row, ids (with the end id)."""
+    spark = texts.sparkSession
+    counts = _summed(texts, VOCAB, lambda ids, sizes: np.bincount(ids, minlength=VOCAB))
     leaf = leaves(counts)
-
-    def next_leaves(batches):
-        total = np.zeros(LEAVES * LEAVES, np.int64)
-        for batch in batches:
-            for row in batch.itertuples():
-                total += follows(leaf, *_training(*_texts(row)))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": at, "n": total[at]})
-
-    pairs = np.zeros(LEAVES * LEAVES)
-    summed = blocks.mapInPandas(next_leaves, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pairs[summed["pair"].to_numpy()] = summed["n"]
-    rows = blocks.mapInPandas(few, "chance double, ids binary").orderBy("chance", "ids").limit(SAMPLE).collect()
-    some = [np.frombuffer(r.ids, "<u2") for r in rows]
+    pairs = _summed(texts, LEAVES * LEAVES, lambda ids, sizes: follows(leaf, ids, sizes))
     net = Attention(*tree(counts, np.empty(0, np.uint16), pairs))
+    # the start: crops of a bounded sample, by hash
+    chance = F.xxhash64("row")
+    crop = F.substring("ids", 1 + 2 * F.pmod(F.xxhash64("row", F.lit(1)), F.greatest(F.octet_length("ids") / 2 - SAMPLE_IDS, F.lit(1)).cast("long")).cast("int"), F.lit(2 * SAMPLE_IDS))
+    some = [np.frombuffer(r.ids, np.uint16) for r in texts.select(chance.alias("chance"), crop.alias("ids")).orderBy("chance").limit(SAMPLE).collect()]
     if not some:
         return net
-    x, y, _, _ = net.windows_of(np.concatenate(some), np.array([len(s) for s in some]))
+    x, y, _ = net.windows_of(np.concatenate(some), np.array([len(s) for s in some]))
     net.train(x, y, steps=3000, rate=0.02)
     hold = spark.sparkContext.broadcast(net)
 
-    def further(batches):
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
         own, n = None, 0
         for batch in batches:
-            for row in batch.itertuples():
-                ids, sizes = _training(*_texts(row))
-                if not len(sizes):
-                    continue
+            if batch.num_rows:
                 own = own or copy.deepcopy(hold.value)
-                n += own.learn(ids, sizes, rate=0.004, seed=int(row.block & 0xFFFF) + int(row.first))
+                n += own.learn(*_ids(batch), rate=0.01, seed=batch.column("row")[0].as_py() & 0xFFFF)
         if own is not None:
-            yield pd.DataFrame({"at": np.arange(len(own.flat())), "v": own.flat().astype(float) * n, "n": n})
+            flat = own.flat().astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["at", "v", "n"])
 
-    means = blocks.mapInPandas(further, "at int, v double, n long").groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
+    means = texts.mapInArrow(further, "at long, v double, n long").groupBy("at").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
     flat = net.flat()
-    for r in means:
-        flat[r.at] = r.v
+    flat[means["at"].to_numpy()] = means["v"]
     return net.take(flat)
 
 
+class _Known(dict):
+    """Counts of frequent words; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def scores(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "lm-blocks")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_blocks(tokenizer_path), BLOCK).write.parquet(path)
-    rows = spark.read.parquet(path)
-    heads = rows.where("word is null").select(*_HEADS)
-    words = rows.where("word is not null").select(*_WORDS)
-    counts = written(words.groupBy("word").agg(F.sum("n_train").alias("c")).where("c > 0"))
+    spark, scratch = docs.sparkSession, []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(rows.mapInArrow(_encoded(tokenizer_path), ENCODED), "lm-texts", scratch, compression="zstd")
+    texts = rows.where("word is null")
+    counts = written(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words", compression="zstd")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     train_tokens, distinct = int(total.n or 0), int(total.v)
-    hold = spark.sparkContext.broadcast(fit(heads))
+    frequent = counts.where(F.col("c") >= train_tokens / FREQUENT).where(F.length("word") <= 64)
+    known = spark.sparkContext.broadcast({bytes(r.word): r.c for r in frequent.toLocalIterator()})
+    hold = spark.sparkContext.broadcast(fit(texts.where("not held").select("row", "ids")))
+    log_c = lambda c: np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
 
-    def scored(batches):
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _Known(known.value)
         for batch in batches:
-            for row in batch.itertuples():
-                ids, sizes, _ = _texts(row)
-                # parts of about a million ids
-                part = np.cumsum(sizes) >> 20
-                ends = np.concatenate([np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist()
-                starts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                out, a = [], 0
-                for b in ends:
-                    out.append(hold.value.scores(ids[starts[a] : starts[b]], sizes[a:b]))
-                    a = b
-                yield pd.DataFrame({"block": [row.block], "first": [row.first], "doc_ids": [row.doc_ids], "held": [row.held], "scores": [np.concatenate(out).tobytes()]})
-
-    by_net = heads.mapInPandas(scored, "block long, first long, doc_ids binary, held binary, scores binary")
-
-    def summed(own: pa.Table, net: pa.Table) -> pa.Table:
-        net = net.sort_by("first")
-        doc_ids, held, score = (np.frombuffer(b"".join(net.column(c).to_pylist()), t) for c, t in (("doc_ids", "<i8"), ("held", np.uint8), ("scores", float)))
-        n_tokens, n_known, base = np.zeros(len(held)), np.zeros(len(held)), np.zeros(len(held))
-        for part in own.to_batches():
-            docs, times = part.column("docs"), part.column("times")
-            (doc, ends), (times, _) = _values(docs, "<u2"), _values(times, "<u4")
-            c = np.repeat(part.column("c").to_numpy(), np.diff(ends))
-            n_tokens += np.bincount(doc, times, len(held))
-            n_known += np.bincount(doc, times * (c > 0), len(held))
-            base += np.bincount(doc, times * np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1))), len(held))
-        whole = lambda x: pa.array(x.astype(np.int64))
-        return pa.table({
-            "doc_id": pa.array(doc_ids, mask=held & 2 == 2), "held_out": pa.array(held & 1 == 1), "n_tokens": whole(n_tokens), "n_known": whole(n_known),
-            "train_tokens": pa.array(np.full(len(held), train_tokens)), "base_score": pa.array(base), "score": pa.array(score)})
-
-    counted = words.join(counts, "word", "left").select("block", F.coalesce("c", F.lit(0)).alias("c"), "docs", "times")
-    return counted.groupBy("block").cogroup(by_net.groupBy("block")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all rows of a binary column one after another, and where rows end among them."""
-    size = np.dtype(kind).itemsize
-    raw, ends = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(raw, kind, (ends[-1] - ends[0]) // size, ends[0]), ends // size
+            for part in _slices(batch, CHARS):
+                n, n_known, base, rare, ends = [], [], [], [], [0]
+                for t in part.column("text").to_pylist():
+                    words = tokens(t)
+                    words.append(b"")
+                    c = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+                    there = c >= 0
+                    n.append(len(words))
+                    n_known.append(int(there.sum()))
+                    base.append(float(log_c(c[there]).sum()))
+                    if n_known[-1] < n[-1]:
+                        rare += Counter([words[i] for i in np.flatnonzero(~there).tolist()]).items()
+                    ends.append(len(rare))
+                pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in rare], pa.binary()), pa.array([k for _, k in rare], pa.int32())], ["word", "times"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("doc_id"), part.column("held"), pa.array(n), pa.array(n_known), pa.array(base, pa.float64()), pa.array(hold.value.scores(*_ids(part))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                    [c.split()[0] for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare")])
+
+    done = written(texts.select("row", "doc_id", "held", "text", "ids").mapInArrow(scored, SCORED), "lm-scores", compression="zstd")
+    discard(spark, scratch)
+    c = F.coalesce("c", F.lit(0))
+    rest = done.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(train_tokens + 0.5 * (distinct + 1)))).alias("rest"))
+    return done.drop("rare").join(rest, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")

@@ -17,6 +17,8 @@ END_ID = 1
 VOCAB_FILE = "word_bpe_49k.json"
 #: Words that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Characters of a text whose words are looked up at once.
+PART = 1_000_000
 
 
 def default_path() -> str:
@@ -62,7 +64,12 @@ class Subwords:
     def _learn(self, words: list[str]) -> None:
         lines, plain = [], []
         for w in words:
-            if self._odd.search(w):
+            plain_ascii = w.isascii() and w.isprintable()
+            if plain_ascii and w.isalpha():
+                plain.append((w, 1))
+                lines.append(w.lower())
+                continue
+            if "<|" in w if plain_ascii else self._odd.search(w):
                 self._known[w] = self._by_library(w)
                 continue
             low = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
@@ -84,18 +91,31 @@ class Subwords:
             self._slow = Tokenizer.from_file(self._path)
         return np.array(self._slow.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        known = self._known
+        new = {w for w in words if w not in known}
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                self._known = known = {"": b""}
+                new = set(words) - {""}
+            self._learn(list(new))
+        return b"".join(map(known.__getitem__, words))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
-        for a in range(0, len(texts), 64):
-            if len(self._known) > REMEMBERED:
-                self._known = {"": b""}
-            words = [(t or "").replace("\n", " ").split(" ") for t in texts[a : a + 64]]
-            known = self._known
-            new = {w for ws in words for w in ws if w not in known}
-            if new:
-                self._learn(list(new))
-            get = known.__getitem__
-            out += [np.frombuffer(b"".join(map(get, ws)), np.uint16) for ws in words]
+        for t in texts:
+            if t is None or len(t) <= PART:
+                out.append(np.frombuffer(self._ids(t or ""), np.uint16))
+                continue
+            # a very long text in parts, cut at spaces, which end a word
+            raw, a = [], 0
+            while a < len(t):
+                b = t.find(" ", a + PART)
+                b = len(t) if b < 0 else b
+                raw.append(self._ids(t[a:b]))
+                a = b + 1
+            out.append(np.frombuffer(b"".join(raw), np.uint16))
         return out
 
 

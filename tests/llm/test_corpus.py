@@ -250,23 +250,49 @@ def test_scores(spark, documents, odd, none):
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(ws), sum(w in c for w in ws), total)
         assert r.base_score == pytest.approx(sum(log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in ws)) and r.score < 0
-    assert lm_scoring.scores(odd.limit(4)).count() == 4 and lm_scoring.scores(none).count() == 0
+    strange = lm_scoring.scores(odd).collect()
+    assert len(strange) == 12 and lm_scoring.scores(none).count() == 0
+    by_text = defaultdict(set)
+    for r in strange:
+        by_text[r.doc_id].add((r.n_tokens, round(r.base_score, 9), round(r.score, 6)))
+    assert by_text[0] == by_text[1] and by_text[2] == by_text[3] and {n for n, _, _ in by_text[5]} == {60_001}
+    assert not [r for r in strange if r.doc_id is None][0].held_out
+
+
+def test_network_learns_order(spark):
+    """Words that follow each other by a rule: what a unigram can't see, the network must."""
+    words = "time people water house river stone bread light night field horse music paper glass green stand table voice chair woman".split()
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(300):
+        at = int(rng.integers(len(words)))
+        line = []
+        for _ in range(60):
+            line.append(words[at])
+            at = (at * 7 + 3 + int(rng.integers(2))) % len(words)
+        texts.append(" ".join(line))
+    got = lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > 0.5 * got["sum(base_score)"]
 
 
 def test_network_is_a_probability():
     leaf, share = lm_scoring.tree(np.arange(lm_scoring.VOCAB)[::-1].astype(float), np.arange(50))
     net = lm_scoring.Attention(leaf, share)
     x = np.full((lm_scoring.LEAVES, lm_scoring.WIDTH), lm_scoring.LEAVES)
-    first = np.zeros(x.shape, bool)
-    first[:, 0] = True
-    by_leaf = net.leaf_logs(x, first, np.arange(lm_scoring.LEAVES))
+    y = np.full(x.shape, -1)
+    y[:, 0] = np.arange(lm_scoring.LEAVES)
+    logs, at = net.leaf_logs(x, y)
+    by_leaf = np.empty(lm_scoring.LEAVES)
+    by_leaf[at // lm_scoring.WIDTH] = logs
     assert np.exp(by_leaf).sum() == pytest.approx(1, abs=1e-3)
     assert (10 ** (share + by_leaf[leaf] / np.log(10))).sum() == pytest.approx(1, abs=1e-3)
     # each id is scored once
     ids, sizes = np.arange(2, 102).astype(np.uint16), np.array([1, 99])
-    _, y, start, text = net.windows_of(ids, sizes)
-    scored = (y >= 0) & (np.arange(lm_scoring.WIDTH) >= start[:, None])
-    assert np.bincount(text, scored.sum(1)).tolist() == sizes.tolist()
+    _, y, text = net.windows_of(ids, sizes)
+    assert np.bincount(text, (y >= 0).sum(1)).tolist() == sizes.tolist()
+    # a text's score is the same alone, beside others and in other parts
+    own = net.scores(ids[1:], np.array([99]))
+    assert net.scores(ids, sizes, lanes=3)[1] == pytest.approx(own[0])
 
 
 # 9
