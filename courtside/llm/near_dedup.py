@@ -7,14 +7,15 @@ is later than all registers' (early termination). Registers are hashed in bands,
 and candidates are verified by their exact probability Jaccard similarity, `least` or more. For texts whose shingles all come once this
 is the plain Jaccard similarity.
 
-Texts with the same words are one text from the start. Candidates are looked at in three turns, and links of one turn are
+Texts with the same words are one text from the start. Candidates are looked at in turns, and links of one turn are
 components in the next:
 1. each text is compared with the one leader, of all the leaders of its buckets, whose registers are most like its own;
-2. in buckets that still hold texts of several components, each text is compared with the likeliest text of each other component;
-3. then with every text of another component that is likely enough.
-Turns 2 and 3 go through a bucket in chunks of bounded size, a pair of chunks a row: one bit of each register (192 bits a text) is compared in
-bulk, and only pairs whose bits agree as often as those of `least` do are handed on. So no bucket is held in one task, none is expanded into its pairs,
-and no link is left out: texts of different components in a bucket are unlike, by their bits or word for word.
+2. in buckets that still hold texts of several components, each text but those of the largest component is compared with the
+   likeliest text of any other component; this goes on while it finds links, TURNS times at most;
+3. then each text with every text of another component that is likely enough.
+Turns 2 and 3 go through a bucket in chunks of bounded size, a pair of chunks a row: sketches of one bit for each of WIDE registers are compared
+in bulk, and only pairs whose bits agree as often as those of `least` do are handed on. So no bucket is held in one task, none is expanded into its pairs,
+and no link is left out: texts of different components in a bucket are unlike, by their sketches or word for word.
 
 Texts without words (null, empty, punctuation alone) are each a class of their own; texts of under five words have one
 shingle, of all of them; very long texts are hashed whole; each row is classed by its own text, so rows that share a doc_id may be in
@@ -39,10 +40,17 @@ SHINGLE = 5
 ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
 LEAST = 0.8
-#: Bits of two texts of similarity 0.8 agree at 172.8 of 192 places in the mean, deviation 4.2; at fewer than this with a chance of 1e-5.
-LEAST_ALIKE = 155
-CHUNK = 1024
-_PART = 400_000
+#: Registers of which a bit each is kept of texts that share a band.
+WIDE = 2048
+CHUNK, TURNS = 256, 4
+#: Shingles and texts that are hashed at once.
+_PART, _TEXTS, _WIDE_TEXTS = 400_000, 4000, 1000
+
+
+def least_alike(bits: int, least: float) -> int:
+    """How many bits of two texts of similarity `least` agree, but for a chance of 1e-5: a bit agrees where the registers do, and at every other place by chance."""
+    p = (1 + least) / 2
+    return int(bits * p - 4.2 * (bits * p * (1 - p)) ** 0.5)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,21 +80,21 @@ def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text[first], h[first], weight
 
 
-def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """(n, REGISTERS): in each register the shingle that arrived first."""
-    arrival, owner = np.full(n * REGISTERS, np.inf), np.zeros(n * REGISTERS, np.uint64)
+def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
+    """(n, registers): in each register the shingle that arrived first."""
+    arrival, owner = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
     t, turn = np.zeros(len(text)), 0
     while len(text):
         turn += 1
         draw = _mix(shingle + np.uint64((turn * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF))
         t = t - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
-        register = text * REGISTERS + (_mix(draw) % np.uint64(REGISTERS)).astype(np.int64)
+        register = text * registers + (_mix(draw) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(arrival, register, t)
         first = t == arrival[register]
         owner[register[first]] = shingle[first]
-        go_on = t < arrival.reshape(n, REGISTERS).max(1)[text]
+        go_on = t < arrival.reshape(n, registers).max(1)[text]
         text, shingle, weight, t = text[go_on], shingle[go_on], weight[go_on], t[go_on]
-    return owner.reshape(n, REGISTERS)
+    return owner.reshape(n, registers)
 
 
 def probability_jaccard(a: dict[int, int] | tuple, b: dict[int, int] | tuple) -> float:
@@ -116,11 +124,11 @@ def _keyed(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(*columns, F.unhex(F.md5(F.array_join("words", " "))).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
-def _parts(lists: pa.ListArray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _parts(lists: pa.ListArray, most: int, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last, flat values, sizes) of runs of rows that hold about `most` values; null lists are not among them."""
     ends, flat, a, n = lists.offsets.to_numpy(), lists.values.to_numpy(), 0, len(lists)
     while a < n:
-        b = min(n, max(a + 1, int(np.searchsorted(ends, ends[a] + most)) - 1))
+        b = min(n, a + rows, max(a + 1, int(np.searchsorted(ends, ends[a] + most)) - 1))
         yield a, b, flat[ends[a] : ends[b]], np.diff(ends[a : b + 1]).astype(np.int64)
         a = b
 
@@ -131,7 +139,7 @@ SIGNED = "id long, doc_id long, text_key binary, bands array<long>, s0 long, s1
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids are scrambled row numbers, so that the least id of a bucket is any of its texts."""
     for batch in batches:
-        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART):
+        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART, _TEXTS):
             owner = signatures(*shingles(flat, sizes), len(sizes))
             keys = np.zeros((len(sizes), BANDS), np.uint64)
             for k in range(ROWS):
@@ -146,19 +154,23 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [c.split()[0] for c in SIGNED.split(", ")])
 
 
+TEXTS = "id long, shingles binary, weights binary, wide binary"
+
+
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sorted distinct shingles, their weights; no weights where each comes once) of hashed words."""
+    """(id, sorted distinct shingles, their weights, sketch; no weights where each comes once) of hashed words."""
     for batch in batches:
-        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART):
+        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART, _WIDE_TEXTS):
             text, shingle, weight = shingles(flat, sizes)
+            wide = np.packbits((signatures(text, shingle, weight, len(sizes), WIDE) & np.uint64(1)).astype(np.uint8), axis=1)
             order = np.lexsort((shingle, text))
             text, shingle, weight = text[order], shingle[order], weight[order]
             cuts = np.searchsorted(text, np.arange(len(sizes) + 1)).tolist()
             ones = np.minimum.reduceat(weight == 1, cuts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").slice(a, b - a), pa.array([shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
-                 pa.array([None if one else weight[i:j].astype("<i4").tobytes() for one, i, j in zip(ones, cuts, cuts[1:])], pa.binary())],
-                ["id", "shingles", "weights"])
+                 pa.array([None if one else weight[i:j].astype("<i4").tobytes() for one, i, j in zip(ones, cuts, cuts[1:])], pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary())],
+                [c.split()[0] for c in TEXTS.split(", ")])
 
 
 def similarity(a: bytes, wa: bytes | None, b: bytes, wb: bytes | None) -> float:
@@ -178,7 +190,7 @@ def _verified(least: float):
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("shingles_a", "weights_a", "shingles_b", "weights_b"))
             keep = [similarity(*row) >= least for row in zip(*columns)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "ca", "cb"])
 
     return verify
 
@@ -187,60 +199,77 @@ def _agreement(a: str, b: str):
     return F.lit(REGISTERS) - sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(3)), F.lit(0))
 
 
-def _crossing(best: bool):
-    """Of pairs of chunks: the pairs (a, b) of texts of different components whose bits are alike; best: for each text only the likeliest of each other component."""
+PAIRS = "a long, b long, ca long, cb long, n int"
+
+
+def _crossing(best: bool, alike: int):
+    """Of pairs of chunks: pairs (a, b) of texts of different components whose bits are alike, with their components and the bits that agree.
+
+    best: for each text that is not of the largest component only the likeliest of another.
+    """
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values for c in ("xs", "ys"))
-                take = lambda t, c: t.field(c).to_numpy(zero_copy_only=False)
-                (xi, xc), (yi, yc) = ((take(t, "id"), take(t, "component")) for t in (x, y))
+                sides = []
+                for c in ("xs", "ys"):
+                    t = batch.column(c)[i].values
+                    wide = np.frombuffer(b"".join(t.field("wide").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+                    sides.append((t.field("id").to_numpy(), t.field("component").to_numpy(), wide))
+                (xi, xc, xw), (yi, yc, yw) = sides
                 n = np.zeros((len(xi), len(yi)), np.int16)
-                for k in range(3):
-                    n += np.bitwise_count(take(x, f"s{k}")[:, None] ^ take(y, f"s{k}")[None, :])
-                n = REGISTERS - n
-                a, b = np.nonzero((n >= LEAST_ALIKE) & (xc[:, None] != yc[None, :]))
-                if best and len(a):
-                    # a text of either side with a component of the other
-                    both = []
-                    for own, other in ((a, yc[b]), (b, xc[a])):
-                        order = np.lexsort((-n[a, b], other, own))
-                        first = np.ones(len(order), bool)
-                        first[1:] = (own[order][1:] != own[order][:-1]) | (other[order][1:] != other[order][:-1])
-                        both.append(order[first])
-                    pick = np.unique(np.concatenate(both))
-                    a, b = a[pick], b[pick]
+                for k in range(WIDE // 64):
+                    n += np.bitwise_count(xw[:, k, None] ^ yw[None, :, k])
+                n = np.where(xc[:, None] == yc[None, :], -1, WIDE - n)
+                if best:
+                    parts, sizes = np.unique(np.concatenate([xc, yc]), return_counts=True)
+                    largest = parts[np.argmax(sizes)]
+                    a = np.concatenate([np.arange(len(xi)), n.argmax(0)])
+                    b = np.concatenate([n.argmax(1), np.arange(len(yi))])
+                    own = np.concatenate([xc, yc]) != largest
+                    swap = np.repeat([False, True], [len(xi), len(yi)])
+                    keep = own & (n[a, b] >= alike)
+                    a, b, swap = a[keep], b[keep], swap[keep]
+                else:
+                    a, b = np.nonzero(n >= alike)
+                    swap = xi[a] > yi[b]
                 if len(a):
-                    p, q = xi[a], yi[b]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+                    pick = lambda x, y: pa.array(np.where(swap, y, x))
+                    yield pa.RecordBatch.from_arrays([pick(xi[a], yi[b]), pick(yi[b], xi[a]), pick(xc[a], yc[b]), pick(yc[b], xc[a]), pa.array(n[a, b].astype(np.int32))], ["a", "b", "ca", "cb", "n"])
 
     return crossing
 
 
-def _in_chunks(members: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of likely texts of different components in a bucket. members: bucket, id, component, s0, s1, s2."""
+def _apart(members: DataFrame) -> DataFrame:
+    """The members of buckets in which there are several components."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    sizes = sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    chunked = members.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    chunks = chunked.groupBy("bucket", "chunks", "chunk").agg(F.collect_list(F.struct("id", "component", "s0", "s1", "s2")).alias("xs"))
+    return members.join(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "bucket")
+
+
+def _in_chunks(members: DataFrame, best: bool, least: float) -> DataFrame:
+    """PAIRS of likely texts of different components in a bucket. members: bucket, id, component, wide."""
+    chunked = _apart(members).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    chunks = chunked.groupBy("bucket", "chunks", "chunk").agg(F.collect_list(F.struct("id", "component", "wide")).alias("xs"))
     single = chunks.where("chunks = 1").select("xs", F.col("xs").alias("ys"))
     many = chunks.where("chunks > 1")
     left = many.select("bucket", "xs", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"))
     double = left.join(many.select("bucket", "chunk", F.col("xs").alias("ys")), ["bucket", "chunk"]).select("xs", "ys")
-    return single.unionByName(double).mapInArrow(_crossing(best), "a long, b long").distinct()
+    pairs = single.unionByName(double).mapInArrow(_crossing(best, least_alike(WIDE, least)), PAIRS)
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("n", "b", "ca", "cb")).alias("p")).select("a", "p.b", "p.ca", "p.cb")
+    return pairs.select("a", "b", "ca", "cb").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) of ids those that are near-duplicates by their words."""
+    """Of pairs (a, b, and their components ca, cb) those that are near-duplicates by their words."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("shingles").alias(f"shingles_{side}"), F.col("weights").alias(f"weights_{side}")), side)
-    return pairs.select("a", "b", "shingles_a", "weights_a", "shingles_b", "weights_b").mapInArrow(_verified(least), "a long, b long")
+    return pairs.select("a", "b", "ca", "cb", "shingles_a", "weights_a", "shingles_b", "weights_b").mapInArrow(_verified(least), "a long, b long, ca long, cb long")
 
 
 def _relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with the components that links join; links' ids are components' names or texts, whose components they mean."""
-    joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    """members with the components that links join."""
+    joined = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("now"))
     return members.join(joined, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
 
 
@@ -268,27 +297,23 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     near = written(near, "near", scratch)
     few = near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = _keyed(docs).join(F.broadcast(near) if few else near, "text_key").dropDuplicates(["id"]).select("id", "hashes")
-    texts = written(texts.mapInArrow(_weighed, "id long, shingles binary, weights binary"), "shingles", scratch)
+    texts = written(texts.mapInArrow(_weighed, TEXTS), "shingles", scratch)
     # 1: the likeliest leader
     led = members.select("id", *bits, F.explode(F.array("lo", "hi")).alias("b")).where("id <> b").distinct()
-    led = led.join(sketch.select(F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in bits)), "b").withColumn("n", _agreement("s", "bs")).where(F.col("n") >= LEAST_ALIKE)
-    led = led.groupBy("id").agg(F.max(F.struct("n", "b")).alias("most")).select(F.col("id").alias("a"), F.col("most.b").alias("b"))
-    links = written(_links(led, texts, least), "links", scratch)
-    every = links
-    step: list[str] = []
-    members = written(_relabelled(members.select("bucket", "id", F.col("id").alias("component"), *bits), links), "members", step)
-    # 2 and 3
-    for best in (True, False):
-        links = written(_links(_in_chunks(members, best), texts, least), "links", scratch)
+    led = led.join(sketch.select(F.col("id").alias("b"), *(F.col(c).alias(f"b{c}") for c in bits)), "b").withColumn("n", _agreement("s", "bs")).where(F.col("n") >= least_alike(REGISTERS, least))
+    led = led.groupBy("id").agg(F.max(F.struct("n", "b")).alias("most")).select(F.col("id").alias("a"), F.col("most.b").alias("b"), F.col("id").alias("ca"), F.col("most.b").alias("cb"))
+    every = links = written(_links(led, texts, least), "links", scratch)
+    members = _apart(_relabelled(members.select("bucket", "id", F.col("id").alias("component")), links)).drop("chunks")
+    members = written(members.join(texts.select("id", "wide"), "id"), "apart", scratch)
+    # 2
+    for _ in range(TURNS):
+        links = written(_links(_in_chunks(members, True, least), texts, least), "links", scratch)
+        if links.isEmpty():
+            break
         every = every.unionByName(links)
-        if best:
-            of = members.select("id", "component").distinct()
-            sides = links
-            for side in ("a", "b"):
-                sides = sides.join(of.withColumnsRenamed({"id": side, "component": f"c{side}"}), side)
-            sides = sides.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            members = written(_relabelled(members, sides), "members", scratch)
-            discard(spark, step)
+        members = written(_relabelled(members, links), "apart", scratch)
+    # 3
+    every = every.unionByName(written(_links(_in_chunks(members, False, least), texts, least), "links", scratch))
     joined = connected_components(every)
     found = reps.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least_id = found.groupBy("component").agg(F.min("doc_id").alias("class_id"))
