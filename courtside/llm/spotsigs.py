@@ -1,12 +1,15 @@
 """SpotSigs: fingerprints from chains of content words that follow common words.
 
 Wherever an anchor stands, the CHAIN content words after it form, with it, one spot signature; a text's fingerprint
-is the set of its signatures, as sorted 24-bit numbers in base 64. Anchors are the common words below and, for texts that
-have few of them (tables, lists), one in RARE of all other words by hash. Two fingerprints are as alike as the Jaccard
-similarity of their sets, and sets of too different sizes aren't compared at all.
+is the set of its signatures, 64-bit numbers of which the printed fingerprint shows the first 24 bits each, in base 64. Anchors are the common words
+below; only for texts that have no chain after any of these (tables, lists), one in RARE of all words by hash. Two fingerprints are as alike as the
+Jaccard similarity of their sets. Sets are partitioned by their length, in steps of 1 / least: sets of partitions that aren't neighbours can't be
+alike, nor can sets of too different lengths within these, and the comparison of two others ends as soon as too many signatures lack a partner.
 
 Null and empty texts, and texts without words, have the empty fingerprint; texts too short for a chain have one signature, of all their
-words. Equal texts have equal fingerprints. Two empty fingerprints are alike (1), an empty one and another aren't (0).
+words; very long texts are read whole. Equal texts have equal fingerprints. Two empty fingerprints are alike (1), an empty one and another aren't (0).
+The next document of a row is the one with the next doc_id, null ids first, ties (rows that share an id, or have none) by their texts; repeated rows have a row
+each. An empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +33,7 @@ der die das und von den des im ist zu mit ein eine nicht auf als dem es
 le la les de un une et en que qui du est au pour dans par sur
 el los las y es por con para se del al su lo
 """.split())
-CHAIN, RARE = 2, 8
-_BITS = 24
+CHAIN, RARE, LEAST = 2, 8, 0.8
 _WORD = re.compile(r"\w+")
 
 
@@ -43,7 +46,7 @@ class Spots:
     def signatures(self, text: str | None) -> np.ndarray:
         words = _WORD.findall((text or "").lower())
         if not words:
-            return np.empty(0, np.uint32)
+            return np.empty(0, np.uint64)
         if len(self._known) > 400_000:
             self._known = {}
         known = self._known
@@ -55,21 +58,28 @@ class Spots:
             for w in words:
                 if w not in known:
                     h = xxhash.xxh64_intdigest(w) & ~3
-                    common = w in ANCHORS
-                    known[w] = h | (2 if common else 0) | (1 if common or h >> 40 & 0xFF < 256 // RARE else 0)
+                    known[w] = h | (2 if w in ANCHORS else 0) | (1 if h >> 40 & 0xFF < 256 // RARE else 0)
             codes = np.array([known[w] for w in words], np.uint64)
-        content = codes[codes & 2 == 0]
-        before = np.cumsum(codes & 2 == 0)  # content words up to and with each word
-        at = np.flatnonzero(codes & 1)
-        first = before[at]
-        at, first = at[first + CHAIN <= len(content)], first[first + CHAIN <= len(content)]
-        if not len(at):
-            mixed = _mix(np.bitwise_xor.reduce(_mix(codes + np.arange(len(codes), dtype=np.uint64))).reshape(1))
-        else:
-            mixed = _mix(codes[at])
-            for k in range(CHAIN):
-                mixed = _mix(mixed + content[first + k])
-        return np.unique((mixed >> np.uint64(64 - _BITS)).astype(np.uint32))
+        chains = self._chains(codes, codes & 2 != 0)
+        if not len(chains):
+            chains = self._chains(codes, codes & 1 != 0)
+        if not len(chains):
+            chains = _mix(np.bitwise_xor.reduce(_mix(codes + np.arange(len(codes), dtype=np.uint64))).reshape(1))
+        return np.unique(chains)
+
+    @staticmethod
+    def _chains(codes: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """The signature of each anchor that has CHAIN content words after it."""
+        plain = codes & 2 == 0
+        content = codes[plain]
+        at = np.flatnonzero(anchor)
+        first = np.cumsum(plain)[at]  # content words up to and with the anchor
+        there = first + CHAIN <= len(content)
+        at, first = at[there], first[there]
+        mixed = _mix(codes[at])
+        for k in range(CHAIN):
+            mixed = _mix(mixed + content[first + k])
+        return mixed
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,21 +88,43 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def as_string(signatures: np.ndarray) -> str:
-    return base64.b64encode(signatures.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()).decode()
+    return base64.b64encode(signatures.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()).decode()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard similarity; 0 where the sizes alone keep it below least."""
+def part_of(n: int, least: float = LEAST) -> int:
+    """The length partition of a set of n signatures."""
+    return math.floor(math.log(max(n, 1)) / -math.log(least) + 1e-9)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
     both = np.concatenate([a, b])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
     return common / (len(both) - common)
 
 
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST, step: int = 64) -> bool:
+    """likeness(a, b) >= least, pruned: by length partitions, by lengths, and by the signatures that lack a partner so far."""
+    if not len(a) or not len(b):
+        return len(a) == len(b)
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if part_of(len(b), least) - part_of(len(a), least) > 1 or len(a) < least * len(b):
+        return False
+    # least * union <= common, union = both lengths less common
+    need = math.ceil(least * (len(a) + len(b)) / (1 + least) - 1e-9)
+    common = 0
+    for i in range(0, len(a), step):
+        own = a[i : i + step]
+        at = np.minimum(np.searchsorted(b, own), len(b) - 1)
+        common += int((b[at] == own).sum())
+        if common + len(a) - i - len(own) < need:
+            return False
+    return common >= need
+
+
 def in_order(docs: DataFrame, rows_a_task: int = 4000, most: int = 4096) -> DataFrame:
     """(bucket, own, doc_id, text) sorted within partitions, so that each document is followed by the next by doc_id.
 
@@ -123,40 +155,43 @@ def in_order(docs: DataFrame, rows_a_task: int = 4000, most: int = 4096) -> Data
 def compared(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of an edited text (its last quarter from the next document's start), and their likeness."""
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         spots, last, done = Spots(), None, None
         for batch in batches:
-            out = []
-            for bucket, own, doc_id, text in zip(batch["bucket"], batch["own"], batch["doc_id"], batch["text"]):
-                if bucket == done:  # the first of the rows that were sent here is the next
-                    continue
-                own_set = spots.signatures(text)
-                if last is not None:
-                    prev_id, prev, prev_set = last
-                    k = len(prev) // 4
-                    edited = prev[: len(prev) - k] + text[:k]
-                    edited_set = spots.signatures(edited)
-                    out.append((prev_id, len(prev), hashlib.sha256(edited.encode()).hexdigest(), as_string(prev_set), as_string(edited_set), likeness(prev_set, edited_set), likeness(prev_set, own_set)))
-                last = (None if pd.isna(doc_id) else int(doc_id), text, own_set) if own else None
-                done = None if own else bucket
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return in_order(docs).mapInPandas(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for a in range(0, batch.num_rows, 500):
+                out = []
+                for bucket, own, doc_id, text in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns)):
+                    if bucket == done:  # the first of the rows that were sent here is the next
+                        continue
+                    own_set = spots.signatures(text)
+                    if last is not None:
+                        prev_id, prev, prev_set = last
+                        k = len(prev) // 4
+                        edited = prev[: len(prev) - k] + text[:k]
+                        edited_set = spots.signatures(edited)
+                        out.append((prev_id, len(prev), hashlib.sha256(edited.encode()).hexdigest(), as_string(prev_set), as_string(edited_set), likeness(prev_set, edited_set), likeness(prev_set, own_set), alike(prev_set, edited_set), alike(prev_set, own_set)))
+                    last = (doc_id, text, own_set) if own else None
+                    done = None if own else bucket
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES)], [c.split()[0] for c in COMPARED.split(", ")])
+
+    return in_order(docs).mapInArrow(compare, COMPARED)
+
+
+COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, alike_edited boolean, alike_next boolean"
+_TYPES = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.bool_()] * 2]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, and the signatures as array<int>."""
+    """doc_id, fingerprint, and the signatures as array<long>."""
 
-    @F.pandas_udf("fingerprint string, signatures array<int>")
+    @F.pandas_udf("fingerprint string, signatures array<long>")
     def spot(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         spots = Spots()
         for texts in batches:
             sets = [spots.signatures(t) for t in texts]
-            yield pd.DataFrame({"fingerprint": [as_string(s) for s in sets], "signatures": [s.astype(np.int32) for s in sets]})
+            yield pd.DataFrame({"fingerprint": [as_string(s) for s in sets], "signatures": [s.view(np.int64) for s in sets]})
 
     return docs.select("doc_id", spot("text").alias("f")).select("doc_id", "f.fingerprint", "f.signatures")
 
@@ -168,8 +203,8 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFram
     meet by the rarest signatures of each: so many that two sets alike enough share one of them. Then sizes, then the sets are compared.
     """
     found = written(fingerprints(docs))
-    reps = written(found.where("fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("signatures").alias("s")))
-    members = found.join(reps.select("fingerprint", F.col("id").alias("class_id")), "fingerprint", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    reps = written(found.where("fingerprint <> ''").groupBy(F.col("signatures").alias("s")).agg(F.min("doc_id").alias("id")))
+    members = found.join(reps.select(F.col("s").alias("signatures"), F.col("id").alias("class_id")), "signatures", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sig = reps.select("id", F.size("s").alias("n"), F.explode("s").alias("sig"))
     common = written(sig.groupBy("sig").count())
     ranked = sig.join(common, "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("ranked"))
