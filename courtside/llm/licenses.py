@@ -6,9 +6,9 @@ document less that in the template. Short phrases count where all their grams vo
 neighbouring diagonals are merged, as words put in or left out shift the rest; a cluster whose votes cover LEAST_COVER of the template's
 grams, over a span not much longer than the template, is a find. Every hit is verified word by word.
 
-The templates are constants of this module, so their broadcast is bounded. Null and empty texts have no words and no labels;
-equal texts give equal rows; an empty table gives no rows; other columns are ignored. doc_id is taken to be unique: rows
-that share one are counted as one document.
+The templates are constants of this module, so their broadcast is bounded. Null and empty texts have no words and no labels; very long
+texts are scanned whole; each row votes for itself, so repeated rows give equal rows and rows that share a doc_id or have none a row
+each; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -51,33 +51,34 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), spans of the notices, score."""
     spark = docs.sparkSession
     i = F.col("i")
-    at = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))).alias("i"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    at = docs.select("row", "doc_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))).alias("i"))
     for k in (SHORT, LONG):
         at = at.withColumn(f"h{k}", F.xxhash64(*(F.get("words", i + j) for j in range(k))))
     for k, base in ((SHORT, True), (LONG, False)):
         at = at.join(F.broadcast(_grams(spark, k, base)), f"h{k}", "left")
     # the first position stays without a hit too, so that each document has a row
     hit = at.where("i = 0 or at2 is not null or at4 is not null").select(
-        "doc_id", F.size("words").alias("n_words"), "i",
+        "row", "doc_id", F.size("words").alias("n_words"), "i",
         F.explode_outer(F.when(F.col("at2").isNotNull() | F.col("at4").isNotNull(), F.filter(F.concat(F.coalesce("at2", F.array()), F.coalesce("at4", F.array())), lambda p: F.slice("words", i + 1, F.size(p.gram)) == p.gram))).alias("p"),
     )
     about = spark.createDataFrame([(n, label, base, len(ws) - (SHORT if base else LONG) + 1, len(ws)) for n, label, base, ws in _templates()], "tpl int, label string, base boolean, grams int, size int")
-    votes = hit.groupBy("doc_id", F.col("p.tpl").alias("tpl"), (i - F.col("p.pos")).alias("diagonal")).agg(
+    votes = hit.groupBy("row", "doc_id", F.col("p.tpl").alias("tpl"), (i - F.col("p.pos")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"), F.count("p.pos").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     votes = votes.join(F.broadcast(about), "tpl", "left")
     # neighbouring diagonals of a notice become one cluster
-    by_diagonal = Window.partitionBy("doc_id", "tpl").orderBy("diagonal")
+    by_diagonal = Window.partitionBy("row", "doc_id", "tpl").orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR, F.lit(True))
     parts = votes.withColumn("new", apart.cast("int")).withColumn("cluster", F.sum("new").over(by_diagonal))
-    clusters = parts.groupBy("doc_id", "tpl", "cluster").agg(
+    clusters = parts.groupBy("row", "doc_id", "tpl", "cluster").agg(
         F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"),
         *(F.first(c).alias(c) for c in ("label", "base", "grams", "size")))
     cover = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
     is_base = F.col("base") & (F.col("votes") == F.col("grams"))
     is_notice = ~F.col("base") & (cover >= LEAST_COVER) & (F.col("hi") - F.col("lo") + LONG <= F.col("size") * STRETCH)
-    return clusters.groupBy("doc_id").agg(
+    return clusters.groupBy("row", "doc_id").agg(
         F.max("n_words").cast("long").alias("n_words"), F.count_if(is_base).alias("n_base"),
         F.min(F.when(is_base, F.col("diagonal"))).cast("long").alias("first_word"), F.max(F.when(is_base, F.col("diagonal"))).cast("long").alias("last_word"),
         F.array_sort(F.collect_set(F.when(is_base, F.col("label")))).alias("base_labels"), F.array_sort(F.collect_set(F.when(is_base | is_notice, F.col("label")))).alias("labels"),
         F.array_sort(F.collect_list(F.when(is_notice, F.struct(F.col("lo").alias("start"), (F.col("hi") + LONG).alias("end"), "label")))).alias("spans"),
-        F.coalesce(F.max(F.when(is_base | is_notice, cover)), F.lit(0.0)).alias("score"))
+        F.coalesce(F.max(F.when(is_base | is_notice, cover)), F.lit(0.0)).alias("score")).drop("row")
