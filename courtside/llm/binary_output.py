@@ -7,15 +7,19 @@ little-endian unsigned 16-bit numbers (positions start from 0 in each segment, p
 position 0), the cumulative segment lengths, and what each segment is.
 
 Each task packs its own input partition, block by block: no shuffle, bounded memory. Null texts count as empty
-(the end id alone), equal rows are packed as often as they come, an empty table gives no rows.
+(the end id alone), very long texts are encoded in parts and split, equal rows are packed as often as they come, rows without a doc_id or
+with a shared one too (null in doc_ids), an empty table gives no rows, other columns are ignored.
+
+write_matrix() puts the rows into a folder of any file system as files of fixed-width rows (ids, positions) with their lengths, which read_matrix() gives back.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "sequence_id long, length int, n_segments int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
 
@@ -68,7 +72,7 @@ def best_fit_decreasing(sizes: list[int], width: int) -> list[list[int]]:
 
 
 def packed_matrix(docs: DataFrame, width: int = 2048, pad: int = 0, block_tokens: int = 4_000_000, tokenizer_path: str | None = None) -> DataFrame:
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         from .subwords import END_ID, subwords
@@ -77,7 +81,7 @@ def packed_matrix(docs: DataFrame, width: int = 2048, pad: int = 0, block_tokens
         block: list = []
         held = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, block, held
             pieces = [(d, s, ids[s : s + width]) for d, ids in block for s in range(0, len(ids), width)]
             block, held = [], 0
@@ -92,27 +96,37 @@ def packed_matrix(docs: DataFrame, width: int = 2048, pad: int = 0, block_tokens
                 rows.append((number, int(ends[-1]), len(parts), [p[0] for p in parts], [p[1] for p in parts], ends.tolist(), ids.tobytes(), places.tobytes()))
                 number += 1
                 if len(rows) == 512:
-                    yield pd.DataFrame(rows, columns=NAMES)
+                    yield _batch(rows)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=NAMES)
+                yield _batch(rows)
 
         for batch in batches:
-            ids_of, texts = [None if pd.isna(x) else int(x) for x in batch["doc_id"]], batch["text"].tolist()
-            for a in range(0, len(texts), 256):
-                for doc_id, ids in zip(ids_of[a : a + 256], encoder.encode(texts[a : a + 256])):
-                    block.append((doc_id, np.append(ids, np.uint16(END_ID))))
-                    held += len(ids) + 1
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    block.append((doc_id, np.append(encoder.encode([text])[0], np.uint16(END_ID))))
+                    held += len(block[-1][1])
                     if held >= block_tokens:
                         yield from flush()
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInPandas(packed, SCHEMA)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(packed, SCHEMA)
+
+
+_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
 
-NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+def _batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def write_matrix(packed: DataFrame, path: str) -> None:
-    """Parquet, one matrix row a row, in the folder's own file system."""
-    packed.write.mode("overwrite").parquet(path)
+    """A matrix row a row, in order within each file; a lost task writes its file again, and the folder counts once _SUCCESS is there."""
+    packed.sortWithinPartitions("sequence_id").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """The rows with ids and positions as arrays, padding cut off."""
+    numbers = lambda raw: F.transform(F.sequence(F.lit(1), F.col("length")), lambda i: F.conv(F.hex(F.concat(F.substring(raw, 2 * i, F.lit(1)), F.substring(raw, 2 * i - 1, F.lit(1)))), 16, 10).cast("int"))
+    return spark.read.schema(SCHEMA).parquet(path).withColumns({"ids": numbers("ids"), "position_ids": numbers("position_ids")})
