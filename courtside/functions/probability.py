@@ -12,7 +12,10 @@ def _c(x) -> Column:
 
 
 def sigmoid(x) -> Column:
-    return 1 / (1 + F.exp(-_c(x)))
+    """In the form that never takes the exponential of a large number."""
+    x = _c(x)
+    small = F.exp(-F.abs(x))
+    return F.when(x >= 0, 1 / (1 + small)).otherwise(small / (1 + small))
 
 
 def logit(p) -> Column:
@@ -46,6 +49,50 @@ def race_win(p, target) -> Column:
     return straight + comb(2 * t - 2, t - 1) * F.pow(p * q, t - 1) * p * p / (p * p + q * q)
 
 
+def race_margin(p, target) -> Column:
+    """Expected margin of the race; a race that goes beyond deuce ends two apart."""
+    p, t = _c(p), _c(target)
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    q = 1 - p
+    straight = F.aggregate(F.sequence(F.lit(0), t - 2), F.lit(0.0), lambda acc, b: acc + (t - b) * comb(t - 1 + b, b) * (F.pow(p, t) * F.pow(q, b) - F.pow(q, t) * F.pow(p, b)))
+    deuce = comb(2 * t - 2, t - 1) * F.pow(p * q, t - 1)
+    return straight + 2 * deuce * (p * p - q * q) / (p * p + q * q)
+
+
+def race_modal(p, target) -> Column:
+    """The likeliest straight score "a-b"; of equals the one with the winner first, fewest points first."""
+    t = _c(target)
+    ends = F.filter(race_pmf(p, target), lambda x: (x.a == t) | (x.b == t))
+    best = F.aggregate(ends, F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0.0).alias("prob")), lambda acc, x: F.when(x.prob > acc.prob + 1e-12, F.struct(x.a.cast("int").alias("a"), x.b.cast("int").alias("b"), x.prob.alias("prob"))).otherwise(acc))
+    return F.concat_ws("-", best.a, best.b)
+
+
+#: Fixed value: what a pair loses for each unit by which its two players differ.
+GAMMA = -0.1829
+
+
+def team_eta(v1, v2, v3, v4, gamma: float = GAMMA) -> Column:
+    """A rally's logit for the pair of 1 and 2 against that of 3 and 4."""
+    return (v1 + v2 + gamma * F.abs(v1 - v2)) - (v3 + v4 + gamma * F.abs(v3 - v4))
+
+
+def wins_pmf(chances: list) -> Column:
+    """array: the chances of 0, 1, ... wins of independent games, each game's folded in by one pass over the array."""
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), len(chances)))
+    return F.aggregate(F.array(*map(_c, chances)), start, lambda pmf, p: F.transform(pmf, lambda x, i: x * (1 - p) + F.coalesce(F.get(pmf, i - 1), F.lit(0.0)) * p))
+
+
+def floored(p, eps: float = 0.02118) -> Column:
+    """Mixed with a coin: never 0 or 1."""
+    return (1 - eps) * _c(p) + eps / 2
+
+
+def percent(p) -> Column:
+    """Whole percents as text, "<1%" and ">99%" at the ends."""
+    r = F.round(_c(p) * 100)
+    return F.when(r < 1, "<1%").when(r > 99, ">99%").otherwise(F.concat(r.cast("int"), F.lit("%")))
+
+
 def calibrated(p, a: float = 0.06, b: float = 0.9, eps: float = 0.02118) -> Column:
     return (1 - eps) * sigmoid(a + b * logit(p)) + eps / 2
 

@@ -1,8 +1,6 @@
 """State tables of a race: built for each distinct argument and joined on the state."""
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,26 +14,28 @@ STATES = ("A1", "A2", "B1", "B2")
 def serve_values(ka: float, kb: float, target: int, cap: int = 40) -> np.ndarray:
     """V[a, b, state]: side a's chance when only the server's side scores and each side has two servers.
 
-    A rally lost by a first server passes to the second, by a second to the other side's first. Within a score the four states refer to
-    each other in a circle, which is solved in closed form; scores are worked off from the end. Won by two; beyond target + cap even.
+    A server either scores and serves on at the next score, or hands the serve to the next server of the circle A1, A2, B1, B2. So at a score each server's
+    chance is a line in that of the next one; the four lines, put into each other, make a line of the first server's chance in itself, whose fixed point it is.
+    Scores are worked off from the end. Won by two; beyond target + cap even.
     """
     n = target + cap
-    v = np.full((n + 2, n + 2, 4), 0.5)
-    qa, qb = 1 - ka, 1 - kb
+    v = np.full((n + 2, n + 2, len(STATES)), 0.5)
+    scores = [(ka, 1, 0)] * 2 + [(kb, 0, 1)] * 2
     for total in range(2 * n, -1, -1):
         for a in range(max(0, total - n), min(n, total) + 1):
             b = total - a
             if max(a, b) >= target and abs(a - b) >= 2:
                 v[a, b] = float(a > b)
-                continue
-            if max(a, b) >= n:
-                continue
-            win1, win2 = v[a + 1, b, 0], v[a + 1, b, 1]
-            los1, los2 = v[a, b + 1, 2], v[a, b + 1, 3]
-            a1 = (ka * win1 + qa * ka * win2 + qa * qa * kb * los1 + qa * qa * qb * kb * los2) / (1 - qa * qa * qb * qb)
-            b2 = kb * los2 + qb * a1
-            b1 = kb * los1 + qb * b2
-            v[a, b] = a1, ka * win2 + qa * b1, b1, b2
+            elif max(a, b) < n:
+                lines = [(k * v[a + da, b + db, s], 1 - k) for s, (k, da, db) in enumerate(scores)]
+                height, slope = 0.0, 1.0
+                for won, handed in lines:
+                    height, slope = height + slope * won, slope * handed
+                chance = height / (1 - slope)
+                v[a, b, 0] = chance
+                for s in (3, 2, 1):
+                    chance = lines[s][0] + lines[s][1] * chance
+                    v[a, b, s] = chance
     return v[: target + 2, : target + 2]
 
 
@@ -90,31 +90,108 @@ def rally_race(keys: DataFrame, target: int) -> DataFrame:
     return keys.mapInPandas(tables, "p double, a int, b int, v double")
 
 
-def order_value(first: np.ndarray, second: np.ndarray, target: int = 21, k: float = 0.42, every: int = 4) -> float:
-    """Chance of the first of two teams of four whose players meet in order, `every` rallies each, in a race to target."""
-    p = 1 / (1 + np.exp(-k * (first - second)))
-    v = np.zeros((target + 1, target + 1))
-    for total in range(2 * target, -1, -1):
-        now = p[total // every % len(p)]
-        for a in range(max(0, total - target), min(target, total) + 1):
-            b = total - a
-            v[a, b] = float(a > b) if max(a, b) == target else now * v[a + 1, b] + (1 - now) * v[a, b + 1]
-    return float(v[0, 0])
+def start_chance(v: np.ndarray) -> float:
+    """Before the first rally: games open on a side's second server, either side's with even chance."""
+    return float(v[0, 0, 1] + v[0, 0, 3]) / 2
 
 
-def minimax_orders(teams: DataFrame) -> DataFrame:
-    """teams: team, pool, v (four values). Each ordered pair of a pool's teams is one row of work; all 24 orders are tried in it."""
-    a, b = teams.select("pool", F.col("team").alias("a"), F.col("v").alias("va")), teams.select("pool", F.col("team").alias("b"), F.col("v").alias("vb"))
-    pairs = a.join(b, "pool").where("a <> b").select("a", "b", "va", "vb")
+def bisected(f, goal: float, low: float, high: float, steps: int = 40) -> float:
+    """Where the rising function f reaches goal."""
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) < goal else (low, mid)
+    return (low + high) / 2
+
+
+def anchored(goals: DataFrame, target: int, k: float = 0.43) -> DataFrame:
+    """(p, eta): for each distinct chance p the difference at which the serve-aware race starts with that chance."""
+
+    def serve(eta: float) -> np.ndarray:
+        r, base = np.exp(eta / 2), k / (1 - k)
+        return serve_values(base * r / (1 + base * r), base / r / (1 + base / r), target)
 
     def solve(batches):
-        orders = [list(o) for o in itertools.permutations(range(4))]
         for pdf in batches:
-            out = []
-            for ta, tb, va, vb in pdf.itertuples(index=False):
-                values = [order_value(np.array(va), np.array(vb)[o]) for o in orders]
-                best = int(np.argmin(np.round(values, 12)))
-                out.append((ta, tb, "".join(map(str, orders[best])), values[best], max(values) - values[best]))
-            yield pd.DataFrame(out, columns=["a", "b", "reply", "value", "spread"])
+            yield pd.DataFrame({"p": pdf["p"], "eta": [bisected(lambda x: start_chance(serve(x)), min(max(p, 1e-6), 1 - 1e-6), -8.0, 8.0, 30) for p in pdf["p"]]})
 
-    return pairs.repartition("a", "b").mapInPandas(solve, "a int, b int, reply string, value double, spread double")
+    return goals.select("p").distinct().repartition("p").mapInPandas(solve, "p double, eta double")
+
+
+def mixed_serve_table(keys: DataFrame, target: int, nodes: int = 21) -> DataFrame:
+    """(eta, sd, a, b, s, v): the serve table averaged over a normal eta, out to three deviations."""
+    z = -3.0 + F.col("i") * (6.0 / (nodes - 1))
+    points = keys.select("eta", "sd", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("i")).withColumn("w", F.exp(-0.5 * z * z)).withColumn("at", F.round(F.col("eta") + z * F.col("sd"), 9))
+    tables = serve_table(points.select(F.col("at").alias("eta")).distinct(), target).withColumnRenamed("eta", "at").select("at", "a", "b", "s", "v")
+    return points.join(tables, "at").groupBy("eta", "sd", "a", "b", "s").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
+def rally_chance(goals: DataFrame, target: int = 21) -> DataFrame:
+    """(p, rally): the rally chance at which a race in which every rally scores is won with chance p."""
+    from math import comb
+
+    def win(x: float) -> float:
+        y = 1 - x
+        return sum(comb(target - 1 + b, b) * x**target * y**b for b in range(target - 1)) + comb(2 * target - 2, target - 1) * (x * y) ** (target - 1) * x * x / (x * x + y * y)
+
+    def solve(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"p": pdf["p"], "rally": [bisected(win, p, 1e-4, 1 - 1e-4) for p in pdf["p"]]})
+
+    return goals.select("p").distinct().mapInPandas(solve, "p double, rally double")
+
+
+#: Fixed values of a decider: the target, won by two, rallies before the next pair of players steps in, and where a score counts as even.
+DECIDER, EVERY, CAP = 21, 4, 61
+
+
+def decider(ps: tuple, freeze: bool, cap: int = CAP) -> tuple[float, np.ndarray, np.ndarray]:
+    """(chance of the first side, final[a, b] chances of each last score, expected rallies of each slot).
+
+    ps: the first side's rally chances of the four slots, which take turns every EVERY points. freeze: a rally won by the receivers that would
+    win the decider gives them the serve alone; either side serves first with even chance. As the slot follows from the score,
+    a state is a score and who serves; frozen rallies stay at their score, where the two servers' chances are solved as a pair of lines.
+    """
+    n = cap + 1
+    over = lambda a, b: max(a, b) >= DECIDER and abs(a - b) >= 2
+    reach = np.zeros((n + 1, n + 1, 2))
+    reach[0, 0] = 0.5
+    final, slots = np.zeros((n + 1, n + 1)), np.zeros(4)
+    for total in range(2 * n):
+        for a in range(max(0, total - n), min(n, total) + 1):
+            b = total - a
+            here = reach[a, b]
+            if not here.any():
+                continue
+            if over(a, b) or max(a, b) >= cap:
+                final[a, b] += here.sum()
+                continue
+            slot = total // EVERY % 4
+            p = ps[slot]
+            # visits of each server at this score: a frozen rally brings the other one back
+            to_a = p if freeze and over(a + 1, b) else 0.0
+            to_b = 1 - p if freeze and over(a, b + 1) else 0.0
+            by_a = (here[0] + to_a * here[1]) / (1 - to_a * to_b)
+            by_b = (here[1] + to_b * here[0]) / (1 - to_a * to_b)
+            slots[slot] += by_a + by_b
+            reach[a + 1, b, 0] += p * by_a + (p - to_a) * by_b
+            reach[a, b + 1, 1] += (1 - p) * by_b + (1 - p - to_b) * by_a
+    a, b = np.indices(final.shape)
+    even = np.maximum(a, b) >= cap
+    decided = final * (np.maximum(a, b) >= DECIDER) * (np.abs(a - b) >= 2) * (a > b)
+    return float(decided.sum() + 0.5 * (final * (even & (np.abs(a - b) < 2))).sum()), final, slots
+
+
+def deciders(keys: DataFrame) -> DataFrame:
+    """keys: ps (array of four). With and without freeze: the chance, the first server's share of it, the expected margin and rallies of each slot."""
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for ps in pdf["ps"]:
+                plain, _, _ = decider(tuple(ps), False)
+                frozen, final, slots = decider(tuple(ps), True)
+                a, b = np.indices(final.shape)
+                out.append((list(ps), plain, frozen, float((final * (a - b)).sum()), slots.tolist()))
+            yield pd.DataFrame(out, columns=["ps", "plain", "frozen", "margin", "rallies"])
+
+    return keys.select("ps").distinct().mapInPandas(solve, "ps array<double>, plain double, frozen double, margin double, rallies array<double>")

@@ -3,8 +3,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.catalog import query
-from courtside.functions.probability import NORMAL_CDF, SIGMOID, best_of, calibrated, normal_cdf, race_pmf, race_win, sigmoid
-from courtside.operators.serve import leverage, minimax_orders, rally_race, serve_table
+from courtside.functions.probability import NORMAL_CDF, SIGMOID, best_of, calibrated, normal_cdf, race_pmf, race_win, sigmoid, wins_pmf
+from courtside.operators.serve import leverage, rally_race, serve_table
 from courtside.plans.aggregates import FORECASTS, forecasts
 from courtside.sources.tables import table
 
@@ -42,16 +42,19 @@ def race_win_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(memo, ["p", "t"]).select("s_suppkey", "win")
 
 
-@query(f"""with n as (select unnest(range(-20, 21)) i), z as (select i * 0.2 z, exp(-0.5 * i * 0.2 * i * 0.2) w from n), a as (select s_suppkey, s_acctbal / 20000.0 eta, (s_suppkey % 5 + 1) / 10.0 sd from supplier)
-select s_suppkey, round(sum(w * {SIGMOID.format(x='eta + sd * z')}) / sum(w), 8) p from a, z group by s_suppkey""")
+_WIN_OF = f"(list_sum([{_COMB.format(n='10 + b', k='b')} * pow(p, 11) * pow(1 - p, b) for b in range(0, 10)]) + {_COMB.format(n='20', k='10')} * pow(p * (1 - p), 10) * p * p / (p * p + (1 - p) * (1 - p)))"
+
+
+@query(f"""with n as (select unnest(range(-20, 21)) i), z as (select i * 0.2 z, exp(-0.5 * i * 0.2 * i * 0.2) w from n), a as (select s_suppkey, s_acctbal / 20000.0 eta, (s_suppkey % 5 + 1) / 10.0 sd from supplier),
+x as (select s_suppkey, w, round_even({SIGMOID.format(x='eta + sd * z')}, 4) p from a, z), m as (select p, {_WIN_OF} win from (select distinct p from x))
+select s_suppkey, round(sum(w * win) / sum(w), 8) p from x join m using (p) group by s_suppkey""")
 def race_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chance averaged over a normal difference, at 41 nodes out to four deviations."""
-    eta, sd = F.col("s_acctbal") / 20000.0, (F.col("s_suppkey") % 5 + 1) / 10.0
-    z = lambda i: i * F.lit(0.2)
-    weight = lambda i: F.exp(-0.5 * z(i) * z(i))
-    nodes = F.sequence(F.lit(-20), F.lit(20))
-    top = F.aggregate(nodes, F.lit(0.0), lambda acc, i: acc + weight(i) * sigmoid(eta + sd * z(i)))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(top / F.aggregate(nodes, F.lit(0.0), lambda acc, i: acc + weight(i)), 8).alias("p"))
+    """A race's chance averaged over a normal difference, at 41 nodes out to four deviations; kernels once for each chance of four digits (at most 10,001)."""
+    z = F.col("i") * F.lit(0.2)
+    nodes = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 20000.0).alias("eta"), ((F.col("s_suppkey") % 5 + 1) / 10.0).alias("sd"), F.explode(F.sequence(F.lit(-20), F.lit(20))).alias("i"))
+    nodes = nodes.select("s_suppkey", F.exp(-0.5 * z * z).alias("w"), F.bround(sigmoid(F.col("eta") + F.col("sd") * z), 4).alias("p"))
+    memo = nodes.select("p").distinct().withColumn("win", race_win(F.col("p"), 11))
+    return nodes.join(F.broadcast(memo), "p").groupBy("s_suppkey").agg(F.round(F.sum(F.col("w") * F.col("win")) / F.sum("w"), 8).alias("p"))
 
 
 @query(f"with {FORECASTS} select gid, round((1 - 0.02118) * {SIGMOID.format(x='0.06 + 0.9 * ln(p / (1 - p))')} + 0.01059, 8) q from fc")
@@ -73,16 +76,14 @@ def _fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with f as (select o_orderkey, (o_orderkey % 7 + 1) / 8.0 p0, (o_orderkey % 11 + 1) / 12.0 p1, (o_orderkey % 13 + 1) / 14.0 p2, (o_orderkey % 17 + 1) / 18.0 p3, (o_orderkey % 5 + 1) / 6.0 db from orders),
 x as (select o_orderkey, db, a + b + c + d w, (case a when 1 then p0 else 1 - p0 end) * (case b when 1 then p1 else 1 - p1 end) * (case c when 1 then p2 else 1 - p2 end) * (case d when 1 then p3 else 1 - p3 end) pr
 from f, range(2) ta(a), range(2) tb(b), range(2) tc(c), range(2) td(d))
-select o_orderkey, round(sum(case when w = 4 then pr else 0 end), 9) p40, round(sum(case when w = 2 then pr else 0 end), 9) p_db, round(sum(case when w > 2 then pr when w = 2 then pr * db else 0 end), 9) p_win from x group by o_orderkey""")
+select o_orderkey, round(sum(case when w = 4 then pr else 0 end), 9) p40, round(sum(case when w = 3 then pr else 0 end), 9) p31, round(sum(case when w = 2 then pr else 0 end), 9) p_db, round(sum(case when w = 1 then pr else 0 end), 9) p13, round(sum(case when w = 0 then pr else 0 end), 9) p04,
+round(least(1 - 0.01059, greatest(0.01059, sum(case when w > 2 then pr when w = 2 then pr * db else 0 end))), 9) p_win from x group by o_orderkey""")
 def matchup_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four games and a decider: the games' wins are convolved one by one."""
-    pmf = F.array(F.lit(1.0))
-    for k in range(4):
-        p = F.col(f"p{k}")
-        lost, won = F.concat(F.transform(pmf, lambda x: x * (1 - p)), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(pmf, lambda x: x * p))
-        pmf = F.zip_with(lost, won, lambda a, b: a + b)
-    f = _fixtures(spark, sf_dir).select("o_orderkey", "db", pmf.alias("w"))
-    return f.select("o_orderkey", F.round(F.col("w")[4], 9).alias("p40"), F.round(F.col("w")[2], 9).alias("p_db"), F.round(F.col("w")[4] + F.col("w")[3] + F.col("w")[2] * F.col("db"), 9).alias("p_win"))
+    """Four games and a decider: the games' wins are folded in one by one; the chance stays clear of 0 and 1."""
+    f = _fixtures(spark, sf_dir).select("o_orderkey", "db", wins_pmf([F.col(f"p{k}") for k in range(4)]).alias("w"))
+    win = F.col("w")[4] + F.col("w")[3] + F.col("w")[2] * F.col("db")
+    names = {"p40": 4, "p31": 3, "p_db": 2, "p13": 1, "p04": 0}
+    return f.select("o_orderkey", *(F.round(F.col("w")[k], 9).alias(n) for n, k in names.items()), F.round(F.least(F.lit(1 - 0.01059), F.greatest(F.lit(0.01059), win)), 9).alias("p_win"))
 
 
 @query(f"""with r as (select s_suppkey, s_nationkey, s_acctbal / 4000.0 v, lead(s_acctbal) over (partition by s_nationkey order by s_acctbal desc, s_suppkey) / 4000.0 nxt from supplier)
@@ -112,10 +113,3 @@ def biggest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def rally_race_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rally_race(_chances(spark, sf_dir).select("p").distinct(), 21)
-
-
-@query(None)
-def minimax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each pair of teams of a pool: the order of the second team's players that keeps the first's best chance least."""
-    t = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.slice(F.sort_array(F.transform(F.collect_list(F.struct("s_suppkey", "s_acctbal")), lambda x: x.s_acctbal / 10000.0), False), 1, 4).alias("v")).where("size(v) = 4")
-    return minimax_orders(t.withColumnRenamed("s_nationkey", "team").withColumn("pool", F.col("team") % 5))
