@@ -41,7 +41,7 @@ ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
 LEAST = 0.8
 #: Registers of which a bit each is kept of texts that share a band.
-WIDE = 2048
+WIDE = 1024
 CHUNK, TURNS = 256, 4
 #: Shingles and texts that are hashed at once.
 _PART, _TEXTS, _WIDE_TEXTS = 400_000, 4000, 1000
@@ -205,7 +205,7 @@ PAIRS = "a long, b long, ca long, cb long, n int"
 def _crossing(best: bool, alike: int):
     """Of pairs of chunks: pairs (a, b) of texts of different components whose bits are alike, with their components and the bits that agree.
 
-    best: for each text that is not of the largest component only the likeliest of another.
+    best: for each text that is not of the largest component only the likeliest of another; else a pair is told in the least of the buckets it shares alone.
     """
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +232,9 @@ def _crossing(best: bool, alike: int):
                     a, b, swap = a[keep], b[keep], swap[keep]
                 else:
                     a, b = np.nonzero(n >= alike)
+                    bucket, own, other = batch.column("bucket")[i].as_py(), *(batch.column(c)[i].values.field("buckets").to_pylist() for c in ("xs", "ys"))
+                    told = np.array([min(set(own[p]).intersection(other[q])) == bucket for p, q in zip(a.tolist(), b.tolist())], bool)
+                    a, b = a[told], b[told]
                     swap = xi[a] > yi[b]
                 if len(a):
                     pick = lambda x, y: pa.array(np.where(swap, y, x))
@@ -248,12 +251,15 @@ def _apart(members: DataFrame) -> DataFrame:
 
 def _in_chunks(members: DataFrame, best: bool, least: float) -> DataFrame:
     """PAIRS of likely texts of different components in a bucket. members: bucket, id, component, wide."""
-    chunked = _apart(members).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    chunks = chunked.groupBy("bucket", "chunks", "chunk").agg(F.collect_list(F.struct("id", "component", "wide")).alias("xs"))
-    single = chunks.where("chunks = 1").select("xs", F.col("xs").alias("ys"))
+    apart, fields = _apart(members), ["id", "component", "wide"]
+    if not best:
+        apart, fields = apart.join(apart.groupBy("id").agg(F.collect_list("bucket").alias("buckets")), "id"), [*fields, "buckets"]  # at most BANDS a text
+    chunked = apart.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    chunks = chunked.groupBy("bucket", "chunks", "chunk").agg(F.collect_list(F.struct(*fields)).alias("xs"))
+    single = chunks.where("chunks = 1").select("bucket", "xs", F.col("xs").alias("ys"))
     many = chunks.where("chunks > 1")
     left = many.select("bucket", "xs", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"))
-    double = left.join(many.select("bucket", "chunk", F.col("xs").alias("ys")), ["bucket", "chunk"]).select("xs", "ys")
+    double = left.join(many.select("bucket", "chunk", F.col("xs").alias("ys")), ["bucket", "chunk"]).select("bucket", "xs", "ys")
     pairs = single.unionByName(double).mapInArrow(_crossing(best, least_alike(WIDE, least)), PAIRS)
     if best:
         pairs = pairs.groupBy("a").agg(F.max(F.struct("n", "b", "ca", "cb")).alias("p")).select("a", "p.b", "p.ca", "p.cb")
