@@ -21,5 +21,5 @@ def query(sql: str | None = None, **types: str):
     return register
 
 
-for _name in ("reshape", "lookups", "aggregates", "ordered", "kernels", "statistics", "structures", "models", "live", "rally_log", "records", "pricing"):
+for _name in ("reshape", "lookups", "aggregates", "ordered", "kernels", "statistics", "structures", "models", "live", "rally_log", "records", "pricing", "pages"):
     importlib.import_module(f"courtside.plans.{_name}")

@@ -24,8 +24,8 @@ def logistic_newton(rows: DataFrame, names: list[str], steps: int = 6) -> DataFr
     return rows.sparkSession.createDataFrame([(n, float(b), float(e)) for n, b, e in zip(names, beta, error)], "name string, estimate double, se double")
 
 
-def paired_map(met: DataFrame, steps: int = 200, prior_sd: float = 0.5) -> DataFrame:
-    """met: a, b, won (by a), n. (player, value): most likely values under a normal prior, by scaled gradient steps.
+def paired_map(met: DataFrame, steps: int = 200, prior_sd: float = 0.5, until: float = 1e-6) -> DataFrame:
+    """met: a, b, won (by a), n. (player, value): most likely values under a normal prior, by scaled gradient steps; fewer than `steps` if none moves by more than `until`.
 
     Values are a table joined to the meetings, so nothing depends on how many players there are. Each step reads
     the values twice, so its result is written before the next: plans would double with each step otherwise.
@@ -34,13 +34,46 @@ def paired_map(met: DataFrame, steps: int = 200, prior_sd: float = 0.5) -> DataF
     both = written(met.select("a", "b", "won", "n").unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("n") - F.col("won")).alias("won"), "n")))
     values = written(both.select(F.col("a").alias("player")).distinct().withColumn("value", F.lit(0.0)))
     old: list[str] = []
-    for _ in range(steps):
+    for step in range(steps):
         own, other = values.select(F.col("player").alias("a"), F.col("value").alias("va")), values.select(F.col("player").alias("b"), F.col("value").alias("vb"))
         p = sigmoid(F.col("va") - F.col("vb"))
         g = both.join(own, "a").join(other, "b").groupBy("a", "va").agg(F.sum(F.col("won") - F.col("n") * p).alias("g"), F.sum(F.col("n") * p * (1 - p)).alias("h"))
         prior = 1 / prior_sd**2
         now: list[str] = []
-        values = written(g.select(F.col("a").alias("player"), (F.col("va") + 0.7 * (F.col("g") - prior * F.col("va")) / (F.col("h") + prior)).alias("value")), "values", now)
+        values = written(g.select(F.col("a").alias("player"), (F.col("va") + 0.7 * (F.col("g") - prior * F.col("va")) / (F.col("h") + prior)).alias("value"), F.col("va").alias("was")), "values", now)
+        discard(met.sparkSession, old)
+        old = now
+        if step % 5 == 4 and (values.agg(F.max(F.abs(F.col("value") - F.col("was")))).first()[0] or 0) <= until:
+            break
+        values = values.drop("was")
+    return values.select("player", "value")
+
+
+def served_map(rallies: DataFrame, steps: int = 60, prior_sd: float = 0.25, until: float = 1e-6) -> DataFrame:
+    """rallies: server, receiver, won (by the server's side), n. (player, serve, back): most likely values of serving and of returning under a normal prior,
+    beside one intercept for all (player null, in `serve`). A rally's logit is intercept + serve of one - back of the other."""
+    met = written(rallies.select("server", "receiver", "won", "n"))
+    players = met.select(F.col("server").alias("player")).union(met.select("receiver")).distinct()
+    start: list[str] = []
+    values = written(players.select("player", F.lit(0.0).alias("serve"), F.lit(0.0).alias("back")), "values", start)
+    total = met.agg(F.sum("won").alias("w"), F.sum("n").alias("n")).first()
+    share = (float(total.w or 0) + 0.5) / (float(total.n or 0) + 1)
+    alpha, prior, old = float(np.log(share / (1 - share))), 1 / prior_sd**2, start
+    for step in range(steps):
+        by, to = values.select(F.col("player").alias("server"), "serve"), values.select(F.col("player").alias("receiver"), "back")
+        p = sigmoid(F.lit(alpha) + F.col("serve") - F.col("back"))
+        rows = met.join(by, "server").join(to, "receiver").select("server", "receiver", (F.col("won") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
+        sides = rows.select(F.inline(F.array(F.struct(F.col("server").alias("player"), F.col("g").alias("gs"), F.col("h").alias("hs"), F.lit(0.0).alias("gr"), F.lit(0.0).alias("hr")), F.struct(F.col("receiver").alias("player"), F.lit(0.0).alias("gs"), F.lit(0.0).alias("hs"), (-F.col("g")).alias("gr"), F.col("h").alias("hr")))))
+        sums = sides.groupBy("player").agg(*(F.sum(c).alias(c) for c in ("gs", "hs", "gr", "hr")))
+        moved = lambda v, g, h: F.col(v) + 0.5 * (F.col(g) - prior * F.col(v)) / (F.col(h) + prior)
+        now: list[str] = []
+        values = written(values.select("player", "serve", "back").join(sums, "player").select("player", moved("serve", "gs", "hs").alias("serve"), moved("back", "gr", "hr").alias("back"), "gs", "hs", F.greatest(F.abs(moved("serve", "gs", "hs") - F.col("serve")), F.abs(moved("back", "gr", "hr") - F.col("back"))).alias("step")), "values", now)
         discard(met.sparkSession, old)
         old = now
-    return values
+        s = values.agg(F.sum("gs").alias("g"), F.sum("hs").alias("h"), F.max("step").alias("step")).first()
+        change = 0.5 * (s.g or 0.0) / ((s.h or 0.0) + 1e-9)
+        alpha += change
+        if max(abs(change), s.step or 0) <= until:
+            break
+    head = met.sparkSession.createDataFrame([(None, alpha, None)], values.select("player", "serve", "back").schema)
+    return values.select("player", "serve", "back").unionByName(head)

@@ -54,3 +54,30 @@ def elo_by_pool(games: DataFrame, pool: str, k: float = 24.0) -> DataFrame:
             yield out()
 
     return ordered.mapInPandas(fold, f"{pool} string, player long, rating double")
+
+
+def elo_sweep(games: DataFrame, pool: str, steps: list[float]) -> DataFrame:
+    """(k, games, log_loss) for each step size, over all pools. A pool and step size is folded in one task, as elo_by_pool() is, in streamed order."""
+    ks = games.sparkSession.createDataFrame([(k,) for k in steps], "k double")
+    own = games.select(pool, "date", "gid", "a1", "a2", "b1", "b2", (F.col("margin") > 0).cast("double").alias("y")).join(F.broadcast(ks))
+    ordered = own.repartition(pool, "k").sortWithinPartitions(pool, "k", "date", "gid")
+
+    def fold(batches):
+        now, ratings, loss, n = None, {}, 0.0, 0
+        for pdf in batches:
+            for p, k, a1, a2, b1, b2, y in pdf[[pool, "k", "a1", "a2", "b1", "b2", "y"]].itertuples(index=False):
+                if (p, k) != now:
+                    if n:
+                        yield pd.DataFrame({"k": [now[1]], "n": [n], "loss": [loss]})
+                    now, ratings, loss, n = (p, k), {}, 0.0, 0
+                get = ratings.get
+                chance = 1 / (1 + 10 ** (-(get(a1, 0.0) + get(a2, 0.0) - get(b1, 0.0) - get(b2, 0.0)) / 800))
+                loss -= float(np.log(max(chance if y else 1 - chance, 1e-6)))
+                n += 1
+                for who, sign in ((a1, 1), (a2, 1), (b1, -1), (b2, -1)):
+                    ratings[who] = get(who, 0.0) + sign * k * (y - chance)
+        if n:
+            yield pd.DataFrame({"k": [now[1]], "n": [n], "loss": [loss]})
+
+    sums = ordered.mapInPandas(fold, "k double, n long, loss double").groupBy("k").agg(F.sum("n").alias("games"), F.sum("loss").alias("loss"))
+    return sums.select("k", "games", (F.col("loss") / F.col("games")).alias("log_loss"))

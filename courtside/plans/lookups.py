@@ -122,29 +122,55 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select s_suppkey, c_custkey from (select s_suppkey, c_custkey, row_number() over (partition by s_suppkey order by abs(s_acctbal - c_acctbal), c_custkey) r
 from supplier join customer on s_nationkey = c_nationkey) where r = 1""")
 def nearest_value_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the candidates under a shared name, the one with the nearest value: an aggregate, so that no group is sorted."""
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    both = s.join(c, s.s_nationkey == c.c_nationkey)
-    return both.groupBy("s_suppkey").agg(F.min_by("c_custkey", F.struct(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), F.col("c_custkey"))).alias("c_custkey"))
-
-
-@query("""with needle as (select distinct split_part(p_name, ' ', -1) token from part), hits as (select token, p_partkey h from needle join part on contains(lower(p_name), token) and p_size < 10)
-select token, count(*) hits, min(h) hit from hits group by token""")
+    """Of the candidates under a shared name, the one with the nearest value; of equally near ones the least key.
+
+    Both sides lie on one line of values for each name: the nearest candidate is the last one before or the first one after. One sort, no pairs.
+    """
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_acctbal").alias("v"), F.lit(None).cast("long").alias("c"), "s_suppkey")
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("name"), F.col("c_acctbal").alias("v")).agg(F.min("c_custkey").alias("c")).withColumn("s_suppkey", F.lit(None).cast("long"))
+    line = Window.partitionBy("name").orderBy("v", F.col("c").isNull(), "s_suppkey")
+    back = Window.partitionBy("name").orderBy(F.desc("v"), F.col("c").isNull(), "s_suppkey")
+    at = F.when(F.col("c").isNotNull(), F.struct("v", "c"))
+    seen = s.unionByName(c).withColumn("below", F.last(at, ignorenulls=True).over(line)).withColumn("above", F.last(at, ignorenulls=True).over(back)).where("s_suppkey is not null")
+    near = [F.when(F.col(n).isNotNull(), F.struct(F.abs(F.col("v") - F.col(f"{n}.v")).alias("d"), F.col(f"{n}.c").alias("c"))) for n in ("below", "above")]
+    return seen.select("s_suppkey", F.array_min(F.array_compact(F.array(*near))).alias("best")).where("best is not null").select("s_suppkey", F.col("best.c").alias("c_custkey"))
+
+
+@query("""with names as (select p_partkey id, lower(p_name) name from part), wants as (select distinct split_part(name, ' ', -1) || ' ' || split_part(name, ' ', 1) want from names union select 'unheard of ' || split_part(name, ' ', -1) from names),
+tk as (select want, unnest(string_split(want, ' ')) token from wants), hits as (select want, id from wants join names on list_bool_and([contains(name, t) for t in string_split(want, ' ')])),
+h as (select want, count(*) n, min(id) id from hits group by want), l as (select want, count(*) n, min(id) id from wants join names on list_contains(string_split(name, ' '), split_part(want, ' ', -1)) group by want)
+select wants.want, case when h.n = 1 or h.n is null and l.n = 1 then coalesce(h.id, l.id) end id, case when h.n = 1 then 'token' when h.n > 1 then 'ambiguous' when l.n = 1 then 'last name' when l.n > 1 then 'ambiguous last name' else 'not found' end how, coalesce(h.n, l.n, 0) hits
+from wants left join h using (want) left join l using (want)""")
 def token_contain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that contain a token: a short dimension of tokens, looked for in all names."""
-    part = table(spark, sf_dir, "part")
-    needle = part.select(F.element_at(F.split("p_name", " "), -1).alias("token")).distinct()
-    hits = part.where("p_size < 10").join(needle, F.contains(F.lower("p_name"), F.col("token")))
-    return hits.groupBy("token").agg(F.count("*").alias("hits"), F.min("p_partkey").alias("hit"))
-
-
-@query(f"""with {GAMES}, f as (select a1 x, b1 y, round(avg(margin), 6) m from games where tour = 'MLP' and a1 % 2 = 0 group by all),
+    """Whom a name means: the one who has all its words somewhere in theirs, else the one with its last word; several or none are said to be so.
+
+    Words are looked for by an equi-join: names are cut into all their substrings of the lengths that words have, so nobody is compared with everybody.
+    """
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    words = F.split("name", " ")
+    wants = names.select(F.concat_ws(" ", F.element_at(words, -1), words[0]).alias("want")).union(names.select(F.concat(F.lit("unheard of "), F.element_at(words, -1)))).distinct()
+    tokens = wants.select("want", F.explode(F.array_distinct(F.split("want", " "))).alias("token"))
+    lengths = [r[0] for r in tokens.select(F.length("token")).distinct().limit(64).collect()]  # words are of few lengths; longer ones than 63 others would be left to the last-name rule
+    texts = names.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - k + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(k)))
+    cut = F.array_distinct(F.flatten(F.array(*map(pieces, lengths))))
+    met = tokens.join(texts.select("name", "n", "id", F.explode(cut).alias("token")), "token").groupBy("want", "name", "n", "id").agg(F.count("*").alias("found"))
+    hits = met.where(F.col("found") == F.size(F.array_distinct(F.split("want", " ")))).groupBy("want").agg(F.sum("n").alias("hn"), F.min("id").alias("hid"))
+    by_last = texts.select("n", "id", F.explode(F.array_distinct(words)).alias("last"))
+    last = wants.withColumn("last", F.element_at(F.split("want", " "), -1)).join(by_last, "last").groupBy("want").agg(F.sum("n").alias("ln"), F.min("id").alias("lid"))
+    both = wants.join(hits, "want", "left").join(last, "want", "left")
+    how = F.when(F.col("hn") == 1, "token").when(F.col("hn") > 1, "ambiguous").when(F.col("ln") == 1, "last name").when(F.col("ln") > 1, "ambiguous last name").otherwise("not found")
+    sure = (F.col("hn") == 1) | (F.col("hn").isNull() & (F.col("ln") == 1))
+    return both.select("want", F.when(sure, F.coalesce("hid", "lid")).alias("id"), how.alias("how"), F.coalesce("hn", "ln", F.lit(0)).alias("hits"))
+
+
+@query(f"""with {GAMES}, f as (select a1 x, b1 y, round(avg(margin), 6) m from games where tour = 'MLP' group by all),
 t as (select distinct a1, b1 from games where tour = 'PPA')
 select t.a1, t.b1, coalesce(f.m, -r.m) m from t left join f on f.x = t.a1 and f.y = t.b1 left join f r on r.x = t.b1 - 200 and r.y = t.a1 + 200""")
 def either_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pairing's forecast as it was made, or turned round."""
     g = games(spark, sf_dir)
-    made = g.where("tour = 'MLP' and a1 % 2 = 0").groupBy("a1", "b1").agg(F.round(F.avg("margin"), 6).alias("m"))
+    made = g.where("tour = 'MLP'").groupBy("a1", "b1").agg(F.round(F.avg("margin"), 6).alias("m"))
     turned = made.select((F.col("b1") - 200).alias("a1"), (F.col("a1") + 200).alias("b1"), (-F.col("m")).alias("turned"))
     asked = g.where("tour = 'PPA'").select("a1", "b1").distinct()
     return asked.join(made, ["a1", "b1"], "left").join(turned, ["a1", "b1"], "left").select("a1", "b1", F.coalesce("m", "turned").alias("m"))

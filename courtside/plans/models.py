@@ -53,31 +53,52 @@ def draw(*parts):
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+_M = 2147483648
+
+
+def mixed(key, rep):
+    """A whole number below 2^31, fixed by a whole key below 2^31 and a repetition: products and shifts, as quick as it must be for thousands of repetitions."""
+    x = (key * 1597334677 + rep * 1812433253) % _M
+    for shift, factor in ((15, 1540483477), (13, 1103515245)):
+        x = x.bitwiseXOR(F.shiftright(x, shift)) * factor % _M
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
 _POISSON = [(0.3678794, 0), (0.7357589, 1), (0.9196986, 2), (0.9810118, 3), (0.9963402, 4)]
 _POISSON_SQL = "case " + " ".join(f"when u < {c} then {k}" for c, k in _POISSON) + " else 5 end"
 
 
-@query(f"""with {FORECASTS}, m as (select match_id, sum((p - y) * (p - y) - 0.25) d, count(*) n from fc group by match_id), r as (select unnest(range(0, 40)) rep),
-w as (select rep, d, n, {_DRAW.format(key="rep || ':' || match_id")} u from m, r), b as (select rep, sum({_POISSON_SQL} * d) / sum({_POISSON_SQL} * n) diff from w group by rep)
-select count(*) reps, round(avg(diff), 6) mean, round(min(diff), 6) lo, round(max(diff), 6) hi, round(avg(cast(diff < 0 as int)), 4) better from b""")
-def paired_bootstrap(spark: SparkSession, sf_dir: str, reps: int = 40) -> DataFrame:
-    """The rated forecast's Brier score less a coin's, over Poisson-weighted resamples of whole matches."""
+def _mixed_sql(source: str, key: str) -> str:
+    """Adds u, uniform in [0, 1), to the rows of source, which has rep."""
+    return f"""(select * exclude (h0, h1, h2), xor(h2, h2 >> 16) / 2147483648.0 u from (select *, (xor(h1, h1 >> 13) * 1103515245) % 2147483648 h2 from (select *, (xor(h0, h0 >> 15) * 1540483477) % 2147483648 h1 from
+    (select *, (cast({key} as bigint) % 2147483648 * 1597334677 + cast(rep as bigint) * 1812433253) % 2147483648 h0 from {source}))))"""
+
+
+@query(f"""with {FORECASTS}, m as (select match_id, sum((p - y) * (p - y) - 0.25) d, count(*) n from fc group by match_id), r as (select unnest(range(0, 4000)) rep), mr as (select * from m, r),
+w as (select rep, d, n, {_POISSON_SQL} k from {_mixed_sql('mr', 'match_id')}), b as (select rep, sum(k * d) / sum(k * n) diff from w group by rep), o as (select diff, row_number() over (order by diff) i from b)
+select count(*) reps, round(avg(diff), 6) mean, round(max(diff) filter (where i = 101), 6) lo, round(max(diff) filter (where i = 3900), 6) hi, round(avg(cast(diff < 0 as int)), 4) better from o""")
+def paired_bootstrap(spark: SparkSession, sf_dir: str, reps: int = 4000) -> DataFrame:
+    """The rated forecast's Brier score less a coin's, over Poisson-weighted resamples of whole matches: mean, the middle 95 of 100, and how often it is better."""
     m = forecasts(spark, sf_dir).groupBy("match_id").agg(F.sum(F.expr("(p - y) * (p - y) - 0.25D")).alias("d"), F.count("*").alias("n"))
-    w = m.select("match_id", "d", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("u", draw("rep", "match_id"))
+    w = m.repartition("match_id").select("match_id", "d", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    w = w.withColumn("u", mixed(F.col("match_id") % _M, F.col("rep").cast("long")) / float(_M))
     weight = F.expr(_POISSON_SQL.replace(" then", "D then"))
     b = w.groupBy("rep").agg((F.sum(weight * F.col("d")) / F.sum(weight * F.col("n"))).alias("diff"))
-    return b.agg(F.count("*").alias("reps"), F.round(F.avg("diff"), 6).alias("mean"), F.round(F.min("diff"), 6).alias("lo"), F.round(F.max("diff"), 6).alias("hi"), F.round(F.avg((F.col("diff") < 0).cast("int")), 4).alias("better"))
+    o = b.withColumn("i", F.row_number().over(Window.orderBy("diff")))  # a row a repetition
+    end = lambda k: F.round(F.max(F.when(F.col("i") == k, F.col("diff"))), 6)
+    cut = reps // 40
+    return o.agg(F.count("*").alias("reps"), F.round(F.avg("diff"), 6).alias("mean"), end(cut + 1).alias("lo"), end(reps - cut).alias("hi"), F.round(F.avg((F.col("diff") < 0).cast("int")), 4).alias("better"))
 
 
-@query(f"""with {GAMES}, d as (select gid, a1, game_no x, margin y, row_number() over (partition by a1 order by gid) i from games), r as (select unnest(range(0, 10)) rep),
-s as (select rep, a1, y, row_number() over (partition by rep, a1 order by md5(rep || ':' || gid), gid, y) i from d, r), j as (select rep, a1, d.x, s.y from s join d using (a1, i))
+@query(f"""with {GAMES}, d as (select gid, match_id * 8 + game_no key, a1, game_no x, margin y, row_number() over (partition by a1 order by gid, margin) i from games), r as (select unnest(range(0, 200)) rep), dr as (select rep, gid, key, a1, y from d, r),
+s as (select rep, a1, y, row_number() over (partition by rep, a1 order by u, gid, y) i from {_mixed_sql('dr', 'key')}), j as (select rep, a1, d.x, s.y from s join d using (a1, i))
 select a1, round(stddev_samp(c), 5) null_sd from (select rep, a1, avg(x * y) - avg(x) * avg(y) c from j group by all) group by a1""")
-def permutation_null(spark: SparkSession, sf_dir: str, reps: int = 10) -> DataFrame:
+def permutation_null(spark: SparkSession, sf_dir: str, reps: int = 200) -> DataFrame:
     """Spread of a player's covariance when results are dealt anew among that player's games."""
-    own = games(spark, sf_dir).select("gid", "a1", F.col("game_no").alias("x"), F.col("margin").alias("y"))
-    d = own.withColumn("i", F.row_number().over(Window.partitionBy("a1").orderBy("gid")))
-    s = own.select("gid", "a1", "y", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    s = s.withColumn("i", F.row_number().over(Window.partitionBy("rep", "a1").orderBy(F.md5(F.concat_ws(":", "rep", "gid")), "gid", "y")))
+    own = games(spark, sf_dir).select("gid", (F.col("match_id") * 8 + F.col("game_no")).alias("key"), "a1", F.col("game_no").alias("x"), F.col("margin").alias("y"))
+    d = own.withColumn("i", F.row_number().over(Window.partitionBy("a1").orderBy("gid", "y")))
+    s = own.select("gid", "key", "a1", "y", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("h", mixed(F.col("key") % _M, F.col("rep").cast("long")))
+    s = s.withColumn("i", F.row_number().over(Window.partitionBy("rep", "a1").orderBy("h", "gid", "y")))
     c = s.select("rep", "a1", "y", "i").join(d.select("a1", "x", "i"), ["a1", "i"]).groupBy("rep", "a1").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("c"))
     return c.groupBy("a1").agg(F.round(F.stddev_samp("c"), 5).alias("null_sd"))
 

@@ -85,13 +85,13 @@ _DAY = "(year(\"date\") * 12 + month(\"date\")) * 31 + day(\"date\")"
 
 
 @query(f"""with {GAMES}, {SLOTS}, d as (select player, {_DAY} dd, sum((pf - pa) / (pf + pa)) r from slots group by all),
-x as (select player, dd, sum(r * pow(2.0, (dd - 745000) / 45.0 / 8)) over (partition by player order by dd rows between unbounded preceding and 1 preceding) acc from d)
-select player, dd as day, round(coalesce(acc, 0) * pow(2.0, -(dd - 745000) / 45.0 / 8), 5) + 0.0 momentum from x""")
+x as (select player, dd, sum(r * pow(2.0, (dd - 742500) / 45.0)) over (partition by player order by dd rows between unbounded preceding and 1 preceding) acc from d)
+select player, dd as day, round(coalesce(acc, 0) * pow(2.0, -(dd - 742500) / 45.0), 5) + 0.0 momentum from x""")
 def momentum_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Residuals of strictly earlier days, each halved every 360 of the (uneven) days that are counted; one row a player and day."""
+    """Residuals of strictly earlier days, each halved every 45 of the (uneven) days that are counted; one row a player and day."""
     day = (F.year("date") * 12 + F.month("date")) * 31 + F.dayofmonth("date")
     d = slots(games(spark, sf_dir)).groupBy("player", day.alias("day")).agg(F.sum((F.col("pf") - F.col("pa")) / (F.col("pf") + F.col("pa"))).alias("r"))
-    grown = F.pow(F.lit(2.0), (F.col("day") - 745000) / F.lit(45.0) / F.lit(8))
+    grown = F.pow(F.lit(2.0), (F.col("day") - 742500) / F.lit(45.0))
     acc = F.sum(F.col("r") * grown).over(_ahead(Window.partitionBy("player").orderBy("day")))
     return d.select("player", "day", (F.round(F.coalesce(acc, F.lit(0.0)) / grown, 5) + 0.0).alias("momentum"))
 

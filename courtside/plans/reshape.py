@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtside.catalog import query
+from courtside.operators.ranks import ranked
 from courtside.sources.tables import GAMES, SLOTS, games, slots, table
 
 
@@ -68,9 +69,9 @@ def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {GAMES}, {SLOTS}, f as (select player, min(struct_pack(d := "date", g := gid)) k from slots group by player)
 select player, cast(row_number() over (order by k, player) as bigint) idx from f""")
 def first_seen_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Players numbered by first appearance: one row a player reaches the ordering, after the aggregate."""
+    """Players numbered by first appearance, by ranges of it."""
     first = slots(games(spark, sf_dir)).groupBy("player").agg(F.min(F.struct("date", "gid")).alias("k"))
-    return first.select("player", F.row_number().over(Window.orderBy("k", "player")).cast("long").alias("idx"))
+    return ranked(first, ["k", "player"], "idx").select("player", "idx")
 
 
 @query(f"""with {GAMES} select match_id, count(*) n_games, list_sort(list(game_no * 10000 + s1 * 100 + s2)) games, len(list_distinct(list(a1) || list(b1))) players from games group by match_id""")

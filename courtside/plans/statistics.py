@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtside.catalog import query
+from courtside.operators.ranks import ranked
 from courtside.functions.probability import NORMAL_CDF, normal_cdf
 from courtside.sources.tables import GAMES, SLOTS, games, slots, table
 
@@ -62,9 +63,9 @@ select player, cast(k <= cut as int) fdr10, cast(p <= 0.05 / m as int) bonferron
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of the players stand out, at a false discovery rate of a tenth, and by Bonferroni; one row a player is ranked."""
     p = _p_values(spark, sf_dir)
-    ranked = p.join(F.broadcast(p.agg(F.count("*").alias("m")))).withColumn("k", F.row_number().over(Window.orderBy("p", "player")))
-    cut = ranked.agg(F.coalesce(F.max(F.when(F.expr("p <= 0.1D * k / m"), F.col("k"))), F.lit(0)).alias("cut"))
-    return ranked.join(F.broadcast(cut)).select("player", F.expr("cast(k <= cut as int)").alias("fdr10"), F.expr("cast(p <= 0.05D / m as int)").alias("bonferroni"))
+    placed = ranked(p, ["p", "player"], "k").withColumn("m", F.lit(p.count()))
+    cut = placed.agg(F.coalesce(F.max(F.when(F.expr("p <= 0.1D * k / m"), F.col("k"))), F.lit(0)).alias("cut")).first().cut
+    return placed.withColumn("cut", F.lit(cut)).select("player", F.expr("cast(k <= cut as int)").alias("fdr10"), F.expr("cast(p <= 0.05D / m as int)").alias("bonferroni"))
 
 
 @query(f"""with {GAMES}, {SLOTS}, {_Z}, t(cut) as (values (1.0), (1.645), (2.0), (2.5)) select cast(cut as double) cut, count(*) filter (where z > cut) seen, round(count(*) * (1 - {NORMAL_CDF.format(x='cut')}), 4) expected from t, p group by cut""")
@@ -79,7 +80,7 @@ def tail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ks_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kolmogorov and Smirnov's distance of the players' scores from the normal distribution."""
     p = _p_values(spark, sf_dir)
-    r = p.join(F.broadcast(p.agg(F.count("*").alias("m")))).withColumn("k", F.row_number().over(Window.orderBy("z", "player"))).withColumn("f", normal_cdf(F.col("z")))
+    r = ranked(p, ["z", "player"], "k").withColumn("m", F.lit(p.count())).withColumn("f", normal_cdf(F.col("z")))
     return r.agg(F.round(F.max(F.greatest(F.abs(F.expr("k / m - f")), F.abs(F.expr("(k - 1) / m - f")))), 6).alias("d"), F.count("*").alias("n"))
 
 

@@ -8,29 +8,41 @@ from courtside.functions.probability import SIGMOID, sigmoid
 from courtside.operators.graph import connected_components
 from courtside.sources.tables import GAMES, games, table
 
-_EDGES = "e as (select distinct context, a1 a, a2 b from games where is_forfeit and margin > 8 and game_no >= 3 and tour = 'MLP')"
-_REACH = f"""{GAMES}, {_EDGES}, both_ways as (select * from e union select context, b, a from e),
-r(context, node, lab) as (select context, a, a from both_ways union select r.context, b.b, r.lab from r join both_ways b on b.context = r.context and b.a = r.node)"""
+_PARTNERS = "e as (select distinct context, a1 a, a2 b from games union select context, b1, b2 from games)"
+_REACH = """both_ways as (select * from e union select context, b, a from e),
+r(context, node, lab) as (select context, a, a from both_ways union select r.context, b.b, r.lab from r join both_ways b on b.context = r.context and b.a = r.node),
+c as (select context, node, min(lab) component from r group by all)"""
 
 
-def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = games(spark, sf_dir).where("is_forfeit and margin > 8 and game_no >= 3 and tour = 'MLP'").select("context", "a1", "a2").distinct()
+def _components(edges: DataFrame) -> DataFrame:
+    """edges: context, a, b. (context, node, component)."""
     node = lambda p: F.struct("context", F.col(p).alias("id"))
-    found = connected_components(e.select(node("a1").alias("a"), node("a2").alias("b")))
+    found = connected_components(edges.select(node("a").alias("a"), node("b").alias("b")))
     return found.select("node.context", F.col("node.id").alias("node"), F.col("component.id").alias("component"))
 
 
-@query(f"with recursive {_REACH} select context, node, min(lab) component from r group by all")
+def _edges(spark: SparkSession, sf_dir: str, *pairs: tuple[str, str]) -> DataFrame:
+    return games(spark, sf_dir).select("context", F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs)))).distinct()
+
+
+@query(f"with recursive {GAMES}, {_PARTNERS}, {_REACH} select * from c")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is connected through partners, in each context."""
-    return _components(spark, sf_dir)
+    return _components(_edges(spark, sf_dir, ("a1", "a2"), ("b1", "b2")))
+
+
+@query(f"with recursive {GAMES}, e as (select distinct context, a1 a, a2 b from games union select context, a2, b1 from games union select context, b1, b2 from games), {_REACH} select * from c")
+def opponent_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is connected through partners or opponents: a chain through a game's four players does for all its pairs."""
+    return _components(_edges(spark, sf_dir, ("a1", "a2"), ("a2", "b1"), ("b1", "b2")))
 
 
-@query(f"""with recursive {_REACH}, c as (select context, node, min(lab) component from r group by all), s as (select context, component, count(*) n from c group by all)
-select context, count(*) components, max(n) largest, round(max(n) / sum(n), 6) giant from s group by context""")
-def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _components(spark, sf_dir).groupBy("context", "component").agg(F.count("*").alias("n"))
-    return s.groupBy("context").agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("giant"))
+@query(f"""with recursive {GAMES}, {_PARTNERS}, {_REACH}, s as (select context, component, count(*) n, bool_or(node = 100) focal from c group by all)
+select context, count(*) components, max(n) largest, round(max(n) / sum(n), 6) giant, coalesce(max(case when focal then n end), 0) focal from s group by context""")
+def component_sizes(spark: SparkSession, sf_dir: str, focal: int = 100) -> DataFrame:
+    """Of each context: how many components, the largest, its share, and the size of a given player's."""
+    s = components(spark, sf_dir).groupBy("context", "component").agg(F.count("*").alias("n"), F.bool_or(F.col("node") == focal).alias("focal"))
+    return s.groupBy("context").agg(F.count("*").alias("components"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("giant"), F.coalesce(F.max(F.when(F.col("focal"), F.col("n"))), F.lit(0)).alias("focal"))
 
 
 #: Where the seeds 1 to 8 stand in a bracket, so that the best meet last.
