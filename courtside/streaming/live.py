@@ -1,4 +1,7 @@
-"""Live updates as Structured Streaming: change detection with keyed state, deduplication, windows, and a write-once record for each key."""
+"""Live updates as Structured Streaming: change detection with keyed state, deduplication, windows and sessions, and a write-once record for each key.
+
+State is one small row a key. A micro-batch is bounded by `files`, and so are the rows of a key that a task sorts at once.
+"""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -8,55 +11,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+#: Minutes without news that end a day, and how late a row may come.
+QUIET, LATE = "30 minutes", "3 days"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files as they are dropped; event time as a timestamp, which watermarks need."""
-    return spark.readStream.schema(EVENTS).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, files: int = 64) -> DataFrame:
+    """Parquet files as they are dropped, at most `files` a micro-batch; event time as a timestamp, which watermarks need."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def changes(events: DataFrame) -> DataFrame:
-    """Events whose type differs from the last of their user: the last one is state, kept over restarts by the query's checkpoint."""
+    """Events whose type differs from the last of their user: the last one is state, kept over restarts by the query's checkpoint: one word a user."""
 
     def emit(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        for pdf in [pd.concat(list(batches)).sort_values("event_id")]:
-            before = pdf["event_type"].shift(1, fill_value=last if last is not None else "\0")
-            yield pdf[pdf["event_type"] != before][["event_id", "user_id", "event_type"]]
-            last = pdf["event_type"].iloc[-1]
-        state.update((last,))
+        pdf = pd.concat(list(batches)).sort_values("event_id")  # the key's rows of one micro-batch
+        before = pdf["event_type"].shift(1, fill_value=last if last is not None else "\0")
+        yield pdf[pdf["event_type"] != before][["event_id", "user_id", "event_type"]]
+        state.update((pdf["event_type"].iloc[-1],))
 
     return events.select("event_id", "user_id", "event_type").groupBy("user_id").applyInPandasWithState(emit, "event_id long, user_id long, event_type string", "last string", "append", "NoTimeout")
 
 
-def deduplicated(events: DataFrame, delay: str = "3 days") -> DataFrame:
+def deduplicated(events: DataFrame, delay: str = LATE) -> DataFrame:
     """What an at-least-once source sends twice, within the time that it may be late."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def per_window(events: DataFrame, width: str = "1 day", delay: str = "3 days") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
-
+def per_window(events: DataFrame, width: str = "1 day", delay: str = LATE) -> DataFrame:
+    """Counts and sums of tumbling windows. On a stream a window is given once, when rows of it would be too late."""
+    return events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
-def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through a file sink in a shared folder, and read back."""
-    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
+def sessions(events: DataFrame, quiet: str = QUIET, delay: str = LATE) -> DataFrame:
+    """Stretches of a user's events with less than `quiet` between two: a day ends when that long nothing has come."""
+    own = events.withWatermark("ts", delay).groupBy(F.session_window("ts", quiet).alias("s"), "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return own.select("user_id", F.col("s.start").alias("start"), "last", "n")
 
-def write_once(stream: DataFrame, key: str, path: str) -> None:
-    """The first record of each key, once: a batch leaves out the keys that are there, and a batch that is run again replaces its own folder."""
-    spark = stream.sparkSession
 
-    def put(batch: DataFrame, number: int) -> None:
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/rows")
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = sorted(x.getPath().getName() for x in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-        there = [f"{path}/rows/{n}" for n in names if n != f"batch={number}"]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*[c for c in batch.columns if c != key]), "event_id").alias("r")).select(key, "r.*")
-        if there:
-            first = first.join(spark.read.parquet(*there).select(key), key, "left_anti")
-        first.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+def first_records(events: DataFrame) -> DataFrame:
+    """The first record of each user, once: that it has been given is the user's state, so a restarted query does not give it again."""
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    def emit(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            for _ in batches:
+                pass
+            return
+        first = None
+        for pdf in batches:
+            own = pdf.nsmallest(1, "event_id")
+            first = own if first is None or own["event_id"].iloc[0] < first["event_id"].iloc[0] else first
+        yield first
+        state.update((True,))
+
+    return events.select("event_id", "user_id", "event_type").groupBy("user_id").applyInPandasWithState(emit, "event_id long, user_id long, event_type string", "given boolean", "append", "NoTimeout")
+
+
+def drained(stream: DataFrame, path: str, kind: str = "parquet") -> DataFrame:
+    """All that is there now, through an append-only file sink (parquet, or json: a line a row) in a shared folder, and read back."""
+    q = stream.writeStream.format(kind).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).format(kind).load(f"{path}/rows")
