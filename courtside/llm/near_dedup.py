@@ -41,7 +41,7 @@ ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
 LEAST = 0.8
 #: Registers of which a bit each is kept of texts that share a band.
-WIDE = 1024
+WIDE = 2048
 CHUNK, TURNS = 256, 4
 #: Shingles and texts that are hashed at once.
 _PART, _TEXTS, _WIDE_TEXTS = 400_000, 4000, 1000
