@@ -63,10 +63,10 @@ def quarantined(rows: DataFrame, reason: F.Column) -> tuple[DataFrame, DataFrame
 
 
 def read_lenient(spark: SparkSession, path: str, schema: str, kind: str = "json") -> tuple[DataFrame, DataFrame]:
-    """(rows, corrupt lines) of JSON or CSV files with an explicit schema; each with its file."""
+    """(rows, corrupt lines) of JSON or CSV files with an explicit schema; each with its file. Files are parsed once, into the shared folder."""
     reader = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
     df = reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)
-    df = df.withColumn("file", F.col("_metadata.file_path"))
+    df = written(df.withColumn("file", F.col("_metadata.file_path")), "parsed")
     return df.where("_corrupt is null").drop("_corrupt"), df.where("_corrupt is not null").select("_corrupt", "file")
 
 
