@@ -12,9 +12,6 @@ from courtside.plans.kernels import _WIN_OF
 from courtside.plans.rally_log import log_rally_events
 from courtside.sources.tables import GAMES, RATING, SLOTS, games, rating, slots, table
 
-_FIRST = Window.unboundedPreceding
-
-
 @query(f"""with {GAMES}, pr as (select a1 p, a2 q, margin > 0 won, "date", gid, margin from games union all select b1, b2, margin < 0, "date", gid, margin from games), r as (select *, row_number() over (partition by p, q order by "date", gid, margin) i, row_number() over (partition by p, q, won order by "date", gid, margin) k from pr),
 s as (select p, q, won, i - k isle, count(*) n from r group by all) select p, q, coalesce(max(case when won then n end), 0) best, sum(n) games, coalesce(sum(case when won then n end), 0) wins from s group by p, q""", best="bigint", games="bigint", wins="bigint")
 def pair_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 from courtside.catalog import query
 from courtside.sources.logs import LOGS, POINT, RALLY, SECOND, SIDEOUT, archive, log_rows
 
-_ORDER = Window.partitionBy("match_id").orderBy("log_index")
-#: All later rows, as rows before in the reversed order: one pass, where a frame to the end would be read again for each row.
-_LATER = Window.partitionBy("match_id").orderBy(F.desc("log_index")).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _later(*keys: str):
+    """All later rows, as rows before in the reversed order: one pass, where a frame to the end would be read again for each row."""
+    return Window.partitionBy(*keys).orderBy(F.desc("log_index")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _part(text: str, n: int) -> Column:
@@ -54,10 +56,10 @@ def _walked(rows: DataFrame) -> DataFrame:
     """The rows of the four kinds with delta (stale strings confirmed by the next readable row), side, whether a rally is open, and the opening row's fields."""
     readable = F.col("start_string").rlike(r"^[0-9]+(-[0-9]+)+$")
     told = F.when(readable, F.when(F.col("log_type") == SIDEOUT, _part("start_string", 2)).otherwise(_part("start_string", 1)))
-    rows = rows.withColumn("next_told", F.last(told, ignorenulls=True).over(_LATER)).withColumn("raw", point_delta())
+    rows = rows.withColumn("next_told", F.last(told, ignorenulls=True).over(_later("match_id"))).withColumn("raw", point_delta())
     stale = (F.col("raw") == 0) & F.col("point_end").isNotNull() & (F.col("next_told") == _part("start_string", 1) + 1)
     rows = rows.withColumn("delta", F.when(F.col("log_type") == POINT, F.when(stale, 1).otherwise(F.col("raw"))))
-    kept = rows.where(F.col("log_type").isin(RALLY, POINT, SIDEOUT, SECOND)).withColumn("before", F.lag(F.struct("log_type", "server_uuid", "receiver_uuid", "server_side", "game_number", "start_string")).over(_ORDER))
+    kept = rows.where(F.col("log_type").isin(RALLY, POINT, SIDEOUT, SECOND)).withColumn("before", F.lag(F.struct("log_type", "server_uuid", "receiver_uuid", "server_side", "game_number", "start_string")).over(Window.partitionBy("match_id").orderBy("log_index")))
     is_open = F.coalesce(F.col("before.log_type") == RALLY, F.lit(False))
     own = lambda c: F.when(is_open, F.col(f"before.{c}")).otherwise(F.col(c))
     kept = kept.select(
@@ -93,8 +95,7 @@ def _events(walked: DataFrame) -> DataFrame:
     step = F.when(push, 1).when((F.col("log_type") == POINT) & (F.col("delta") < 0), F.col("delta")).otherwise(0)
     rows = rows.withColumn("total", F.sum(step).over(by_side))
     rows = rows.withColumn("height", F.col("total") - F.least(F.lit(0), F.min("total").over(by_side)))
-    later = Window.partitionBy("match_id", "side").orderBy(F.desc("log_index")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("lowest", F.min("height").over(later))
+    rows = rows.withColumn("lowest", F.min("height").over(_later("match_id", "side")))
     events = rows.where(push | F.col("log_type").isin(SIDEOUT, SECOND) & F.col("is_open"))
     won = (F.col("log_type") == POINT) & ~F.coalesce(F.col("lowest") < F.col("height"), F.lit(False))
     mine, other = F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1")), F.when(F.col("side") == 0, F.col("p1")).otherwise(F.col("p0"))
