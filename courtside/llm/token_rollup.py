@@ -7,7 +7,8 @@ what a lost run has left of an uncommitted one is overwritten.
 
 Changes without a doc_id are left out, as nothing could revise them. Null texts count 0 tokens, null sources and languages are a group
 each. Of several changes to one document and version in a batch, deletes lose to counts and the largest count holds; a delete
-of an unknown document changes nothing. Empty batches are committed as empty.
+of an unknown document changes nothing. Empty batches are committed as empty; very long texts are counted whole; repeated rows of a batch
+count once, as they are one change; other columns are ignored. One writer at a time: batches are checked and written, not locked.
 """
 from __future__ import annotations
 
@@ -44,8 +45,9 @@ class TokenLedger:
             return False
         counted = F.when(F.col("op") != "delete", F.struct("n_tokens", "source", "lang"))
         new = changes.where(F.col("doc_id").isNotNull()).groupBy(*KEY).agg(F.max(counted).alias("new"))
-        held = self._read("entries", ENTRY).groupBy(*KEY, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-        undo = held.join(new.select(*KEY), KEY, "left_semi").select(*KEY, "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
+        # of the history only what the batch's documents have
+        held = self._read("entries", ENTRY).join(new.select(*KEY), KEY, "left_semi").groupBy(*KEY, "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        undo = held.select(*KEY, "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         put = new.where(F.col("new").isNotNull()).select(*KEY, "new.source", "new.lang", F.lit(1).cast("long").alias("docs"), F.col("new.n_tokens").cast("long").alias("tokens"))
         entries = f"{self.path}/entries/{batch_id}"
         put.unionByName(undo).write.mode("overwrite").parquet(entries)
@@ -71,7 +73,7 @@ def counts(docs: DataFrame, op: str, tokenizer: str, pattern: str) -> DataFrame:
 def maintained(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     """A ledger's life: two versions' counts come in, the first is revised, toxic documents are taken down, and two batches are sent again."""
     ledger = TokenLedger(docs.sparkSession, path)
-    gone = labels.where("toxic = 1").select("doc_id").distinct().join(docs.sparkSession.createDataFrame([("v1",), ("v2",)], "tokenizer string"))
+    gone = labels.where("toxic = 1").select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("tokenizer"))
     batches = {
         "0001-v1": counts(docs, "insert", "v1", r"[^ ]+"),
         "0002-v2": counts(docs, "insert", "v2", SPLIT),
