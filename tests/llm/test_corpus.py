@@ -99,6 +99,21 @@ def test_rollup(spark, odd, none, tmp_path):
     batch = token_rollup.counts(odd, "insert", "v1", token_rollup.SPACED)
     assert ledger.commit("1", batch) and not ledger.commit("1", batch)
     assert sum(r.n_docs for r in ledger.totals().collect()) == 10
+    # a batch that was lost half-way: its entries are there, its sums are not
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/ledger/sums/1")
+    assert ledger.commit("1", batch) and sum(r.n_docs for r in ledger.totals().collect()) == 10
+    schema = "op string, doc_id long, tokenizer string, source string, lang string, n_tokens int"
+    change = lambda *rows: spark.createDataFrame(list(rows), schema)
+    own = token_rollup.TokenLedger(spark, f"file://{tmp_path}/own")
+    total = lambda: {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in own.totals().collect()}
+    assert own.commit("a", change(("insert", 1, "v1", "web", "en", 5), ("insert", 1, "v1", "web", "en", 5), ("insert", 2, "v1", None, None, 7), ("insert", None, "v1", "web", "en", 9)))
+    assert total() == {("web", "en"): (1, 5), (None, None): (1, 7)}
+    assert own.commit("b", change(("revise", 1, "v1", "book", "de", 6), ("delete", 3, "v1", None, None, None)))
+    assert total() == {("book", "de"): (1, 6), (None, None): (1, 7)}
+    assert own.commit("c", change(("delete", 2, "v1", None, None, None), ("delete", 1, "v1", None, None, None), ("revise", 1, "v1", "book", "de", 8)))
+    assert total() == {("book", "de"): (1, 8)} and not own.commit("c", change())
     assert ledger.commit("2", token_rollup.counts(none, "insert", "v1", token_rollup.SPACED))
     assert sum(r.n_docs for r in ledger.totals().collect()) == 10
 
