@@ -7,7 +7,8 @@ import pytest
 
 from courtside import catalog
 from courtside.operators import serve
-from courtside.operators.fits import logistic_newton, paired_map
+from courtside.operators.fits import logistic_newton, paired_map, served_map
+from courtside.operators.rally import elo_sweep
 from courtside.sources.logs import log_rows
 from courtside.sources.tables import games, rallies
 
@@ -314,3 +315,33 @@ def test_paired_map(spark):
     for player, value in got.items():
         slope = sum((w if player == a else n - w) - n * sigmoid(value - got[b if player == a else a]) for a, b, w, n in met if player in (a, b))
         assert slope - value / 0.25 == pytest.approx(0, abs=1e-3)
+
+
+def test_served_map(spark):
+    met = [("a", "b", 6, 10), ("b", "a", 4, 12), ("a", "c", 7, 9), ("c", "b", 3, 8), ("c", "a", 5, 11), ("b", "c", 2, 7)]
+    rows = served_map(spark.createDataFrame(met, "server string, receiver string, won long, n long"), steps=120).collect()
+    alpha = [r.serve for r in rows if r.player is None][0]
+    serving, returning = {r.player: r.serve for r in rows if r.player}, {r.player: r.back for r in rows if r.player}
+    left = {(s, r): w - n * sigmoid(alpha + serving[s] - returning[r]) for s, r, w, n in met}
+    # at the most likely values each slope is nought: what is left over is the prior's pull
+    assert sum(left.values()) == pytest.approx(0, abs=1e-3)
+    for p in "abc":
+        assert sum(x for (s, _), x in left.items() if s == p) == pytest.approx(serving[p] / 0.0625, abs=1e-3)
+        assert -sum(x for (_, r), x in left.items() if r == p) == pytest.approx(returning[p] / 0.0625, abs=1e-3)
+
+
+def test_elo_steps(spark):
+    own = games(spark, SMALL).where("not is_forfeit")
+    played = sorted(own.collect(), key=lambda g: (g.context, g.date, g.gid))
+    got = {r.k: r for r in elo_sweep(own, "context", [8.0, 32.0]).collect()}
+    assert got.keys() == {8.0, 32.0}
+    for k, r in got.items():
+        ratings, loss = defaultdict(float), 0.0
+        for g in played:
+            four = [((g.context, p), sign) for p, sign in ((g.a1, 1), (g.a2, 1), (g.b1, -1), (g.b2, -1))]
+            chance = 1 / (1 + 10 ** (-sum(sign * ratings[p] for p, sign in four) / 800))
+            y = g.margin > 0
+            loss -= math.log(max(chance if y else 1 - chance, 1e-6))
+            for p, sign in four:
+                ratings[p] += sign * k * (y - chance)
+        assert r.games == len(played) and r.log_loss == pytest.approx(loss / len(played))
