@@ -1,15 +1,18 @@
-"""Helpers shared by the corpus operators: row numbers, and leaving out rows by an id list."""
+"""Helpers shared by the corpus operators: row numbers, leaving out rows by an id list, and digests of long sequences."""
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.sources.storage import discard, fresh_path, shared_dir, written
 from courtside.sources.tables import table
 
-__all__ = ["BROADCAST_IDS", "discard", "fresh_path", "numbered", "shared_dir", "table", "without_ids", "written"]
+__all__ = ["BROADCAST_IDS", "discard", "fresh_path", "numbered", "shared_dir", "streamed_sha256", "table", "without_ids", "written"]
 
 #: Rows that an id list may have before it is shuffled rather than broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -26,3 +29,35 @@ def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFra
     ids = written(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
     short = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if short else ids, key, "left_anti")
+
+
+def streamed_sha256(rows: DataFrame, keys: list[str], order: list[str], value: str, between: str) -> DataFrame:
+    """keys and sha256 (lowercase hex) of each key's values in order, joined by `between`. Values go through one by one, so a
+    key may have any number of them; those of one key go through one task, as SHA-256 can't be made from parts."""
+    sorted_rows = rows.select(*keys, *order, value).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, value)
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", sha256 string"
+    between_bytes = between.encode()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, done = None, None, []
+        out = lambda kinds: pa.RecordBatch.from_arrays([*(pa.array([d[0][k] for d in done], t) for k, t in enumerate(kinds)), pa.array([d[1] for d in done])], [*keys, "sha256"])
+        kinds = []
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in range(len(keys))]
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, text in zip(zip(*columns[:-1]), columns[-1]):
+                if digest is not None and key == at:
+                    digest.update(between_bytes)
+                else:
+                    if digest is not None:
+                        done.append((at, digest.hexdigest()))
+                    at, digest = key, hashlib.sha256()
+                digest.update(text.encode())
+            if len(done) >= 10_000:
+                yield out(kinds)
+                done = []
+        if digest is not None:
+            done.append((at, digest.hexdigest()))
+            yield out(kinds)
+
+    return sorted_rows.mapInArrow(digests, schema)
