@@ -57,7 +57,8 @@ class ByteBpe:
             self.tokens[rank] = token
         self._pattern, self._leaf, self._leaf_bytes = regex.compile(pattern), leaf, leaf_bytes
         self._known: dict[str, bytes] = {}
-        self._stands: dict[tuple[int, int], bool] = {}
+        self._short: dict[bytes, list[int]] = {}
+        self._pairs: dict[tuple[int, int], list[int]] = {}
 
     # a match's bytes
 
@@ -75,31 +76,41 @@ class ByteBpe:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
 
-    def stands(self, a: int, b: int) -> bool:
-        """Whether two neighbours outlive a merge of their bytes."""
-        known = self._stands.get((a, b))
+    def _remembered(self, raw: bytes) -> list[int]:
+        """merged() of few bytes."""
+        known = self._short.get(raw)
+        if known is None:
+            if len(self._short) >= KNOWN:
+                self._short.clear()
+            known = self._short[raw] = self.merged(raw)
+        return known
+
+    def pair(self, a: int, b: int) -> list[int]:
+        """What two neighbours' bytes are merged to: the two if they outlive it."""
+        known = self._pairs.get((a, b))
         if known is None:
-            if len(self._stands) >= KNOWN:
-                self._stands.clear()
-            known = self._stands[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            if len(self._pairs) >= KNOWN:
+                self._pairs.clear()
+            known = self._pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b])
         return known
 
+    def stands(self, a: int, b: int) -> bool:
+        return self.pair(a, b) == [a, b]
+
     def joined(self, left: list[int], right: list[int]) -> list[int]:
-        tokens = self.tokens
-        if not left or not right or self.stands(left[-1], right[0]):
-            return left + right
+        tokens, window = self.tokens, self.pair(left[-1], right[0])
         i = j = 1  # tokens of either side in the window
         while True:
-            window = self.merged(b"".join(tokens[t] for t in left[len(left) - i :] + right[:j]))
             fits_left = i == len(left) or self.stands(left[-i - 1], window[0])
             fits_right = j == len(right) or self.stands(window[-1], right[j])
             if fits_left and fits_right:
                 return left[: len(left) - i] + window + right[j:]
             i, j = i if fits_left else min(2 * i, len(left)), j if fits_right else min(2 * j, len(right))
+            window = self.merged(b"".join(tokens[t] for t in left[len(left) - i :] + right[:j]))
 
     def _halves(self, raw: bytes) -> list[int]:
         if len(raw) <= self._leaf_bytes:
-            return self.merged(raw)
+            return self._remembered(raw)
         middle = len(raw) // 2
         return self.joined(self._halves(raw[:middle]), self._halves(raw[middle:]))
 

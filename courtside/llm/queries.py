@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, byte_bpe, decontamination, language_id, licenses, lm_scoring, near_dedup, packing, repair, secrets, spotsigs, token_rollup
+from . import binary_output, byte_bpe, decontamination, language_id, licenses, lm_scoring, near_dedup, packing, prefix_trie, repair, secrets, spotsigs, token_rollup
 from .common import fresh_path, table
 
 
@@ -62,6 +62,10 @@ def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrix(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
 
@@ -72,5 +76,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_rollup, op3_secret_scan, op4_decontamination, op5_language_id, op6_spot_signatures, op7_packing, op8_lm_scoring, op9_license_scan, op10_binary_output, op12_repair, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_token_rollup, op3_secret_scan, op4_decontamination, op5_language_id, op6_spot_signatures, op7_packing, op8_lm_scoring, op9_license_scan, op10_binary_output, op11_prefix_trie, op12_repair, op13_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE_SQL, "op4_decontamination": decontamination.ORACLE_SQL}
