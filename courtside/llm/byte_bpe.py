@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-LEAF, LEAF_BYTES = 1 << 16, 24
+LEAF, LEAF_BYTES = 1 << 16, 5
 #: Characters past a match's start that decide on it at most, beside those up to one past its end: a contraction has three.
 AHEAD = 3
-KNOWN, SHORT = 300_000, 64
+KNOWN, SHORT = 600_000, 64
+#: Pairs of tokens and short stretches of bytes that a worker remembers the merges of.
+MERGES = 300_000
 #: Ids of a batch at most, but for one text.
 BATCH_IDS = 1_000_000
 
@@ -80,7 +83,7 @@ class ByteBpe:
         """merged() of few bytes."""
         known = self._short.get(raw)
         if known is None:
-            if len(self._short) >= KNOWN:
+            if len(self._short) >= MERGES:
                 self._short.clear()
             known = self._short[raw] = self.merged(raw)
         return known
@@ -89,7 +92,7 @@ class ByteBpe:
         """What two neighbours' bytes are merged to: the two if they outlive it."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) >= KNOWN:
+            if len(self._pairs) >= MERGES:
                 self._pairs.clear()
             known = self._pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b])
         return known
@@ -124,16 +127,16 @@ class ByteBpe:
     def _ids_of(self, matches: list[str]) -> list[bytes]:
         known = self._known
         new = {m for m in matches if m not in known}
-        if new:
-            if len(known) + len(new) > KNOWN:
-                self._known = known = {}
-                new = set(matches)
-            long = {}
-            for m in new:
-                (known if len(m) <= SHORT else long)[m] = np.array(self.match_ids(m), np.uint32).tobytes()
-            if long:
-                return [known.get(m) or long[m] for m in matches]
-        return list(map(known.__getitem__, matches))
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = set(matches)
+        for m in new:
+            known[m] = array("I", self.match_ids(m)).tobytes()
+        out = list(map(known.__getitem__, matches))
+        for m in new:
+            if len(m) > SHORT:
+                del known[m]
+        return out
 
     def _tree(self, text: str, a: int, b: int) -> tuple[list[int], list[bytes]]:
         """text[a:b] alone: where its matches end, and their ids."""
