@@ -24,7 +24,7 @@ def logistic_newton(rows: DataFrame, names: list[str], steps: int = 6) -> DataFr
     return rows.sparkSession.createDataFrame([(n, float(b), float(e)) for n, b, e in zip(names, beta, error)], "name string, estimate double, se double")
 
 
-def paired_map(met: DataFrame, steps: int = 200, prior_sd: float = 0.5, until: float = 1e-6) -> DataFrame:
+def paired_map(met: DataFrame, steps: int = 200, prior_sd: float = 0.5, until: float = 1e-9) -> DataFrame:
     """met: a, b, won (by a), n. (player, value): most likely values under a normal prior, by scaled gradient steps; fewer than `steps` if none moves by more than `until`.
 
     Values are a table joined to the meetings, so nothing depends on how many players there are. Each step reads

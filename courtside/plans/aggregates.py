@@ -72,13 +72,13 @@ def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ETA = " + ".join(RATING.format(p=p) for p in ("a1", "a2")) + " - " + " - ".join(RATING.format(p=p) for p in ("b1", "b2"))
-FORECASTS = f"""{GAMES}, fc as (select gid, match_id, context, "date", tour, margin, s1, s2, cast(margin > 0 as int) y, {SIGMOID.format(x=f'({ETA})')} p from games where not is_forfeit)"""
+FORECASTS = f"""{GAMES}, fc as (select gid, match_id, context, "date", tour, margin, s1, s2, cast(margin > 0 as int) y, {SIGMOID.format(x=f'round({ETA}, 9)')} p from games where not is_forfeit)"""
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games with p, the rated chance of side a, and y, whether it won."""
+    """Games with p, the rated chance of side a, and y, whether it won. The sides' difference is rounded, so that equal sides have a chance of 0.5 whatever order they are added in."""
     eta = rating(F.col("a1")) + rating(F.col("a2")) - rating(F.col("b1")) - rating(F.col("b2"))
-    return games(spark, sf_dir).where(~F.col("is_forfeit")).select("gid", "match_id", "context", "date", "tour", "margin", "s1", "s2", (F.col("margin") > 0).cast("int").alias("y"), sigmoid(eta).alias("p"))
+    return games(spark, sf_dir).where(~F.col("is_forfeit")).select("gid", "match_id", "context", "date", "tour", "margin", "s1", "s2", (F.col("margin") > 0).cast("int").alias("y"), sigmoid(F.round(eta, 9)).alias("p"))
 
 
 @query(f"""with {FORECASTS} select context, count(*) n, round(avg(cast((p >= 0.5) = (y = 1) as int)), 6) accuracy, round(avg((p - y) * (p - y)), 6) brier,

@@ -9,7 +9,7 @@ from courtside.sources.storage import newest_by_key, quarantined, upserted
 from courtside.sources.tables import table
 
 _NAMES = {1: "One", 2: "Two", 3: "Three", 4: "Four", 5: "Five"}
-_TITLES = ("Womens Doubles Pro Main Draw", "Mens Doubles Pro Qualifier", "Mixed Doubles Pro Main Draw", "Singles Pro", "Mixed Doubles Pro Progressive Draw")
+_TITLES = ("Womens pairs, draw: main", "Mens pairs, draw: second", "Mixed pairs, draw: main", "Alone", "Mixed pairs, draw: third")
 _ABBREVIATIONS = ("WD", "MDG", "MXD1", "DB", "mxd2")
 
 
@@ -38,7 +38,7 @@ def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return quarantined(records.matches(raw_bodies(spark, sf_dir)).drop("reason_"), F.col("reason"))
+    return quarantined(records.matches(raw_bodies(spark, sf_dir)), F.col("reason"))
 
 
 _TARGET = "case when k % 5 < 3 then 11 when k % 5 = 3 then 15 else 0 end"
@@ -46,19 +46,16 @@ _RAW = f"""
 o as (select o_orderkey k, {_TARGET} target from orders),
 mt as (select *, case when k % 2 = 0 then case k % 5 when 0 then 'womens' when 1 then 'mens' when 2 then 'mixed' when 4 then 'mixed' end else case k % 5 when 0 then 'womens' when 1 then 'mens' when 3 then null else 'mixed' end end context,
     k % 31 = 0 or k % 37 = 0 is_forfeit, k % 41 = 0 lacking, k % 82 <> 0 played from o),
-ms as (select *, case when k % 29 = 0 then 'match not completed (status=3)' when context is null then 'cannot determine context' when lacking and not played then 'bracket bye/shell (empty side, no scores)'
-    when lacking then 'missing player uuid(s) with real scores: t2_p2' when not played then 'no played games' end reason from mt),
+ms as (select *, case when k % 29 = 0 then 'unfinished:3' when context is null then 'context' when lacking and not played then 'shell' when lacking then 'lost:t2_p2' when not played then 'unplayed' end reason from mt),
 hl as (select *, target + (k + i) % 5 - 1 + case when target = 0 then 12 else 0 end high, k * i % 12 low from ms, (values (1), (2), (3)) t(i) where reason is null and (i <= 2 or k % 3 = 0)),
 sc as (select *, case when (k + i) % 2 = 0 then high else low end s1, case when (k + i) % 2 = 0 then low else high end s2 from hl),
-pl as (select *, greatest(s1, s2) top, abs(s1 - s2) apart from sc where s1 > 0 or s2 > 0),
-gm as (select *, case when is_forfeit then null when target > 0 and top < target then 'completed game below target ' || s1 || '-' || s2 || ' (to ' || target || ')'
-        when target = 0 and (top < 11 or apart < 2) then 'implausible completed score ' || s1 || '-' || s2 || ' (format unknown)' end dropped,
-    case when is_forfeit then null when target > 0 and top = target and apart < 2 then 'reached ' || target || ' but margin ' || apart || ' < win-by 2'
-        when target > 0 and top > target and apart <> 2 then 'deuce game should end exactly 2 apart (to ' || target || ', got ' || s1 || '-' || s2 || ')' when target = 0 and top > 15 then 'winning score ' || top || ' with unresolved format' end flagged from pl)
+pl as (select *, greatest(s1, s2) top, abs(s1 - s2) lead from sc where s1 > 0 or s2 > 0),
+gm as (select *, case when is_forfeit then null when target > 0 and top < target then 'short:' || s1 || '-' || s2 || '/' || target when target = 0 and (top < 11 or lead < 2) then 'unlikely:' || s1 || '-' || s2 end dropped,
+    case when is_forfeit then null when target > 0 and top = target and lead < 2 then 'narrow:' || lead when target > 0 and top > target and lead <> 2 then 'overrun:' || s1 || '-' || s2 || '/' || target when target = 0 and top > 15 then 'long:' || top end flagged from pl)
 """
 
 
-@query(f"""with {_RAW} select 'm' || k || ':g' || i game_id, 'm' || k match_id, context, case when k % 2 = 1 and k % 5 = 1 then case when k % 3 = 0 then 'Qualifier — Finals' else 'Qualifier' end when k % 2 = 1 and k % 5 = 4 then case when k % 3 = 0 then 'Progressive Draw — Finals' else 'Progressive Draw' end when k % 3 = 0 then 'Finals' else '' end stage,
+@query(f"""with {_RAW} select 'm' || k || ':g' || i game_id, 'm' || k match_id, context, case when k % 2 = 1 and k % 5 = 1 then case when k % 3 = 0 then 'second — Finals' else 'second' end when k % 2 = 1 and k % 5 = 4 then case when k % 3 = 0 then 'third — Finals' else 'third' end when k % 3 = 0 then 'Finals' else '' end stage,
     'sideout_' || target scoring_format, 'p' || (k * 7 % 97) t1_p1, 'p' || (k * 8 % 97 + 100) t1_p2, 'p' || (k * 9 % 97 + 200) t2_p1, 'p' || (k * 10 % 97 + 300) t2_p2, 'Ann Lee ' || (k * 7 % 97) t1_p1_name,
     s1, s2, s1 - s2 margin, i game_number, is_forfeit, flagged is not null flag from gm where dropped is null""", s1="int", s2="int", margin="int", game_number="int")
 def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,14 +98,17 @@ def mixed_same_gender(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games.where("t1_p1_is = t1_p2_is or t2_p1_is = t2_p2_is").select("game_id")
 
 
-@query("""select p_partkey, (not regexp_matches(p_name, '(?i)PPA\\s+TOUR\\s+AUSTRALIA|PPA\\s+Asia|College Pickleball') and (regexp_matches(p_type, 'ppatour.com') or regexp_matches(t, '\\bPPA\\b'))) tour_event, p_partkey % 4 = 0 and not contains(lower(t), 'junior') league,
-contains(lower(t), 'pro') and not contains(lower(t), 'senior') and not contains(lower(t), 'junior') pro from (select *, case p_partkey % 5 when 0 then 'PPA ' || p_name when 1 then 'Junior ' || p_name when 2 then 'Senior Pro ' || p_name when 3 then 'Pro Main ' || p_name else p_name end t from part)""")
+_TITLED = "case p_partkey % 5 when 0 then 'Open ' || p_name when 1 then 'Junior ' || p_name when 2 then 'Senior Pro ' || p_name when 3 then 'Pro Main ' || p_name else p_name end"
+
+
+@query(f"""select p_partkey, not regexp_matches(t, '(?i)\\bjunior|\\bsenior') and (contains(p_type, 'BRASS') or regexp_matches(t, '\\bOpen\\b')) tour_event, p_partkey % 4 = 0 and not contains(lower(t), 'junior') league,
+contains(lower(t), 'pro') and not contains(lower(t), 'senior') and not contains(lower(t), 'junior') pro from (select *, {_TITLED} t from part)""")
 def event_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which events, leagues and groups are the tours': by titles, contacts and slugs."""
-    k, name = F.col("p_partkey"), F.col("p_name")
-    title = F.when(k % 5 == 0, F.concat(F.lit("PPA "), name)).when(k % 5 == 1, F.concat(F.lit("Junior "), name)).when(k % 5 == 2, F.concat(F.lit("Senior Pro "), name)).when(k % 5 == 3, F.concat(F.lit("Pro Main "), name)).otherwise(name)
-    slug = F.when(k % 4 == 0, records.LEAGUE_SLUG).otherwise("other")
-    return table(spark, sf_dir, "part").select("p_partkey", records.is_tour_event(title, [F.col("p_type"), F.lit(None).cast("string")]).alias("tour_event"), records.is_league(slug, title).alias("league"), records.is_pro_group(title).alias("pro"))
+    titled = table(spark, sf_dir, "part").withColumn("t", F.expr(_TITLED))
+    slug = F.when(F.col("p_partkey") % 4 == 0, "own-league").otherwise("other")
+    tour = records.is_tour_event(F.col("t"), [F.col("p_type"), F.lit(None).cast("string")], r"\bOpen\b", r"(?i)\bjunior|\bsenior", "BRASS")
+    return titled.select("p_partkey", tour.alias("tour_event"), records.is_league(slug, F.col("t"), "own-league").alias("league"), records.is_pro_group(F.col("t")).alias("pro"))
 
 
 @query("""select o_orderkey, o_orderkey % 3 = 0 is_uuid, o_orderkey % 2 = 0 is_date from orders""")

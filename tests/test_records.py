@@ -10,7 +10,7 @@ from courtside.sources.storage import newest_by_key, quarantined, read_lenient,
 def test_bodies(spark, tmp_path):
     camel = {"matchUuid": "AbC", "matchStatus": 4, "matchCompletedType": 5, "teamOnePlayerOneUuid": "P1", "teamOnePlayerTwoUuid": "P2", "teamTwoPlayerOneUuid": "P3", "teamTwoPlayerTwoUuid": "P4", "teamOnePlayerOneName": " Ann   Lee ",
              "teamOneGameOneScore": 11, "teamTwoGameOneScore": 9, "teamOneGameTwoScore": 14, "teamTwoGameTwoScore": 11, "teamOneGameThreeScore": 9, "teamTwoGameThreeScore": 6, "scoreFormatGameOneMax": 11, "scoreFormatGame2Max": 11, "scoreFormatGameThreeMax": 11, "matchAbbreviation": "WDG"}
-    snake = {records._snake(k): v for k, v in camel.items() if k != "matchAbbreviation"} | {"match_uuid": "def", "event_title": "Mens Doubles Pro Qualifier", "round_text": "Finals", "match_completed_type": 6}
+    snake = {records._snake(k): v for k, v in camel.items() if k != "matchAbbreviation"} | {"match_uuid": "def", "event_title": "Mens pairs, draw: second", "round_text": "Finals", "match_completed_type": 6}
     shell = {records._snake(k): v for k, v in camel.items() if "Score" not in k and "Uuid" not in k} | {"match_uuid": "shell"}
     lost = {k: v for k, v in camel.items() if k != "teamTwoPlayerTwoUuid"} | {"matchUuid": "lost"}
     files = {"t1/2024-05-01.json": {"data": camel}, "t1/deep/2024-05-02.json": [snake, shell], "t2/2024-05-03.json": {"data": [lost]}, "t2/empty.json": {"data": []}, "t2/404.json": None, "t2/bad.json": "not a document", "t2/skipped.txt": {}}
@@ -21,13 +21,13 @@ def test_bodies(spark, tmp_path):
     bodies = records.read_bodies(spark, f"file://{tmp_path}")
     seen = {(r.parent, r.stem): r.s for r in bodies.select("parent", "stem", records.body_status(F.col("body")).alias("s")).collect()}
     assert seen == {("t1", "2024-05-01"): "rows", ("deep", "2024-05-02"): "rows", ("t2", "2024-05-03"): "rows", ("t2", "empty"): "empty", ("t2", "404"): "404", ("t2", "bad"): "404"}
-    good, bad = quarantined(records.matches(bodies).drop("nothing"), F.col("reason"))
-    assert {(r.match_id, r.reason.split(" (")[0].split(":")[0]) for r in bad.collect()} == {("shell", "bracket bye/shell"), ("lost", "missing player uuid(s) with real scores")}
+    good, bad = quarantined(records.matches(bodies), F.col("reason"))
+    assert {(r.match_id, r.reason) for r in bad.collect()} == {("shell", "shell"), ("lost", "lost:t2_p2")}
     games = {(r.match_id, r.game_number): r for r in records.games_of(good).collect()}
     assert {k: (g.action, g.margin) for k, g in games.items()} == {("abc", 1): ("keep", 2), ("abc", 2): ("flag", 3), ("abc", 3): ("drop", 3), ("def", 1): ("keep", 2), ("def", 2): ("keep", 3), ("def", 3): ("keep", 3)}
     first = games["abc", 1]
     assert (first.t1_p1, first.t1_p1_name, first.context, first.target, first.is_forfeit) == ("p1", "Ann Lee", "womens", 11, False)
-    assert (games["def", 1].context, games["def", 1].stage, games["def", 1].is_forfeit) == ("mens", "Qualifier — Finals", True)
+    assert (games["def", 1].context, games["def", 1].stage, games["def", 1].is_forfeit) == ("mens", "second — Finals", True)
 
 
 def test_labels(spark):
