@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import streamed_sha256, written
 
-SEGMENT, LIMIT = 1024, 4096
+SEGMENT, LIMIT = 1024, 256
 KEY = ["c1", "c2"]
 HEAD = ["head1", "head2"]
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
