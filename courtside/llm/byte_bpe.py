@@ -61,7 +61,7 @@ class ByteBpe:
         self._pattern, self._leaf, self._leaf_bytes = regex.compile(pattern), leaf, leaf_bytes
         self._known: dict[str, bytes] = {}
         self._short: dict[bytes, list[int]] = {}
-        self._pairs: dict[tuple[int, int], list[int]] = {}
+        self._pairs: dict[int, list[int]] = {}
 
     # a match's bytes
 
@@ -90,26 +90,28 @@ class ByteBpe:
 
     def pair(self, a: int, b: int) -> list[int]:
         """What two neighbours' bytes are merged to: the two if they outlive it."""
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 32 | b)
         if known is None:
             if len(self._pairs) >= MERGES:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b])
+            known = self._pairs[a << 32 | b] = self.merged(self.tokens[a] + self.tokens[b])
         return known
 
     def stands(self, a: int, b: int) -> bool:
-        return self.pair(a, b) == [a, b]
+        merged = self.pair(a, b)
+        return merged[0] == a and len(merged) == 2
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
-        tokens, window = self.tokens, self.pair(left[-1], right[0])
+        tokens, n, m = self.tokens, len(left), len(right)
+        window = self.pair(left[-1], right[0])
         i = j = 1  # tokens of either side in the window
         while True:
-            fits_left = i == len(left) or self.stands(left[-i - 1], window[0])
-            fits_right = j == len(right) or self.stands(window[-1], right[j])
+            fits_left = i == n or window[0] == left[-i] or self.stands(left[-i - 1], window[0])
+            fits_right = j == m or window[-1] == right[j - 1] or self.stands(window[-1], right[j])
             if fits_left and fits_right:
-                return left[: len(left) - i] + window + right[j:]
-            i, j = i if fits_left else min(2 * i, len(left)), j if fits_right else min(2 * j, len(right))
-            window = self.merged(b"".join(tokens[t] for t in left[len(left) - i :] + right[:j]))
+                return left[: n - i] + window + right[j:]
+            i, j = i if fits_left else min(2 * i, n), j if fits_right else min(2 * j, m)
+            window = self.merged(b"".join(tokens[t] for t in left[n - i :] + right[:j]))
 
     def _halves(self, raw: bytes) -> list[int]:
         if len(raw) <= self._leaf_bytes:

@@ -171,13 +171,19 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks come by conversation, in order: a row each, with the states where it begins and ends; cost and illegal stand at the last."""
     names = ["conv_id", "block", "start", "end", "tail", "cost", "illegal"]
     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64()]
-    for conv_id, own in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["conv_id"]):
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+    rows: list[tuple] = []
+    for conv_id, own in groupby((r for batch in batches for k in range(0, batch.num_rows, 1024) for r in batch.slice(k, 1024).to_pylist()), key=lambda r: r["conv_id"]):
         own = list(own)
         ends, cost, tail = crossings([(r["costs"], r["ranks"]) for r in own])
         illegal = sum(r["illegal"] for r in own) + sum((a["last"], b["first"]) not in _LEGAL for a, b in zip(own, own[1:]))
         last = len(own) - 1
-        rows = [(conv_id, r["block"], start, end, tail if k == last else 0, cost if k == last else None, illegal if k == last else None) for k, (r, start, end) in enumerate(zip(own, [START, *ends], ends))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+        rows += [(conv_id, r["block"], start, end, tail if k == last else 0, cost if k == last else None, illegal if k == last else None) for k, (r, start, end) in enumerate(zip(own, [START, *ends], ends))]
+        if len(rows) >= 10_000:
+            yield batch_of(rows)
+            rows = []
+    if rows:
+        yield batch_of(rows)
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
