@@ -1,25 +1,11 @@
-"""All queries of the library by name, each with the SQL that gives the same rows where SQL can."""
+"""All queries of the library by name: importing it imports every module of plans, which register theirs."""
 from __future__ import annotations
 
 import importlib
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from courtside.registry import ORACLE_SQL, QUERIES, query
 
+__all__ = ["ORACLE_SQL", "QUERIES", "query"]
 
-def query(sql: str | None = None, **types: str):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name; types: the SQL's columns that need a cast."""
-    if sql and types:
-        sql = f"select * replace ({', '.join(f'cast({c} as {t}) as {c}' for c, t in types.items())}) from ({sql})"
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-for _name in ("reshape", "lookups", "aggregates", "ordered", "kernels", "statistics", "structures", "models", "live", "rally_log", "records", "pricing", "pages"):
+for _name in ("reshape", "lookups", "aggregates", "ordered", "kernels", "statistics", "structures", "models", "live", "rally_log", "records", "pricing", "pages", "fitting"):
     importlib.import_module(f"courtside.plans.{_name}")

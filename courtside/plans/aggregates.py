@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.functions.probability import SIGMOID, logit, sigmoid
 from courtside.sources.tables import GAMES, RATING, SLOTS, games, rating, slots, table
 

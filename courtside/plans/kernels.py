@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.functions.probability import NORMAL_CDF, SIGMOID, best_of, calibrated, normal_cdf, race_pmf, race_win, sigmoid, wins_pmf
 from courtside.operators.serve import leverage, rally_race, serve_table
 from courtside.plans.aggregates import FORECASTS, forecasts

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.sources.logs import LOGS, log_rows
 from courtside.sources.storage import fresh_path
 from courtside.sources.tables import table

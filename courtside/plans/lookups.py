@@ -3,8 +3,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.operators.joins import as_of_backward, as_of_clamped, self_join_other_side
+from courtside.sources.storage import written
 from courtside.sources.tables import GAMES, RALLIES, RATING, SLOTS, games, rallies, rating, slots, table
 
 
@@ -39,11 +40,11 @@ def pair_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 150000")
+    o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_custkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.max("o_totalprice").alias("v"))
 
 
-_MONTHS = "m as (select o_custkey k, strftime(o_orderdate, '%Y-%m') \"month\", max(o_totalprice) v from orders where o_totalprice > 150000 group by all)"
+_MONTHS = "m as (select o_custkey k, strftime(o_orderdate, '%Y-%m') \"month\", max(o_totalprice) v from orders group by all)"
 
 
 @query(f"""with {_MONTHS}, ends as (select k, min("month") lo, arg_min(v, "month") first_v, arg_max(v, "month") last_v from m group by k)
@@ -124,18 +125,31 @@ from supplier join customer on s_nationkey = c_nationkey) where r = 1""")
 def nearest_value_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the candidates under a shared name, the one with the nearest value; of equally near ones the least key.
 
-    Both sides lie on one line of values for each name: the nearest candidate is the last one before or the first one after. One sort, no pairs.
+    Both sides lie on one line by name and value, cut into ranges: within a range the nearest candidate is the last one before or the first one after, and
+    beyond it the last of the ranges before or the first of those after, of which there is a row each. No pairs, and no name is one task.
     """
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("name"), F.col("s_acctbal").alias("v"), F.lit(None).cast("long").alias("c"), "s_suppkey")
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("name"), F.col("c_acctbal").alias("v")).agg(F.min("c_custkey").alias("c")).withColumn("s_suppkey", F.lit(None).cast("long"))
-    line = Window.partitionBy("name").orderBy("v", F.col("c").isNull(), "s_suppkey")
-    back = Window.partitionBy("name").orderBy(F.desc("v"), F.col("c").isNull(), "s_suppkey")
-    at = F.when(F.col("c").isNotNull(), F.struct("v", "c"))
-    seen = s.unionByName(c).withColumn("below", F.last(at, ignorenulls=True).over(line)).withColumn("above", F.last(at, ignorenulls=True).over(back)).where("s_suppkey is not null")
-    near = [F.when(F.col(n).isNotNull(), F.struct(F.abs(F.col("v") - F.col(f"{n}.v")).alias("d"), F.col(f"{n}.c").alias("c"))) for n in ("below", "above")]
+    order = ["name", "v", "s_suppkey"]
+    line = written(s.unionByName(c).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "line")
+    at = F.when(F.col("c").isNotNull(), F.struct("name", "v", "c"))
+    own = Window.partitionBy("range")
+    last = lambda w: F.last(at, ignorenulls=True).over(w)
+    # a row a range
+    ends = line.groupBy("range").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    beside = Window.orderBy("range")
+    ends = ends.select("range", F.last("hi", ignorenulls=True).over(beside.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.first("lo", ignorenulls=True).over(beside.rowsBetween(1, Window.unboundedFollowing)).alias("right"))
+    up = own.orderBy("name", "v", F.col("c").isNull(), "s_suppkey")
+    down = own.orderBy(F.desc("name"), F.desc("v"), F.col("c").isNull(), "s_suppkey")
+    seen = line.withColumn("below", last(up)).withColumn("above", last(down)).where("s_suppkey is not null").join(F.broadcast(ends), "range")
+    near = [F.when(F.col(f"{n}.name") == F.col("name"), F.struct(F.abs(F.col("v") - F.col(f"{n}.v")).alias("d"), F.col(f"{n}.c").alias("c"))) for n in ("below", "above", "left", "right")]
     return seen.select("s_suppkey", F.array_min(F.array_compact(F.array(*near))).alias("best")).where("best is not null").select("s_suppkey", F.col("best.c").alias("c_custkey"))
 
 
+#: Letters of a word that names are searched for; the rest is compared in the names that have them.
+ANCHOR = 8
+
+
 @query("""with names as (select p_partkey id, lower(p_name) name from part), wants as (select distinct split_part(name, ' ', -1) || ' ' || split_part(name, ' ', 1) want from names union select 'unheard of ' || split_part(name, ' ', -1) from names),
 tk as (select want, unnest(string_split(want, ' ')) token from wants), hits as (select want, id from wants join names on list_bool_and([contains(name, t) for t in string_split(want, ' ')])),
 h as (select want, count(*) n, min(id) id from hits group by want), l as (select want, count(*) n, min(id) id from wants join names on list_contains(string_split(name, ' '), split_part(want, ' ', -1)) group by want)
@@ -144,18 +158,19 @@ from wants left join h using (want) left join l using (want)""")
 def token_contain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whom a name means: the one who has all its words somewhere in theirs, else the one with its last word; several or none are said to be so.
 
-    Words are looked for by an equi-join: names are cut into all their substrings of the lengths that words have, so nobody is compared with everybody.
+    The longest word of those asked for is looked for by an equi-join of its first ANCHOR letters with all stretches of names of up to as many letters, so
+    nobody is compared with everybody; the other words are then looked for in the names that have it.
     """
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
     words = F.split("name", " ")
     wants = names.select(F.concat_ws(" ", F.element_at(words, -1), words[0]).alias("want")).union(names.select(F.concat(F.lit("unheard of "), F.element_at(words, -1)))).distinct()
-    tokens = wants.select("want", F.explode(F.array_distinct(F.split("want", " "))).alias("token"))
-    lengths = [r[0] for r in tokens.select(F.length("token")).distinct().limit(64).collect()]  # words are of few lengths; longer ones than 63 others would be left to the last-name rule
+    asked = F.split("want", " ")
+    longest = F.array_max(F.transform(asked, lambda t: F.struct(F.length(t).alias("n"), t.alias("word"))))["word"]
     texts = names.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - k + 1, F.lit(1))), lambda i: F.substring("name", i, F.lit(k)))
-    cut = F.array_distinct(F.flatten(F.array(*map(pieces, lengths))))
-    met = tokens.join(texts.select("name", "n", "id", F.explode(cut).alias("token")), "token").groupBy("want", "name", "n", "id").agg(F.count("*").alias("found"))
-    hits = met.where(F.col("found") == F.size(F.array_distinct(F.split("want", " ")))).groupBy("want").agg(F.sum("n").alias("hn"), F.min("id").alias("hid"))
+    cut = F.array_distinct(F.flatten(F.array(*map(pieces, range(1, ANCHOR + 1)))))
+    met = wants.withColumn("anchor", F.substring(longest, 1, ANCHOR)).join(texts.select("name", "n", "id", F.explode(cut).alias("anchor")), "anchor")
+    hits = met.where(F.forall(asked, lambda t: F.col("name").contains(t))).groupBy("want").agg(F.sum("n").alias("hn"), F.min("id").alias("hid"))
     by_last = texts.select("n", "id", F.explode(F.array_distinct(words)).alias("last"))
     last = wants.withColumn("last", F.element_at(F.split("want", " "), -1)).join(by_last, "last").groupBy("want").agg(F.sum("n").alias("ln"), F.min("id").alias("lid"))
     both = wants.join(hits, "want", "left").join(last, "want", "left")

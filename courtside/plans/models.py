@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.functions.probability import SIGMOID, logit, sigmoid
 from courtside.operators.fits import logistic_newton, paired_map
 from courtside.plans.aggregates import FORECASTS, forecasts

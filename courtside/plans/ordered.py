@@ -3,7 +3,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.catalog import query
+from courtside.registry import query
+from courtside.operators.ranks import ranked_within
 from courtside.operators.rally import elo_by_pool, retracted
 from courtside.plans.lookups import _MONTHS, _months
 from courtside.sources.tables import GAMES, RALLIES, SLOTS, games, rallies, slots, table
@@ -15,8 +16,8 @@ def _ahead(w, a=None, b=None):
 
 @query("select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rank from customer")
 def gender_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.row_number().over(w).alias("rank"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (-F.col("c_acctbal")).alias("down"))
+    return ranked_within(rows, ["c_mktsegment"], ["down", "c_custkey"], "rank").select("c_custkey", "c_mktsegment", "rank")
 
 
 @query(f"""with {GAMES} select gid, cast(count(*) over (partition by a1, a2 order by "date", gid) <= 6 and count(*) over (partition by a1, a2) >= 15 as int) fresh from games""")
@@ -51,8 +52,11 @@ def form_lag6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey, s_nationkey, round(percent_rank() over (partition by s_nationkey order by s_acctbal) * 100, 6) pct from supplier")
 def chem_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.round(F.percent_rank().over(w) * 100, 6).alias("pct"))
+    """Equal values have the place of the first of them."""
+    placed = ranked_within(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_nationkey"], ["s_acctbal", "s_suppkey"], "place", "n")
+    first = placed.groupBy("s_nationkey", "s_acctbal").agg(F.min("place").alias("first"))
+    share = F.when(F.col("n") > 1, (F.col("first") - 1) / (F.col("n") - 1)).otherwise(0.0)
+    return placed.join(first, ["s_nationkey", "s_acctbal"]).select("s_suppkey", "s_nationkey", F.round(share * 100, 6).alias("pct"))
 
 
 @query(f"""with {RALLIES}, l as (select *, first_value(case when log_type in (14, 16, 23) then k end ignore nulls) over (partition by match_id order by log_index rows between 1 following and unbounded following) nxt from rallies)

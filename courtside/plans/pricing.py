@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.functions.probability import GAMMA, SIGMOID, calibrated, floored, percent, race_margin, race_modal, race_pmf, race_win, sigmoid, team_eta, wins_pmf
 from courtside.operators.serve import anchored, deciders, mixed_serve_table, rally_chance, serve_table
 from courtside.plans.kernels import _COMB, _fixtures

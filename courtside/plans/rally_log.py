@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.catalog import query
+from courtside.registry import query
 from courtside.sources.logs import LOGS, POINT, RALLY, SECOND, SIDEOUT, archive, log_rows
 
 

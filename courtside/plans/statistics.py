@@ -3,9 +3,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.catalog import query
-from courtside.operators.ranks import ranked
+from courtside.registry import query
+from courtside.operators.ranks import ranked, ranked_within
 from courtside.functions.probability import NORMAL_CDF, normal_cdf
+from courtside.sources.storage import written
 from courtside.sources.tables import GAMES, SLOTS, games, slots, table
 
 _PER = "per as (select player, count(*) n, avg(pf) x, avg(pf - pa) y from slots group by player)"
@@ -18,13 +19,11 @@ def _per_player(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {GAMES}, {SLOTS}, {_PER}, m as (select sum(n * x) / sum(n) mx, sum(n * y) / sum(n) my from per), f as (select sum(n * (x - mx) * (y - my)) / sum(n * (x - mx) * (x - mx)) b, any_value(mx) mx, any_value(my) my from per, m)
 select player, round(y - (my + b * (x - mx)), 6) resid from per, f""")
 def wls_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each player's result beside a weighted line through all: two small aggregates, sent to all rows."""
-    per = _per_player(spark, sf_dir)
-    w = lambda c: F.sum(F.col("n") * c) / F.sum("n")
-    means = per.agg(w(F.col("x")).alias("mx"), w(F.col("y")).alias("my"))  # one row
-    centred = per.join(F.broadcast(means))
-    slope = centred.agg((F.sum(F.expr("n * (x - mx) * (y - my)")) / F.sum(F.expr("n * (x - mx) * (x - mx)"))).alias("b"))  # one row
-    return centred.join(F.broadcast(slope)).select("player", F.round(F.expr("y - (my + b * (x - mx))"), 6).alias("resid"))
+    """What is left of each player's result beside a weighted line through all: five sums in one row."""
+    per = written(_per_player(spark, sf_dir), "players")
+    s = per.agg(*(F.sum(F.expr(e)).alias(a) for a, e in {"sn": "n", "sx": "n * x", "sy": "n * y", "sxx": "n * x * x", "sxy": "n * x * y"}.items()))  # one row
+    line = s.select((F.col("sx") / F.col("sn")).alias("mx"), (F.col("sy") / F.col("sn")).alias("my"), F.expr("(sxy - sx * sy / sn) / (sxx - sx * sx / sn)").alias("b"))
+    return per.join(F.broadcast(line)).select("player", F.round(F.expr("y - (my + b * (x - mx))"), 6).alias("resid"))
 
 
 @query(f"with {GAMES} select context, round(corr(s1, s2), 6) r, round(corr(game_no, abs(margin)), 6) r_late from games group by context")
@@ -36,8 +35,8 @@ def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select c_mktsegment, row_number() over (partition by c_mktsegment order by c_acctbal, c_custkey) a, row_number() over (partition by c_mktsegment order by c_nationkey, c_custkey) b from customer)
 select c_mktsegment, round(1 - 6 * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1.0)), 8) rho from r group by c_mktsegment""")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = Window.partitionBy("c_mktsegment")
-    r = table(spark, sf_dir, "customer").select("c_mktsegment", F.row_number().over(seg.orderBy("c_acctbal", "c_custkey")).alias("a"), F.row_number().over(seg.orderBy("c_nationkey", "c_custkey")).alias("b"))
+    own = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", "c_nationkey")
+    r = ranked_within(ranked_within(own, ["c_mktsegment"], ["c_acctbal", "c_custkey"], "a"), ["c_mktsegment"], ["c_nationkey", "c_custkey"], "b")
     n = F.count("*")
     return r.groupBy("c_mktsegment").agg(F.round(1 - 6 * F.sum(F.expr("(a - b) * (a - b)")) / (n * (n * n - F.lit(1.0))), 8).alias("rho"))
 
@@ -97,8 +96,7 @@ def split_half(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_nationkey, list_sort(list(c_acctbal))[count(*) // 4 + 1] q from customer group by c_nationkey")
 def quartile_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value at a quarter of the sorted group, by ranks rather than a list of the group."""
-    nation = Window.partitionBy("c_nationkey")
-    r = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", F.row_number().over(nation.orderBy("c_acctbal")).alias("k"), F.count("*").over(nation).alias("n"))
+    r = ranked_within(table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_custkey"), ["c_nationkey"], ["c_acctbal", "c_custkey"], "k", "n")
     return r.where("k = n div 4 + 1").select("c_nationkey", F.col("c_acctbal").alias("q"))
 
 
