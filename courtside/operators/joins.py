@@ -30,3 +30,15 @@ def self_join_other_side(df: DataFrame, key: str, side: str, other: dict[str, st
     """Each row beside the rows of its key on another side, whose columns get new names."""
     there = df.select(key, F.col(side).alias("_side"), *(F.col(a).alias(b) for a, b in other.items()))
     return df.join(there, key).where(F.col(side) != F.col("_side")).drop("_side")
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str, high: str, width: int) -> DataFrame:
+    """points with the ranges of their keys that hold them (low <= at < high).
+
+    Both sides are dealt to buckets of `width` on the axis of `at`, so a point meets the ranges of its own bucket alone, and a
+    key with many rows is many buckets. A range takes as many rows as the buckets that it covers. Columns besides keys have different names.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    spread = ranges.where(F.col(high) > F.col(low)).withColumn("_bucket", F.explode(F.sequence(bucket(low), F.floor((F.col(high) - 1) / width).cast("long"))))
+    met = points.withColumn("_bucket", bucket(at)).join(spread, [*keys, "_bucket"])
+    return met.where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("_bucket")

@@ -7,7 +7,7 @@ from courtside.registry import query
 from courtside.sources.logs import LOGS, log_rows
 from courtside.sources.storage import fresh_path
 from courtside.sources.tables import table
-from courtside.streaming import live
+from courtside.streaming import days, live
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +63,28 @@ def running_retractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     t = e.withColumn("b", F.sum("step").over(w))
     return t.select("user_id", "event_id", "step", (F.col("b") - F.least(F.lit(0), F.min("b").over(w))).alias("standing"))
+
+
+_STEP = "case when event_type <> 'click' then 0 when cast({k} as int) >= 5 then 1 else -1 end"
+
+
+@query(f"""with e as (select user_id, event_id, ts, {_STEP.format(k="json_extract_string(props, '$.k')")} step, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval 30 minutes, true) fresh from events),
+d as (select *, sum(cast(fresh as int)) over (partition by user_id order by ts, event_id) day_no from e), b as (select *, sum(step) over (partition by user_id, day_no order by ts, event_id) b from d),
+h as (select *, least(0, min(b) over (partition by user_id, day_no order by ts, event_id)) low, max(ts) over () - interval 1 minute seen from b)
+select user_id, min(ts) "start", max(ts) last, count(*) n, cast(arg_max(b - low, struct_pack(ts := ts, id := event_id)) as bigint) standing from h group by user_id, day_no having max(ts) + interval 30 minutes <= any_value(seen)""")
+def live_days(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
+    """Players' days out of a stream in several micro-batches, points taken back in it, each day ended by a timer or the next day; what the watermark has not passed yet is still open.
+
+    The events are dropped as files in the order of time, as a source would, and the stream reads one drop a micro-batch.
+    """
+    days.use_rocksdb(spark)
+    e = table(spark, sf_dir, "events").withColumn("step", F.expr(_STEP.format(k="get_json_object(props, '$.k')")))
+    e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "step")
+    cuts = e.agg(F.percentile_approx(F.col("ts").cast("double"), [k / batches for k in range(1, batches)], 1000).alias("cuts")).first().cuts or []
+    path, at = fresh_path(spark, "drops"), F.col("ts").cast("double")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = e.where((at > low if low is not None else F.lit(True)) & (at <= high if high is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = live.drained(days.days(stream), fresh_path(spark, "days"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "standing")

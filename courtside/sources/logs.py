@@ -24,7 +24,7 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     point = F.col("event_type") == "click"
     return e.select(
-        F.floor(F.col("user_id") / 4).cast("long").alias("match_id"), F.col("event_id").alias("log_index"), kind[F.col("event_type")].alias("log_type"),
+        F.floor(F.col("user_id") / 4).cast("long").alias("match_id"), F.col("event_id").alias("log_index"), "k", kind[F.col("event_type")].alias("log_type"),
         (F.lit(1) + F.floor(F.col("event_id") / 100) % 60).cast("int").alias("game_number"), F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("server_uuid"),
         F.concat(F.lit("P"), (F.col("user_id") + F.when(F.col("user_id") % 4 < 2, 2).otherwise(-2)).cast("string")).alias("receiver_uuid"), F.floor(F.col("user_id") % 4 / 2).cast("int").alias("server_side"),
         text(s0).alias("start_string"), text(s0 + moved).alias("end_string"),

@@ -4,7 +4,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.streaming import live
+from courtside.streaming import days, live
 
 T0 = datetime.datetime(2024, 5, 1, 12)
 
@@ -47,3 +47,26 @@ def test_late_rows_and_windows(spark, folder, tmp_path):
     drop(spark, folder, [(4, 10 * 24 * 60 + 1, 8, "b")])
     assert [(r.event_type, r.n) for r in run(live.per_window, "days")] == [("a", 3)]
     assert sorted((r.user_id, r.n) for r in run(live.sessions, "ends")) == [(7, 1), (7, 2)]
+
+
+def test_days_over_a_restart(spark, folder, tmp_path):
+    """State, lists and timers outlive a stop; a day ends once, by the timer or by the next day's first row."""
+    days.use_rocksdb(spark)
+
+    def feed(rows):
+        spark.createDataFrame([(i, T0 + datetime.timedelta(minutes=m), u, s) for i, m, u, s in rows], "event_id long, ts timestamp, user_id long, step int").coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        stream = spark.readStream.schema("event_id long, ts timestamp, user_id long, step int").option("maxFilesPerTrigger", 1).parquet(folder)
+        return sorted((r.user_id, round((r.start - T0).total_seconds() / 60), r.n, r.standing, r.newest) for r in live.drained(days.days(stream), f"file://{tmp_path}/out").collect())
+
+    feed([(1, 0, 7, 1), (2, 1, 7, 1), (3, 2, 8, -1)])
+    assert run() == []
+    feed([(4, 5, 7, -1), (5, 6, 7, 1), (6, 10, 8, 1)])
+    assert run() == []
+    # 7 comes back after its day; 8 does not, and its timer runs out as the clock goes on
+    feed([(7, 40, 7, 1)])
+    feed([(8, 100, 9, 0)])
+    want = [(7, 0, 4, 2, 5), (7, 40, 1, 1, 7), (8, 2, 2, 1, 6)]
+    assert run() == want
+    assert run() == want
