@@ -44,7 +44,7 @@ LEAST = 0.8
 WIDE = 2048
 CHUNK, TURNS = 256, 4
 #: Shingles and texts that are hashed at once.
-_PART, _TEXTS, _WIDE_TEXTS = 400_000, 4000, 1000
+_PART, _TEXTS, _WIDE_TEXTS = 400_000, 4000, 512
 
 
 def least_alike(bits: int, least: float) -> int:
@@ -154,25 +154,44 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [c.split()[0] for c in SIGNED.split(", ")])
 
 
-TEXTS = "id long, shingles binary, weights binary, wide binary"
+TEXTS = "id long, shingles binary, weights binary"
 
 
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, sorted distinct shingles, their weights, sketch; no weights where each comes once) of hashed words."""
+    """(id, sorted distinct shingles, their weights; no weights where each comes once) of hashed words."""
     for batch in batches:
-        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART, _WIDE_TEXTS):
+        for a, b, flat, sizes in _parts(batch.column("hashes"), _PART, _TEXTS):
             text, shingle, weight = shingles(flat, sizes)
-            wide = np.packbits((signatures(text, shingle, weight, len(sizes), WIDE) & np.uint64(1)).astype(np.uint8), axis=1)
             order = np.lexsort((shingle, text))
             text, shingle, weight = text[order], shingle[order], weight[order]
             cuts = np.searchsorted(text, np.arange(len(sizes) + 1)).tolist()
             ones = np.minimum.reduceat(weight == 1, cuts[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").slice(a, b - a), pa.array([shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()),
-                 pa.array([None if one else weight[i:j].astype("<i4").tobytes() for one, i, j in zip(ones, cuts, cuts[1:])], pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary())],
+                 pa.array([None if one else weight[i:j].astype("<i4").tobytes() for one, i, j in zip(ones, cuts, cuts[1:])], pa.binary())],
                 [c.split()[0] for c in TEXTS.split(", ")])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, wide: a bit of each of WIDE registers) of rows of _weighed()."""
+    for batch in batches:
+        sizes = [len(s) // 8 for s in batch.column("shingles").to_pylist()]
+        a = 0
+        while a < len(sizes):
+            b, held = a, 0
+            while b < len(sizes) and b - a < _WIDE_TEXTS and (b == a or held + sizes[b] <= _PART):
+                held += sizes[b]
+                b += 1
+            part = batch.slice(a, b - a)
+            own = part.column("shingles").to_pylist()
+            shingle = np.frombuffer(b"".join(own), np.uint64)
+            weight = np.concatenate([np.ones(len(s) // 8) if w is None else np.frombuffer(w, "<i4") for s, w in zip(own, part.column("weights").to_pylist())])
+            owner = signatures(np.repeat(np.arange(b - a), sizes[a:b]), shingle, weight, b - a, WIDE)
+            wide = np.packbits((owner & np.uint64(1)).astype(np.uint8), axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([w.tobytes() for w in wide], pa.binary())], ["id", "wide"])
+            a = b
+
+
 def similarity(a: bytes, wa: bytes | None, b: bytes, wb: bytes | None) -> float:
     """Of two rows of _weighed()."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -310,7 +329,11 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     led = led.groupBy("id").agg(F.max(F.struct("n", "b")).alias("most")).select(F.col("id").alias("a"), F.col("most.b").alias("b"), F.col("id").alias("ca"), F.col("most.b").alias("cb"))
     every = links = written(_links(led, texts, least), "links", scratch)
     members = _apart(_relabelled(members.select("bucket", "id", F.col("id").alias("component")), links)).drop("chunks")
-    members = written(members.join(texts.select("id", "wide"), "id"), "apart", scratch)
+    members = written(members, "apart", scratch)
+    # sketches of those that are still apart
+    apart = texts.join(members.select("id").distinct(), "id", "left_semi")
+    wide = written(apart.mapInArrow(_sketched, "id long, wide binary"), "sketches", scratch)
+    members = written(members.join(wide, "id"), "apart", scratch)
     # 2
     for _ in range(TURNS):
         links = written(_links(_in_chunks(members, True, least), texts, least), "links", scratch)
