@@ -77,3 +77,38 @@ def served_map(rallies: DataFrame, steps: int = 60, prior_sd: float = 0.25, unti
             break
     head = met.sparkSession.createDataFrame([(None, alpha, None)], values.select("player", "serve", "back").schema)
     return values.select("player", "serve", "back").unionByName(head)
+
+
+def _solved(h: dict[tuple[int, int], F.Column], g: list[F.Column]) -> tuple[list[F.Column], list[F.Column]]:
+    """(h^-1 g, diagonal of h^-1) of a symmetric 3 x 3 matrix by its cofactors."""
+    a, b, c, d, e, f = h[0, 0], h[0, 1], h[0, 2], h[1, 1], h[1, 2], h[2, 2]
+    co = [[d * f - e * e, c * e - b * f, b * e - c * d], [None, a * f - c * c, b * c - a * e], [None, None, a * d - b * b]]
+    at = lambda i, j: co[min(i, j)][max(i, j)]
+    det = a * at(0, 0) + b * at(0, 1) + c * at(0, 2)
+    return [sum((at(i, j) * g[j] for j in range(3)), F.lit(0.0)) / det for i in range(3)], [at(i, i) / det for i in range(3)]
+
+
+def keyed_newton(cells: DataFrame, steps: int = 6, ridge: float = 1e-9) -> DataFrame:
+    """Logistic fits of three parameters for every key at once: key, b0, b1, b2, se0, se1, se2.
+
+    cells: key, x0, x1, x2, won, n (weights may have any size, n > 0). A step is one sum by key over all cells, and the 3 x 3 system of each key is solved in its row;
+    the rows of a key are summed in parts before they meet. A key with too little to tell its parameters apart is held by the ridge.
+    """
+    spark, own = cells.sparkSession, []
+    cells = written(cells.select("key", "x0", "x1", "x2", F.col("won").cast("double").alias("won"), F.col("n").cast("double").alias("n")), "cells", own)
+    beta = cells.select("key").distinct().select("key", *(F.lit(0.0).alias(f"b{i}") for i in range(3)))
+    tables: list[str] = []
+    for _ in range(steps):
+        x = [F.col(f"x{i}") for i in range(3)]
+        p = sigmoid(sum((F.col(f"b{i}") * x[i] for i in range(3)), F.lit(0.0)))
+        at = cells.join(beta, "key").withColumns({"miss": F.col("won") - F.col("n") * p, "w": F.col("n") * p * (1 - p)})
+        pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+        sums = at.groupBy("key", "b0", "b1", "b2").agg(*(F.sum(F.col("miss") * x[i]).alias(f"g{i}") for i in range(3)), *(F.sum(F.col("w") * x[i] * x[j]).alias(f"h{i}{j}") for i, j in pairs))
+        move, spread = _solved({(i, j): F.col(f"h{i}{j}") + (ridge if i == j else 0.0) for i, j in pairs}, [F.col(f"g{i}") for i in range(3)])
+        now: list[str] = []
+        beta = written(sums.select("key", *((F.col(f"b{i}") + move[i]).alias(f"b{i}") for i in range(3)), *(F.sqrt(spread[i]).alias(f"se{i}") for i in range(3))), "newton", now)
+        discard(spark, tables)
+        tables = now
+        last, beta = beta, beta.select("key", "b0", "b1", "b2")
+    discard(spark, own)
+    return last

@@ -1,10 +1,14 @@
-"""Fits over whole games: refits of structures and levels."""
+"""Fits over whole games: refits of structures and levels, fixed effects, and many logistic fits at once."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from courtside.registry import query
-from courtside.functions.probability import normal_cdf, race_win, sigmoid
-from courtside.operators import refits
+from courtside.functions.probability import logit, normal_cdf, race_win, sigmoid
+from courtside.operators import effects, refits
+from courtside.operators.fits import keyed_newton
+from courtside.plans.aggregates import forecasts
+from courtside.plans.models import _M, _POISSON_SQL, mixed
 from courtside.sources.storage import written
 from courtside.sources.tables import games
 
@@ -27,3 +31,48 @@ def refit_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(F.col("level") == "points", race_win(sigmoid(F.col("eta")), F.col("target"))).when(F.col("level") == "margin", normal_cdf(F.col("eta") / F.exp("log_spread"))).otherwise(sigmoid(F.col("eta")))
     f = later.select("fit", p.alias("p"), (F.col("margin") > 0).cast("int").alias("y"))
     return f.groupBy("fit").agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+
+
+#: A game's effects: its players for and against, and the level of its tour.
+SLOTS = {"a1": 1, "a2": 1, "b1": -1, "b2": -1, "tour_level": 1}
+
+
+@query(None)
+def two_way_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin on target and on game number beside effects of all players and tours, with errors robust to clusters of a match."""
+    g = games(spark, sf_dir).withColumn("tour_level", F.when(F.col("tour") == "MLP", -1).otherwise(-2).cast("long"))
+    return effects.within_regression(g, SLOTS, "margin", ("target", "game_no"), "match_id")
+
+
+def _cells(fc: DataFrame, *keys: str) -> DataFrame:
+    """Forecast games as cells of (1, rated logit, whether of the league)."""
+    x = {"x0": F.lit(1.0), "x1": F.round(logit(F.col("p")), 6), "x2": (F.col("tour") == "MLP").cast("double")}
+    return fc.select(*keys, "y", *(v.alias(k) for k, v in x.items())).groupBy(*keys, *x).agg(F.sum("y").alias("won"), F.count("*").alias("n"))
+
+
+@query(None)
+def yearly_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic fit of each year's games, all years in the same passes, and the years' order by the rated logit's slope."""
+    fits = keyed_newton(_cells(forecasts(spark, sf_dir).withColumn("key", F.year("date")), "key"))
+    order = Window.orderBy(F.desc("b1"), "key")  # a row a year
+    return fits.select(F.col("key").alias("year"), "b0", "b1", "b2", "se0", "se1", "se2", F.row_number().over(order).alias("rank"))
+
+
+def resampled(cells: DataFrame, reps: int) -> DataFrame:
+    """keyed cells of `reps` resamples of whole matches, by Poisson weights that are hashes of (match, rep). cells: match_id, x0, x1, x2, won, n."""
+    whole = cells.groupBy("match_id").agg(F.collect_list(F.struct("x0", "x1", "x2", "won", "n")).alias("own"))  # a match's games
+    drawn = whole.select("match_id", "own", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("key"))
+    drawn = drawn.withColumn("u", mixed(F.col("match_id") % _M, F.col("key").cast("long")) / float(_M)).withColumn("k", F.expr(_POISSON_SQL)).where("k > 0")
+    return drawn.select("key", "k", F.inline("own")).groupBy("key", "x0", "x1", "x2").agg(F.sum(F.col("k") * F.col("won")).alias("won"), F.sum(F.col("k") * F.col("n")).alias("n"))
+
+
+@query(None)
+def resampled_fit(spark: SparkSession, sf_dir: str, reps: int = 2000) -> DataFrame:
+    """The fit's spread over resamples of whole matches, all refitted in six passes: mean, standard deviation, and the middle 95 of 100."""
+    fits = keyed_newton(resampled(_cells(forecasts(spark, sf_dir), "match_id"), reps))
+    names = ("intercept", "rated", "mlp")
+    long = fits.select("key", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"b{i}").alias("b")) for i, n in enumerate(names)))))
+    placed = long.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("b", "key")))  # a row a resample
+    end = lambda k: F.max(F.when(F.col("i") == k, F.col("b")))
+    cut = reps // 40
+    return placed.groupBy("name").agg(F.count("*").alias("reps"), F.avg("b").alias("mean"), F.stddev_samp("b").alias("sd"), end(cut + 1).alias("lo"), end(reps - cut).alias("hi"))

@@ -3,7 +3,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators import lbfgs, refits
+from courtside.operators import effects, lbfgs, refits
+from courtside.operators.fits import keyed_newton
+from courtside.plans import fitting
+from courtside.plans.models import _M, mixed
 from courtside.sources.tables import games
 
 from .conftest import SMALL
@@ -113,3 +116,71 @@ def test_rosenbrock_and_quadratics(spark):
     for k in range(5):
         assert x["flat", k] == pytest.approx(2 * (k + 1) * k / (2 * (k + 1) + 0.5), abs=1e-5)
     assert told["flat"][1] < told["bent"][1] <= 60
+
+
+def test_two_way_effects_equal_dense_least_squares(spark):
+    g = games(spark, SMALL).withColumn("tour_level", F.when(F.col("tour") == "MLP", -1).otherwise(-2).cast("long"))
+    rows = g.select(*fitting.SLOTS, "margin", "target", "game_no", "match_id").collect()
+    names = {n: i for i, n in enumerate(sorted({r[c] for r in rows for c in fitting.SLOTS}))}
+    d = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for c, s in fitting.SLOTS.items():
+            d[i, names[r[c]]] += s
+    y, x = np.array([r.margin for r in rows], float), np.array([[r.target, r.game_no] for r in rows], float)
+    assert np.linalg.matrix_rank(d) < len(names)  # some effects can't be told apart
+    free = lambda v: v - d @ np.linalg.lstsq(d, v, rcond=None)[0]
+    x, y = free(x), free(y)
+    inverse = np.linalg.inv(x.T @ x)
+    beta = inverse @ x.T @ y
+    e, own = y - x @ beta, {}
+    for r, s in zip(rows, x * e[:, None]):
+        own[r.match_id] = own.get(r.match_id, 0) + s
+    meat = sum(np.outer(s, s) for s in own.values()) * len(own) / (len(own) - 1)
+    want = np.sqrt(np.diag(inverse @ meat @ inverse))
+    got = {r.name: (r.estimate, r.se) for r in fitting.two_way_effects(spark, SMALL).collect()}
+    for i, n in enumerate(("target", "game_no")):
+        assert got[n] == pytest.approx((beta[i], want[i]), rel=1e-5)
+
+
+def _newton(rows):
+    """One fit by dense Newton steps. rows: x0, x1, x2, won, n."""
+    r = np.array(rows, float)
+    x, won, n, b = r[:, :3], r[:, 3], r[:, 4], np.zeros(3)
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-x @ b))
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(3)
+        b = b + np.linalg.solve(h, x.T @ (won - n * p))
+    return [*b, *np.sqrt(np.diag(np.linalg.inv(h)))]
+
+
+def test_keyed_fits_equal_single_ones(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, 1.0, float(x1), float(x2), float(rng.binomial(n, 0.6)), float(n)) for k in range(30) for x1, x2, n in zip(rng.normal(size=25).round(3), rng.integers(0, 2, 25), rng.integers(1, 9, 25))]
+    got = keyed_newton(spark.createDataFrame(rows, "key int, x0 double, x1 double, x2 double, won double, n double")).collect()
+    assert len(got) == 30
+    for r in got:
+        assert list(r)[1:] == pytest.approx(_newton([x[1:] for x in rows if x[0] == r.key]), rel=1e-6, abs=1e-8)
+
+
+def test_resamples_equal_single_ones(spark):
+    cells = fitting._cells(fitting.forecasts(spark, SMALL), "match_id")
+    by_match = {}
+    for r in cells.collect():
+        by_match.setdefault(r.match_id, []).append((r.x0, r.x1, r.x2, r.won, r.n))
+    u = spark.createDataFrame([(m, k) for m in by_match for k in range(3)], "m long, k long").select("m", "k", (mixed(F.col("m") % _M, F.col("k")) / float(_M)).alias("u"))
+    weight = {(r.m, r.k): sum(r.u >= c for c, _ in [(0.3678794, 0), (0.7357589, 1), (0.9196986, 2), (0.9810118, 3), (0.9963402, 4)]) for r in u.collect()}
+    got = {r.key: list(r)[1:] for r in keyed_newton(fitting.resampled(cells, 3)).collect()}
+    for k in range(3):
+        own = [(*c[:3], c[3] * weight[m, k], c[4] * weight[m, k]) for m, cs in by_match.items() for c in cs if weight[m, k]]
+        assert got[k] == pytest.approx(_newton(own), rel=1e-6)
+
+
+def test_yearly_fits_equal_single_ones(spark):
+    rows = fitting._cells(fitting.forecasts(spark, SMALL).withColumn("key", F.year("date")), "key").collect()
+    for r in fitting.yearly_fits(spark, SMALL).collect():
+        assert list(r)[1:7] == pytest.approx(_newton([(x.x0, x.x1, x.x2, x.won, x.n) for x in rows if x.key == r.year]), rel=1e-6)
+
+
+def test_effects_without_rows(spark):
+    none = games(spark, SMALL).where(F.lit(False)).withColumn("tour_level", F.lit(-1).cast("long"))
+    assert effects.effects(none, fitting.SLOTS, ["margin"])[0].collect() == []
