@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from courtside.registry import query
 from courtside.operators import records
-from courtside.sources.storage import newest_by_key, quarantined, upserted
+from courtside.sources.storage import fresh_path, load_days, newest_by_key, quarantined, upserted, written_with_counts
 from courtside.sources.tables import table
 
 _NAMES = {1: "One", 2: "Two", 3: "Three", 4: "Four", 5: "Five"}
@@ -167,3 +167,23 @@ def trimmed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.coalesce(F.array_max(F.transform(F.filter("t", lambda x: (x.a > 0) | (x.b > 0)), lambda x: x.r)), F.lit(0))
     out = last.withColumn("trimmed", cut)
     return out.select("m", F.size("t").alias("n"), "trimmed", F.array_join(F.transform(F.slice("t", 1, F.greatest("trimmed", F.lit(0))), lambda x: F.concat_ws("-", x.a, x.b)), "|").alias("joined"))
+
+
+@query("""with e as (select *, cast(ts as date) d, cast(json_extract_string(props, '$.k') as int) k from events), m as (select max(d) m from e), t as (select e.* from e, m where d >= m - 3 or (k % 11 <> 0))
+select d, count(*) n, round(sum("value"), 4) "value", count_if(k % 11 = 0) late from t group by d""")
+def corrected_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by days, loaded before some rows had come, then loaded again with all: the last days are put right, the final ones stay as they were."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), "event_id", "value", k.alias("k"))
+    path = fresh_path(spark, "by-day")
+    load_days(path, e.where("k % 11 <> 0 or k is null"), "d")
+    load_days(path, e, "d")
+    load_days(path, e, "d")  # once more, as after a run whose end was not seen
+    return spark.read.parquet(path).groupBy("d").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"), F.count_if(F.col("k") % 11 == 0).alias("late"))
+
+
+@query("""select 'orders' what, count(*) n, count_if(o_orderkey is null) missing from orders union all select 'customer', count(*), count_if(c_custkey is null) from customer union all select 'lineitem', count(*), count_if(l_orderkey is null) from lineitem""")
+def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run wrote, counted while it was written."""
+    keys = {"orders": "o_orderkey", "customer": "c_custkey", "lineitem": "l_orderkey"}
+    return written_with_counts({t: (table(spark, sf_dir, t), k) for t, k in keys.items()}, fresh_path(spark, "run"))

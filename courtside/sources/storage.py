@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,3 +72,40 @@ def read_lenient(spark: SparkSession, path: str, schema: str, kind: str = "json"
 
 def newest_by_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def load_days(table_path: str, rows: DataFrame, day: str, volatile: int = 3) -> int:
+    """Loads rows into a table with a folder for each day, of which only the newest days can still change; how many days were written.
+
+    Days of `rows` from `volatile` before the newest day (of the table and the rows) on replace what the table has of them; older days that the table has are
+    final and stay as they are; older days that it hasn't are new and are loaded. Rows hold each such day as a whole, as a source fetched
+    again gives it. Only folders of days that are written change, all at once when the job is done, so a run that fails leaves the table as it was and
+    a run that is repeated changes nothing.
+    """
+    spark = rows.sparkSession
+    fs, at = folder(spark, table_path)
+    there = spark.read.parquet(table_path).select(day).distinct() if fs.exists(at) else None
+    batch = rows.agg(F.max(day)).first()[0]
+    if batch is None:
+        return 0
+    newest = max(batch, there.agg(F.max(day)).first()[0]) if there is not None else batch
+    fresh = rows.where(F.col(day) >= F.date_sub(F.lit(newest), volatile))
+    if there is not None:  # days of the table: a row a day
+        old = rows.where(F.col(day) < F.date_sub(F.lit(newest), volatile)).join(F.broadcast(there), day, "left_anti")
+        fresh = fresh.unionByName(old)
+    else:
+        fresh = rows
+    days = Observation()
+    out = fresh.repartition(day, F.pmod(F.xxhash64(*(c for c in rows.columns if c != day)), F.lit(8)))  # a day is up to eight files
+    out.observe(days, F.collect_set(day).alias("days")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(table_path)
+    return len(days.get["days"])
+
+
+def written_with_counts(tables: dict[str, tuple[DataFrame, str]], path: str) -> DataFrame:
+    """Writes tables (rows and their key column) below path; a row for each: what, n, missing (keys), taken while it was written, without another scan."""
+    spark, out = next(iter(tables.values()))[0].sparkSession, []
+    for name, (rows, key) in tables.items():
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("missing")).write.parquet(f"{path}/{name}")
+        out.append((name, seen.get["n"], seen.get["missing"]))
+    return spark.createDataFrame(out, "what string, n long, missing long")

@@ -1,10 +1,13 @@
 """Raw documents as files: folders, envelopes, both dialects, corrupt lines, quarantine and upserts."""
+import datetime
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from courtside.operators import records
-from courtside.sources.storage import newest_by_key, quarantined, read_lenient, upserted
+from courtside.sources.storage import load_days, newest_by_key, quarantined, read_lenient, upserted, written_with_counts
 
 
 def test_bodies(spark, tmp_path):
@@ -54,3 +57,33 @@ def test_upsert(spark):
     # the same batch again changes nothing
     assert sorted(upserted(got, new, ["k"], [F.desc("at")]).collect()) == sorted(got.collect())
     assert newest_by_key(new, ["k"], [F.desc("at")]).count() == 2
+
+
+def _day(n):
+    return datetime.date(2024, 5, n)
+
+
+def test_late_corrections(spark, tmp_path):
+    path = f"file://{tmp_path}/days"
+    of = lambda rows: spark.createDataFrame([(_day(d), k, v) for d, k, v in rows], "d date, k int, v string")
+    seen = lambda: sorted((r.d.day, r.k, r.v) for r in spark.read.parquet(path).collect())
+    first = [(1, 1, "a"), (2, 2, "a"), (5, 3, "a"), (6, 4, "a")]
+    assert load_days(path, of(first), "d") == 4 and seen() == first
+    # day 1 is final and its correction is left out; day 3 is new to the table; days 5 and 6 are replaced as a whole
+    late = [(1, 1, "b"), (3, 9, "b"), (5, 3, "b"), (6, 5, "b"), (7, 6, "b")]
+    want = [(1, 1, "a"), (2, 2, "a"), (3, 9, "b"), (5, 3, "b"), (6, 5, "b"), (7, 6, "b")]
+    assert load_days(path, of(late), "d") == 4 and seen() == want
+    # a run that fails half way changes nothing, and one that is repeated neither
+    broken = of([*late, (7, 7, "c")]).withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("lost")).cast("string")).otherwise("c"))
+    with pytest.raises(Exception, match="lost"):
+        load_days(path, broken, "d")
+    assert seen() == want
+    load_days(path, of([(3, 9, "x"), *late[2:]]), "d")
+    assert seen() == want
+    assert load_days(path, of([]), "d") == 0 and seen() == want
+
+
+def test_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (None,), (3,)], "k int")
+    assert [tuple(r) for r in written_with_counts({"t": (df, "k")}, f"file://{tmp_path}").collect()] == [("t", 3, 1)]
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 3
