@@ -23,9 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.filter("secrets", lambda s: s.kind == kind)
     return found.select(
         "doc_id",
-        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS),
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS if k != "markov"),
         F.sha2(digest(F.filter("secrets", lambda s: s.kind != "markov")).cast("binary"), 256).alias("base_sha256"),
         digest(F.col("secrets")).alias("spans"),
+        F.size(of("markov")).cast("long").alias("n_markov"),
     )
 
 
@@ -37,7 +38,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.held_out(F.col("doc_id"))
     model = language_id.fit(docs.where(~held))
-    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

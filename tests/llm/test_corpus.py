@@ -1,4 +1,5 @@
 """The operators against brute-force versions, exact round trips and held-out accuracy; and the odd inputs of each."""
+import base64
 import hashlib
 import random
 import re
@@ -240,6 +241,9 @@ def test_fingerprints(spark, documents, odd, none):
         for near, x in ((r.near_edited, b), (r.near_next, c)):
             assert near == pytest.approx(len(a & x) / len(a | x) if a | x else 1.0)
         assert (r.alike_edited, r.alike_next) == (r.near_edited >= 0.8, r.near_next >= 0.8)
+        # what is printed is what is compared
+        x, y = (set(np.frombuffer(base64.b64decode(s), ">u8").tolist()) for s in (r.fingerprint, r.edited_fingerprint))
+        assert r.near_edited == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
     strange = sorted(spotsigs.compared(odd).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars))
     assert [r.doc_id for r in strange] == [None, 0, 0, *range(1, 10)] and spotsigs.compared(none).count() == 0
     prints = {r.doc_id: r.fingerprint for r in strange}
