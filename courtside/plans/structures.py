@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtside.registry import query
+from courtside.operators.brackets import bracket
 from courtside.functions.probability import SIGMOID, sigmoid
 from courtside.operators.graph import connected_components
 from courtside.sources.tables import GAMES, games, table
@@ -70,3 +71,21 @@ def bracket_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
         met = at.withColumn("half", half).join(y, ["pool", "half"])
         at = met.groupBy("pool", "id", "v", "spot", *names[:k], F.col("p").alias("was")).agg(F.sum(F.col("p2") * sigmoid(F.col("v") - F.col("v2"))).alias("beat")).withColumn("p", F.col("was") * F.col("beat")).withColumn(name, F.round("p", 8)).drop("was", "beat")
     return at.select("pool", "id", *names)
+
+
+def _bye_sql(k: int) -> str:
+    return f"q{k} as (select x.pool, x.id, x.v, x.spot, x.rounds, x.p * coalesce(sum(y.p * {SIGMOID.format(x='(x.v - y.v)')}), 1.0) p from q{k - 1} x left join q{k - 1} y on x.pool = y.pool and xor(x.spot // {2 ** (k - 1)}, 1) = y.spot // {2 ** (k - 1)} where x.rounds >= {k} group by x.pool, x.id, x.v, x.spot, x.rounds, x.p)"
+
+
+_PLACES = {r: "[" + ", ".join(map(str, p)) + "]" for r, p in ((1, [1, 2]), (2, [1, 4, 2, 3]), (3, [1, 8, 4, 5, 2, 7, 3, 6]), (4, [1, 16, 8, 9, 4, 13, 5, 12, 2, 15, 7, 10, 3, 14, 6, 11]))}
+
+
+@query(f"""with s as (select s_nationkey pool, s_suppkey id, s_acctbal / 4000.0 v, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) seed from supplier),
+e as (select * from s where seed <= 5 + pool % 12), z as (select pool, count(*) n, cast(ceil(log2(count(*))) as int) rounds from e group by pool),
+q0 as (select pool, id, v, list_position(case rounds {' '.join(f'when {r} then {p}' for r, p in _PLACES.items())} else [1] end, seed) - 1 spot, rounds, 1.0::double p from e join z using (pool)), {', '.join(_bye_sql(k) for k in range(1, 5))}
+{' union all '.join(f'select pool, id, {k} "round", round(p, 8) through from q{k}' for k in range(1, 5))}""")
+def bracket_byes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets of five to sixteen, with byes for the best where places are empty: chances to come through each round."""
+    w = Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pool"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 4000.0).alias("v"), F.row_number().over(w).alias("seed")).where("seed <= 5 + pool % 12")
+    return bracket(s).select("pool", "id", "round", F.round("through", 8).alias("through"))
