@@ -44,7 +44,7 @@ LEAST = 0.8
 WIDE = 2048
 CHUNK, TURNS = 256, 4
 #: Shingles and texts that are hashed at once.
-_PART, _TEXTS, _WIDE_TEXTS = 400_000, 4000, 512
+_PART, _TEXTS, _WIDE_TEXTS = 200_000, 2000, 512
 
 
 def least_alike(bits: int, least: float) -> int:
@@ -118,10 +118,10 @@ def probability_jaccard(a: dict[int, int] | tuple, b: dict[int, int] | tuple) ->
 
 
 def _keyed(docs: DataFrame, *columns) -> DataFrame:
-    """The columns, text_key (equal for equal words) and the words as hashes, of rows that have words."""
+    """The columns, raw (a hash of the text as it is), text_key (equal for equal words) and the words as hashes, of rows that have words."""
     words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
-    docs = docs.select(*columns, words.alias("words")).where(F.size("words") > 0)
-    return docs.select(*columns, F.unhex(F.md5(F.array_join("words", " "))).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    docs = docs.select(*columns, F.xxhash64("text").alias("raw"), words.alias("words")).where(F.size("words") > 0)
+    return docs.select(*columns, "raw", F.unhex(F.md5(F.array_join("words", " "))).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _parts(lists: pa.ListArray, most: int, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -133,7 +133,7 @@ def _parts(lists: pa.ListArray, most: int, rows: int) -> Iterator[tuple[int, int
         a = b
 
 
-SIGNED = "id long, doc_id long, text_key binary, bands array<long>, s0 long, s1 long, s2 long"
+SIGNED = "id long, doc_id long, raw long, text_key binary, bands array<long>, s0 long, s1 long, s2 long"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.packbits((owner & np.uint64(1)).astype(np.uint8), axis=1).view("<i8")
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_mix(part.column("id").to_numpy().view(np.uint64)).view(np.int64)), part.column("doc_id"), part.column("text_key"),
+                [pa.array(_mix(part.column("id").to_numpy().view(np.uint64)).view(np.int64)), part.column("doc_id"), part.column("raw"), part.column("text_key"),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
                  *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3))],
                 [c.split()[0] for c in SIGNED.split(", ")])
@@ -305,7 +305,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     keyed = _keyed(docs.withColumn("id", F.monotonically_increasing_id()), "id", "doc_id")
     signed = written(keyed.mapInArrow(_signed, SIGNED), "signed", own)
     # one text of each key
-    reps = signed.groupBy("text_key").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"))
+    reps = signed.groupBy("text_key").agg(F.min("id").alias("id"), F.min("doc_id").alias("doc_id"), F.min("raw").alias("raw"))
     reps = written(reps, "texts", own)
     distinct = signed.join(reps.select("id"), "id", "left_semi")
     banded = distinct.select("id", F.explode("bands").alias("bucket"))
@@ -318,10 +318,15 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         found = reps.select("text_key", F.col("doc_id").alias("class_id"))
         discard(spark, scratch)
         return _classed(docs, signed, found)
-    near = members.select("id").distinct().join(reps.select("id", "text_key"), "id")
+    near = members.select("id").distinct().join(reps.select("id", "text_key", "raw"), "id")
     near = written(near, "near", scratch)
     few = near.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = _keyed(docs).join(F.broadcast(near) if few else near, "text_key").dropDuplicates(["id"]).select("id", "hashes")
+    raws, near = near.select("raw").distinct(), near.select("id", "text_key")
+    if few:
+        raws, near = F.broadcast(raws), F.broadcast(near)
+    # only texts that one of them is are cut into words again
+    same = docs.withColumn("_raw", F.xxhash64("text")).join(raws.withColumnRenamed("raw", "_raw"), "_raw", "left_semi").select("text")
+    texts = _keyed(same).join(near, "text_key").dropDuplicates(["id"]).select("id", "hashes")
     texts = written(texts.mapInArrow(_weighed, TEXTS), "shingles", scratch)
     # 1: the likeliest leader
     led = members.select("id", *bits, F.explode(F.array("lo", "hi")).alias("b")).where("id <> b").distinct()
