@@ -3,8 +3,8 @@
 The words of a document (runs of ASCII letters and digits and of all other non-ASCII characters, lower-cased) are hashed in
 rolling k-grams and joined with the places of the same k-grams in templates. A hit votes for its diagonal: its place in the
 document less that in the template. Short phrases count where all their grams vote for one diagonal. For long notices,
-neighbouring diagonals are merged, as words put in or left out shift the rest; a cluster whose votes cover LEAST_COVER of the template's
-grams, over a span not much longer than the template, is a find. Every hit is verified word by word.
+neighbouring diagonals are merged, as words put in or left out shift the rest; a cluster whose hits cover LEAST_COVER of the template's
+grams, each place counted once (a bit each: templates have up to 63 grams), over a span not much longer than the template, is a find. Every hit is verified word by word.
 
 The templates are constants of this module, so their broadcast is bounded. Null and empty texts have no words and no labels; very long
 texts are scanned whole; each row votes for itself, so repeated rows give equal rows and rows that share a doc_id or have none a row
@@ -33,7 +33,10 @@ LEAST_COVER, NEAR, STRETCH = 0.5, 3, 1.5
 
 def _templates() -> list[tuple[int, str, bool, list[str]]]:
     texts = [(label, True, t) for t, label in PHRASES.items()] + [(label, False, t) for label, t in NOTICES.items()]
-    return [(n, label, base, t.split()) for n, (label, base, t) in enumerate(texts)]
+    out = [(n, label, base, t.split()) for n, (label, base, t) in enumerate(texts)]
+    if max(len(ws) for *_, ws in out) > 63 + SHORT - 1:
+        raise ValueError("a template has over 63 places")
+    return out
 
 
 def words_of(text):
@@ -64,14 +67,14 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     about = spark.createDataFrame([(n, label, base, len(ws) - (SHORT if base else LONG) + 1, len(ws)) for n, label, base, ws in _templates()], "tpl int, label string, base boolean, grams int, size int")
     votes = hit.groupBy("row", "doc_id", F.col("p.tpl").alias("tpl"), (i - F.col("p.pos")).alias("diagonal")).agg(
-        F.max("n_words").alias("n_words"), F.count("p.pos").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+        F.max("n_words").alias("n_words"), F.coalesce(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("p.pos"))), F.lit(0).cast("long")).alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     votes = votes.join(F.broadcast(about), "tpl", "left")
     # neighbouring diagonals of a notice become one cluster
     by_diagonal = Window.partitionBy("row", "doc_id", "tpl").orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR, F.lit(True))
     parts = votes.withColumn("new", apart.cast("int")).withColumn("cluster", F.sum("new").over(by_diagonal))
     clusters = parts.groupBy("row", "doc_id", "tpl", "cluster").agg(
-        F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"),
+        F.max("n_words").alias("n_words"), F.bit_count(F.bit_or("places")).alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"),
         *(F.first(c).alias(c) for c in ("label", "base", "grams", "size")))
     cover = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
     is_base = F.col("base") & (F.col("votes") == F.col("grams"))
