@@ -111,11 +111,20 @@ def pair_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games(spark, sf_dir).groupBy(F.least("a1", "a2").alias("p"), F.greatest("a1", "a2").alias("q")).agg(F.count("*").alias("n"), F.sum((F.col("margin") > 0).cast("int")).alias("wins"))
 
 
-@query(f"""with {GAMES}, {SLOTS} select player, case when men > women then 'M' when women > men then 'F' when mixed > 0 then 'mixed only' else 'unknown' end gender from (
-select player, count(*) filter (where context = 'mens') men, count(*) filter (where context = 'womens') women, count(*) filter (where context = 'mixed') mixed from slots group by player)""")
+@query(f"""with {GAMES}, {SLOTS}, own as (select player, case when men > women then 'M' when women > men then 'F' end g from (
+select player, count(*) filter (where context = 'mens') men, count(*) filter (where context = 'womens') women from slots group by player)),
+beside as (select s.player, count(*) filter (where o.g = 'M') men, count(*) filter (where o.g = 'F') women, count(*) n from slots s join own o on o.player = s.partner where s.context = 'mixed' group by s.player)
+select player, coalesce(g, case when men > women then 'F' when women > men then 'M' else 'unknown' end) gender, case when g is not null then 'own' when men <> women then 'partners' else 'none' end known from own left join beside using (player)""")
 def gender_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = slots(games(spark, sf_dir)).groupBy("player").agg(*(F.count_if(F.col("context") == k).alias(n) for k, n in (("mens", "men"), ("womens", "women"), ("mixed", "mixed"))))
-    return c.select("player", F.when(F.expr("men > women"), "M").when(F.expr("women > men"), "F").when(F.expr("mixed > 0"), "mixed only").otherwise("unknown").alias("gender"))
+    """By the contexts a player was seen in most; where they don't tell, the opposite of most of the partners in mixed games."""
+    s = slots(games(spark, sf_dir))
+    c = s.groupBy("player").agg(*(F.count_if(F.col("context") == k).alias(n) for k, n in (("mens", "men"), ("womens", "women"))))
+    own = c.select("player", F.when(F.expr("men > women"), "M").when(F.expr("women > men"), "F").alias("g"))
+    partners = s.where("context = 'mixed'").groupBy("player", "partner").agg(F.count("*").alias("n"))
+    beside = partners.join(own.select(F.col("player").alias("partner"), "g"), "partner").groupBy("player").agg(*(F.sum(F.when(F.col("g") == k, F.col("n")).otherwise(0)).alias(n) for k, n in (("M", "men"), ("F", "women"))))
+    both = own.join(beside, "player", "left")
+    told = F.when(F.expr("men > women"), "F").when(F.expr("women > men"), "M").otherwise("unknown")
+    return both.select("player", F.coalesce("g", told).alias("gender"), F.when(F.col("g").isNotNull(), "own").when(F.expr("men <> women"), "partners").otherwise("none").alias("known"))
 
 
 @query(f"""with {GAMES} select match_id, sign(sum(sign(margin))) winner, count(*) games from games group by match_id having sum(sign(margin)) <> 0""")

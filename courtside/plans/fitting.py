@@ -5,12 +5,12 @@ from pyspark.sql.window import Window
 
 from courtside.registry import query
 from courtside.functions.probability import logit, normal_cdf, race_win, sigmoid
-from courtside.operators import effects, refits
+from courtside.operators import effects, refits, simplex
 from courtside.operators.fits import keyed_newton
 from courtside.plans.aggregates import forecasts
 from courtside.plans.models import _M, _POISSON_SQL, mixed
 from courtside.sources.storage import written
-from courtside.sources.tables import games
+from courtside.sources.tables import games, rating
 
 SPLIT = "1996-01-01"
 
@@ -76,3 +76,27 @@ def resampled_fit(spark: SparkSession, sf_dir: str, reps: int = 2000) -> DataFra
     end = lambda k: F.max(F.when(F.col("i") == k, F.col("b")))
     cut = reps // 40
     return placed.groupBy("name").agg(F.count("*").alias("reps"), F.avg("b").alias("mean"), F.stddev_samp("b").alias("sd"), end(cut + 1).alias("lo"), end(reps - cut).alias("hi"))
+
+
+def race_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games as cells of what their forecast depends on: the sides' difference in sums and in gaps of ratings, and the target."""
+    v = [rating(F.col(c)) for c in ("a1", "a2", "b1", "b2")]
+    total, gap = F.round(v[0] + v[1] - v[2] - v[3], 2), F.round(F.abs(v[0] - v[1]) - F.abs(v[2] - v[3]), 2)
+    g = games(spark, sf_dir).where("not is_forfeit")
+    return g.groupBy(total.alias("total"), gap.alias("gap"), "target").agg(F.sum((F.col("margin") > 0).cast("double")).alias("won"), F.count("*").cast("double").alias("n"))
+
+
+def race_loss(x: list[float]):
+    """A cell's share of the negative log-likelihood at (scale, gamma)."""
+    p = race_win(sigmoid(x[0] * F.col("total") + x[1] * F.col("gap")), F.col("target"))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    return -(F.col("won") * F.ln(p) + (F.col("n") - F.col("won")) * F.ln(1 - p))
+
+
+@query(None)
+def race_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scale of summed ratings and the weight of a pair's gap that forecast games best through the race."""
+    cells = written(race_cells(spark, sf_dir).repartition(16), "cells")  # few rows, each with much to reckon
+    (scale, gamma), loss, _ = simplex.nelder_mead(cells, race_loss, [0.1, 0.0])
+    n = cells.agg(F.sum("n")).first()[0]
+    return spark.createDataFrame([(scale, gamma, loss / n if n else None)], "scale double, gamma double, nll double")

@@ -186,7 +186,10 @@ def decider_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def log_win_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side 0's chance at the start of each rally that the log tells readably, from the serve table (4 x 13 x 13 rows, broadcast)."""
+    """Side 0's chance at the start of each rally that the log tells readably, by the match's own difference: its players' ratings, to a tenth.
+
+    Players are rated from -0.5 to 0.5, so there are 41 differences at most and 41 x 676 states, which are broadcast.
+    """
     from pyspark.sql.window import Window
 
     said = F.split("start_string", "-")
@@ -196,5 +199,11 @@ def log_win_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = rows.select(
         "match_id", "log_index", F.when(first, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("b"),
         F.concat(F.when(first, "A").otherwise("B"), F.when(F.col("number") == 1, "1").otherwise("2")).alias("s"), F.row_number().over(Window.partitionBy("match_id").orderBy("log_index")).alias("rally"))
-    states = serve_table(spark.range(1).select(F.lit(0.0).alias("eta")), 11).select("a", "b", "s", "v")
-    return at.join(F.broadcast(states), ["a", "b", "s"], "left").select("match_id", "log_index", "rally", "a", "b", "s", F.coalesce("v", F.lit(0.5)).alias("p"))
+    at = at.withColumn("eta", match_eta(F.col("match_id")))
+    states = serve_table(at.select("eta").distinct(), 11).select("eta", "a", "b", "s", "v")
+    return at.join(F.broadcast(states), ["eta", "a", "b", "s"], "left").select("match_id", "log_index", "rally", "eta", "a", "b", "s", F.coalesce("v", F.lit(0.5)).alias("p"))
+
+
+def match_eta(match_id):
+    """A match's difference in tenths of a logit: users 4m and 4m + 1 against the next two."""
+    return F.round(sum((s * rating(match_id * 4 + i) for i, s in enumerate((1, 1, -1, -1))), F.lit(0.0)), 1) + 0.0

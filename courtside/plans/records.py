@@ -13,8 +13,16 @@ _TITLES = ("Womens pairs, draw: main", "Mens pairs, draw: second", "Mixed pairs,
 _ABBREVIATIONS = ("WD", "MDG", "MXD1", "DB", "mxd2")
 
 
-def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(body): an order is a match; even keys write camel case and a bare record, odd keys snake case and a list."""
+def _pick(values, at):
+    return F.element_at(F.array(*map(F.lit, values)), (at % 5 + 1).cast("int"))
+
+
+def _packed(fields: dict):
+    return F.struct(*(v.cast("string").alias(n) for n, v in fields.items()))
+
+
+def _fields() -> dict:
+    """A match record of an order, by its fields."""
     k = F.col("o_orderkey")
     target = F.when(k % 5 < 3, 11).when(k % 5 == 3, 15).otherwise(0)
     fields = {"matchUuid": F.concat(F.lit("M"), k), "matchStatus": F.when(k % 29 == 0, 3).otherwise(4), "matchCompletedType": F.when(k % 31 == 0, 6).otherwise(5), "didCancelMatch": k % 37 == 0}
@@ -29,14 +37,30 @@ def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             score = F.when(((k + i) % 2 == 0) == F.lit(one), high).otherwise(low)
             fields[f"team{side}Game{name}Score"] = F.when(~played | (k % 82 == 0), None).otherwise(score)
         fields[f"scoreFormatGame{name}Max"] = target
-    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % 5 + 1).cast("int"))
-    camel = dict(fields, matchAbbreviation=pick(_ABBREVIATIONS, k), matchupUuid=F.concat(F.lit("X"), F.floor(k / 8)), roundText=F.when(k % 3 == 0, "Finals"))
-    snake = {records._snake(n): v for n, v in (fields | {"eventTitle": pick(_TITLES, k), "roundText": F.when(k % 3 == 0, " Finals ")}).items()}
-    packed = lambda d: F.struct(*(v.cast("string").alias(n) for n, v in d.items()))
-    even, odd = F.to_json(F.struct(packed(camel).alias("data"))), F.to_json(F.struct(F.array(packed(snake)).alias("data")))
+    return fields
+
+
+def _camel() -> dict:
+    k = F.col("o_orderkey")
+    return dict(_fields(), matchAbbreviation=_pick(_ABBREVIATIONS, k), matchupUuid=F.concat(F.lit("X"), F.floor(k / 8)), roundText=F.when(k % 3 == 0, "Finals"))
+
+
+def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(body): an order is a match; even keys write camel case and a bare record, odd keys snake case and a list."""
+    k = F.col("o_orderkey")
+    snake = {records._snake(n): v for n, v in (_fields() | {"eventTitle": _pick(_TITLES, k), "roundText": F.when(k % 3 == 0, " Finals ")}).items()}
+    even, odd = F.to_json(F.struct(_packed(_camel()).alias("data"))), F.to_json(F.struct(F.array(_packed(snake)).alias("data")))
     return table(spark, sf_dir, "orders").select(F.when(k % 2 == 0, even).otherwise(odd).alias("body"))
 
 
+def fixture_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(body): a fixture of up to four matches, nested in its document."""
+    k = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").where(k % 2 == 0).select(F.concat(F.lit("X"), F.floor(k / 8)).alias("matchupUuid"), F.struct(k, _packed(dict(_camel(), isTieBreaker=k % 7 == 0)).alias("m")).alias("m"))
+    nested = own.groupBy("matchupUuid").agg(F.sort_array(F.collect_list("m")).alias("matches"))  # eight keys a fixture
+    return nested.select(F.to_json(F.struct("matchupUuid", F.col("matches.m").alias("matches"))).alias("body"))
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return quarantined(records.matches(raw_bodies(spark, sf_dir)), F.col("reason"))
 
@@ -187,3 +211,23 @@ def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run wrote, counted while it was written."""
     keys = {"orders": "o_orderkey", "customer": "c_custkey", "lineitem": "l_orderkey"}
     return written_with_counts({t: (table(spark, sf_dir, t), k) for t, k in keys.items()}, fresh_path(spark, "run"))
+
+
+_SLOTTED = """sl as (select 'x' || (k // 8) fixture, k, case k % 5 when 0 then 'WD' when 1 then 'MD' when 2 then 'MXD1' when 4 then 'MXD2' end slot from (select o_orderkey k from orders where o_orderkey % 2 = 0 and o_orderkey % 7 <> 0 and o_orderkey % 41 <> 0)),
+ln as (select fixture, slot, max(k) k from sl where slot is not null group by all)"""
+
+
+@query(f"with {_SLOTTED} select fixture, slot, 'p' || (k * 7 % 97) one_1, 'p' || (k * 8 % 97 + 100) one_2, 'p' || (k * 9 % 97 + 200) two_1, 'p' || (k * 10 % 97 + 300) two_2 from ln")
+def lineup_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who played which slot of a fixture, out of the matches nested in its document."""
+    found = records.lineups(fixture_bodies(spark, sf_dir))
+    return found.select("fixture", "slot", *(F.col(c)[i].alias(f"{c}_{i + 1}") for c in ("one", "two") for i in (0, 1)))
+
+
+@query(f"""with {_SLOTTED}, w as (select fixture, min(case when k * 9 % 97 + 200 = 200 + f then 2 end) side from (select *, cast(substr(fixture, 2) as bigint) % 97 f from ln) group by fixture)
+select fixture, slot, 'p' || (k * 9 % 97 + 200) own_1, 'p' || (k * 7 % 97) other_1 from ln join w using (fixture) where side = 2""")
+def turned_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures seen from the side of a given player, all their slots turned together."""
+    found = records.lineups(fixture_bodies(spark, sf_dir))
+    asked = found.withColumn("asked", F.concat(F.lit("p"), (200 + F.substring("fixture", 2, 20).cast("long") % 97).cast("string")))
+    return records.turned(asked, "asked").select("fixture", "slot", F.col("own")[0].alias("own_1"), F.col("other")[0].alias("other_1"))

@@ -17,13 +17,14 @@ def _per_player(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {GAMES}, {SLOTS}, {_PER}, m as (select sum(n * x) / sum(n) mx, sum(n * y) / sum(n) my from per), f as (select sum(n * (x - mx) * (y - my)) / sum(n * (x - mx) * (x - mx)) b, any_value(mx) mx, any_value(my) my from per, m)
-select player, round(y - (my + b * (x - mx)), 6) resid from per, f""")
+select player, round(y - (my + b * (x - mx)), 6) resid, row_number() over (order by round(y - (my + b * (x - mx)), 6) desc, player) place from per, f""")
 def wls_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each player's result beside a weighted line through all: five sums in one row."""
     per = written(_per_player(spark, sf_dir), "players")
     s = per.agg(*(F.sum(F.expr(e)).alias(a) for a, e in {"sn": "n", "sx": "n * x", "sy": "n * y", "sxx": "n * x * x", "sxy": "n * x * y"}.items()))  # one row
     line = s.select((F.col("sx") / F.col("sn")).alias("mx"), (F.col("sy") / F.col("sn")).alias("my"), F.expr("(sxy - sx * sy / sn) / (sxx - sx * sx / sn)").alias("b"))
-    return per.join(F.broadcast(line)).select("player", F.round(F.expr("y - (my + b * (x - mx))"), 6).alias("resid"))
+    left = per.join(F.broadcast(line)).select("player", F.round(F.expr("y - (my + b * (x - mx))"), 6).alias("resid"))
+    return ranked(left.withColumn("down", -F.col("resid")), ["down", "player"], "place").drop("down")
 
 
 @query(f"with {GAMES} select context, round(corr(s1, s2), 6) r, round(corr(game_no, abs(margin)), 6) r_late from games group by context")
@@ -75,12 +76,16 @@ def tail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.join(seen, "cut").select("cut", "seen", F.round(F.col("n") * (1 - normal_cdf(F.col("cut"))), 4).alias("expected"))
 
 
-@query(f"""with {GAMES}, {SLOTS}, {_Z}, r as (select z, row_number() over (order by z, player) k, count(*) over () m, {NORMAL_CDF.format(x='z')} f from p) select round(max(greatest(abs(k / m - f), abs((k - 1) / m - f))), 6) d, count(*) n from r""")
+@query(f"""with {GAMES}, {SLOTS}, {_Z}, r as (select z, row_number() over (order by z, player) k, count(*) over () m, {NORMAL_CDF.format(x='z')} f from p) select round(max(greatest(abs(k / m - f), abs((k - 1) / m - f))), 6) d, count(*) n, round(least(1.0, 2 * sum_p), 6) p from r, (select sum((case when j % 2 = 1 then 1 else -1 end) * exp(-2 * j * j * power((sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d, 2))) sum_p from range(1, 101) t(j), (select round(max(greatest(abs(k / m - f), abs((k - 1) / m - f))), 6) d, count(*) n from r)) group by sum_p""")
 def ks_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kolmogorov and Smirnov's distance of the players' scores from the normal distribution."""
     p = _p_values(spark, sf_dir)
     r = ranked(p, ["z", "player"], "k").withColumn("m", F.lit(p.count())).withColumn("f", normal_cdf(F.col("z")))
-    return r.agg(F.round(F.max(F.greatest(F.abs(F.expr("k / m - f")), F.abs(F.expr("(k - 1) / m - f")))), 6).alias("d"), F.count("*").alias("n"))
+    far = r.agg(F.round(F.max(F.greatest(F.abs(F.expr("k / m - f")), F.abs(F.expr("(k - 1) / m - f")))), 6).alias("d"), F.count("*").alias("n"))
+    # the distance's chance by Kolmogorov's series, with the usual correction for small samples
+    scaled = (F.sqrt("n") + 0.12 + 0.11 / F.sqrt("n")) * F.col("d")
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, j: acc + F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * j * j * scaled * scaled))
+    return far.select("d", "n", F.round(F.least(F.lit(1.0), 2 * series), 6).alias("p"))
 
 
 @query(f"""with {GAMES}, {SLOTS}, h as (select player, dense_rank() over (partition by player order by match_id) % 2 half, pf - pa d from slots), s as (select player, avg(d) filter (where half = 0) a, avg(d) filter (where half = 1) b, count(*) n from h group by player)

@@ -1,9 +1,11 @@
 """Fits against minima found by plain numpy."""
+from math import comb
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.operators import effects, lbfgs, refits
+from courtside.operators import effects, lbfgs, refits, simplex
 from courtside.operators.fits import keyed_newton
 from courtside.plans import fitting
 from courtside.plans.models import _M, mixed
@@ -184,3 +186,34 @@ def test_yearly_fits_equal_single_ones(spark):
 def test_effects_without_rows(spark):
     none = games(spark, SMALL).where(F.lit(False)).withColumn("tour_level", F.lit(-1).cast("long"))
     assert effects.effects(none, fitting.SLOTS, ["margin"])[0].collect() == []
+
+
+def test_race_fit_equals_a_grid_made_finer(spark):
+    rows = [(r.total, r.gap, r.target, r.won, r.n) for r in fitting.race_cells(spark, SMALL).collect()]
+    total, gap, target, won, n = (np.array(c, float) for c in zip(*rows))
+
+    def nll(scale, gamma):
+        p = 1 / (1 + np.exp(-(scale * total + gamma * gap)))
+        q, win = 1 - p, np.zeros_like(p)
+        for t in (11, 15):
+            at = target == t
+            a, b = p[at], q[at]
+            win[at] = sum(comb(t - 1 + k, k) * a**t * b**k for k in range(t - 1)) + comb(2 * t - 2, t - 1) * (a * b) ** (t - 1) * a * a / (a * a + b * b)
+        win = np.clip(win, 1e-9, 1 - 1e-9)
+        return -(won * np.log(win) + (n - won) * np.log(1 - win)).sum()
+
+    x, step = (0.0, 0.0), 0.2
+    while step > 1e-6:
+        near = [(x[0] + i * step, x[1] + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        best = min(near, key=lambda c: nll(*c))
+        x, step = best, step if best != x else step / 2
+    got = fitting.race_fit(spark, SMALL).first()
+    assert (got.scale, got.gamma) == pytest.approx(x, abs=1e-3) and got.nll == pytest.approx(nll(*x) / n.sum(), rel=1e-8)
+
+
+def test_simplex_of_three(spark):
+    rows = spark.range(50).select((F.col("id") / 10.0).alias("t"))
+    truth = [1.5, -0.7, 0.3]
+    loss = lambda x: F.pow(F.lit(truth[0] - x[0]) + (truth[1] - x[1]) * F.col("t") + F.lit(truth[2] - x[2]) * F.sin("t"), 2) + F.lit((x[0] - 1.5) ** 2)
+    x, least, _ = simplex.nelder_mead(rows, loss, [0.0, 0.0, 0.0], size=1.0, steps=200)
+    assert x == pytest.approx(truth, abs=1e-3) and least < 1e-5

@@ -87,3 +87,13 @@ def test_manifest(spark, tmp_path):
     df = spark.createDataFrame([(1,), (None,), (3,)], "k int")
     assert [tuple(r) for r in written_with_counts({"t": (df, "k")}, f"file://{tmp_path}").collect()] == [("t", 3, 1)]
     assert spark.read.parquet(f"file://{tmp_path}/t").count() == 3
+
+
+def test_nested_lineups(spark):
+    of = lambda name, *ids, **more: dict(zip(("teamOnePlayerOneUuid", "teamOnePlayerTwoUuid", "teamTwoPlayerOneUuid", "teamTwoPlayerTwoUuid"), ids), matchAbbreviation=name, **more)
+    one = {"matchupUuid": "F1", "matches": [of("WDG", "A", "B", "C", "D"), of("mxd1", "E", "F", "G", "H"), of("MD", "I", "J", "K", None), of("MXD2", "L", "M", "N", "O", isTieBreaker=True), of("WD", "P", "Q", "R", "S"), of("DB", "T", "U", "V", "W")]}
+    bodies = spark.createDataFrame([(json.dumps(one),), (json.dumps({"matchupUuid": "F2", "matches": []}),), (json.dumps({"matchupUuid": "F3"}),), ("not a document",), (None,)], "body string")
+    found = records.lineups(bodies)
+    assert sorted((r.fixture, r.slot, r.one, r.two) for r in found.collect()) == [("f1", "MXD1", ["e", "f"], ["g", "h"]), ("f1", "WD", ["p", "q"], ["r", "s"])]
+    seen = lambda who: sorted((r.slot, r.own, r.other) for r in records.turned(found.withColumn("who", F.lit(who)), "who").collect())
+    assert seen("h") == [("MXD1", ["g", "h"], ["e", "f"]), ("WD", ["r", "s"], ["p", "q"])] and seen("e")[0] == ("MXD1", ["e", "f"], ["g", "h"]) and seen("z") == []

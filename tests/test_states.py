@@ -161,13 +161,16 @@ def test_deciders(spark):
 
 
 def test_log_win_series(spark):
-    v = serve.serve_values(*serve_chances(0.0, 0.43), 11)
-    want = {}
+    rated = lambda u: u * 37 % 101 / 100 - 0.5
+    tables, want = {}, {}
     for r in log_rows(spark, SMALL).where("log_type = 12").collect():
         parts = r.start_string.split("-")
         if parts[0] != "x":
             own, other, number = map(int, parts)
             a, b = (own, other) if r.server_side == 0 else (other, own)
+            m = 4 * r.match_id
+            eta = round(rated(m) + rated(m + 1) - rated(m + 2) - rated(m + 3) + 1e-12, 1)
+            v = tables.setdefault(eta, serve.serve_values(*serve_chances(eta, 0.43), 11))
             want[r.log_index] = v[a, b, 2 * r.server_side + (number != 1)]
     got = {r.log_index: r.p for r in run(spark, "log_win_series")}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
