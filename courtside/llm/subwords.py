@@ -16,7 +16,7 @@ import numpy as np
 END_ID = 1
 VOCAB_FILE = "word_bpe_49k.json"
 #: Words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters of a text whose words are looked up at once.
 PART = 1_000_000
 
