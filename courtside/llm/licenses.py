@@ -67,7 +67,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     about = spark.createDataFrame([(n, label, base, len(ws) - (SHORT if base else LONG) + 1, len(ws)) for n, label, base, ws in _templates()], "tpl int, label string, base boolean, grams int, size int")
     votes = hit.groupBy("row", "doc_id", F.col("p.tpl").alias("tpl"), (i - F.col("p.pos")).alias("diagonal")).agg(
-        F.max("n_words").alias("n_words"), F.coalesce(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("p.pos"))), F.lit(0).cast("long")).alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+        F.max("n_words").alias("n_words"), F.coalesce(F.bit_or(F.expr("shiftleft(1L, p.pos)")), F.lit(0).cast("long")).alias("places"), F.min("i").alias("lo"), F.max("i").alias("hi"))
     votes = votes.join(F.broadcast(about), "tpl", "left")
     # neighbouring diagonals of a notice become one cluster
     by_diagonal = Window.partitionBy("row", "doc_id", "tpl").orderBy("diagonal")
