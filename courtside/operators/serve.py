@@ -195,3 +195,16 @@ def deciders(keys: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["ps", "plain", "frozen", "margin", "rallies"])
 
     return keys.select("ps").distinct().mapInPandas(solve, "ps array<double>, plain double, frozen double, margin double, rallies array<double>")
+
+
+def decider_scores(keys: DataFrame) -> DataFrame:
+    """keys: ps (array of four). (ps, a, b, chance) of each last score that a decider with freeze can end in; the chances of a decider sum to 1."""
+
+    def solve(batches):
+        for pdf in batches:
+            for ps in pdf["ps"]:
+                _, final, _ = decider(tuple(ps), True)
+                a, b = np.nonzero(final)
+                yield pd.DataFrame({"ps": [list(ps)] * len(a), "a": a, "b": b, "chance": final[a, b]})
+
+    return keys.select("ps").distinct().mapInPandas(solve, "ps array<double>, a int, b int, chance double")

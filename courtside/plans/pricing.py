@@ -170,10 +170,14 @@ def mixed_serve_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def first_server_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What serving first is worth between equals, for each target."""
-    zero = spark.range(1).select(F.lit(0.0).alias("eta"))
-    tables = [serve_table(zero, t).where("a = 0 and b = 0 and s in ('A2', 'B2')").agg((F.max(F.when(F.col("s") == "A2", F.col("v"))) - F.max(F.when(F.col("s") == "B2", F.col("v")))).alias("effect")).select(F.lit(t).alias("target"), "effect") for t in (11, 15)]
-    return tables[0].unionByName(tables[1])
+    """What serving first is worth to side 0 of each match, by the match's own difference (0 between equals), for each target."""
+    matches = log_rows(spark, sf_dir).select("match_id").distinct().withColumn("eta", match_eta(F.col("match_id")))
+    start = lambda s: F.max(F.when(F.col("s") == s, F.col("v")))
+    keys = matches.select("eta").union(spark.range(1).select(F.lit(0.0).alias("eta"))).distinct()
+    tables = [serve_table(keys, t).where("a = 0 and b = 0 and s in ('A2', 'B2')").groupBy("eta").agg((start("A2") - start("B2")).alias("effect")).withColumn("target", F.lit(t)) for t in (11, 15)]
+    effects = tables[0].unionByName(tables[1])
+    equal = effects.where("eta = 0").select("target", F.col("effect").alias("between_equals"))
+    return matches.join(F.broadcast(effects), "eta").join(F.broadcast(equal), "target").select("match_id", "eta", "target", "effect", "between_equals")
 
 
 @query(None)
@@ -184,12 +188,8 @@ def decider_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deciders(table(spark, sf_dir, "orders").select(F.transform(ps, lambda p: F.round(p, 6)).alias("ps")))
 
 
-@query(None)
-def log_win_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side 0's chance at the start of each rally that the log tells readably, by the match's own difference: its players' ratings, to a tenth.
-
-    Players are rated from -0.5 to 0.5, so there are 41 differences at most and 41 x 676 states, which are broadcast.
-    """
+def log_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_id, log_index, rally, eta, a, b, s: the state at the start of each rally that the log tells readably, from side 0; eta is the match's own difference, to a tenth."""
     from pyspark.sql.window import Window
 
     said = F.split("start_string", "-")
@@ -199,11 +199,25 @@ def log_win_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = rows.select(
         "match_id", "log_index", F.when(first, F.col("own")).otherwise(F.col("other")).alias("a"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("b"),
         F.concat(F.when(first, "A").otherwise("B"), F.when(F.col("number") == 1, "1").otherwise("2")).alias("s"), F.row_number().over(Window.partitionBy("match_id").orderBy("log_index")).alias("rally"))
-    at = at.withColumn("eta", match_eta(F.col("match_id")))
+    return at.withColumn("eta", match_eta(F.col("match_id")))
+
+
+@query(None)
+def log_win_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side 0's chance at the start of each rally that the log tells readably, by the match's own difference: its players' ratings, to a tenth.
+
+    Players are rated from -0.5 to 0.5, so there are 41 differences at most and 41 x 676 states, which are broadcast.
+    """
+    at = log_states(spark, sf_dir)
     states = serve_table(at.select("eta").distinct(), 11).select("eta", "a", "b", "s", "v")
     return at.join(F.broadcast(states), ["eta", "a", "b", "s"], "left").select("match_id", "log_index", "rally", "eta", "a", "b", "s", F.coalesce("v", F.lit(0.5)).alias("p"))
 
 
+def match_gap(match_id):
+    """A match's difference in logits: users 4m and 4m + 1 against the next two."""
+    return sum((s * rating(match_id * 4 + i) for i, s in enumerate((1, 1, -1, -1))), F.lit(0.0))
+
+
 def match_eta(match_id):
-    """A match's difference in tenths of a logit: users 4m and 4m + 1 against the next two."""
-    return F.round(sum((s * rating(match_id * 4 + i) for i, s in enumerate((1, 1, -1, -1))), F.lit(0.0)), 1) + 0.0
+    """The same in tenths of a logit, for tables of few differences."""
+    return F.round(match_gap(match_id), 1) + 0.0

@@ -115,9 +115,15 @@ def test_mixed_serve_states(spark):
 
 
 def test_first_server(spark):
-    for r in run(spark, "first_server_effect"):
-        v = serve.serve_values(0.43, 0.43, r.target)
-        assert r.effect == pytest.approx(v[0, 0, 1] - v[0, 0, 3], abs=1e-9)
+    def effect(eta, target):
+        v = serve.serve_values(*serve_chances(eta, 0.43), target)
+        return v[0, 0, 1] - v[0, 0, 3]
+
+    rows = run(spark, "first_server_effect")
+    matches = {r.match_id for r in log_rows(spark, SMALL).select("match_id").distinct().collect()}
+    assert sorted((r.match_id, r.target) for r in rows) == sorted((m, t) for m in matches for t in (11, 15))
+    for r in rows:
+        assert r.effect == pytest.approx(effect(r.eta, r.target), abs=1e-9) and r.between_equals == pytest.approx(effect(0.0, r.target), abs=1e-9)
 
 
 def test_deciders(spark):
