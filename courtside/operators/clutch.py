@@ -1,4 +1,4 @@
-"""Whether servers win more of the rallies that matter: leverage within a game against what was won beyond expectation."""
+"""Traits and whether they are more than chance: servers in rallies that matter, players against strong opponents."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -41,12 +41,35 @@ def clutch_scores(rows: DataFrame, least: int = 300) -> DataFrame:
     return s.select("server", "n", "clutch", "null_sd", F.when(F.col("null_sd") > 0, F.col("clutch") / F.col("null_sd")).otherwise(0.0).alias("z"), "half1", "half2")
 
 
-def clutch_summary(scores: DataFrame, least: int = 11) -> DataFrame:
-    """One row for scores with their server's `value`: players, mean and variance of z, likeness of halves, likeness to value, and the variance of z when the line on value is taken out; the last three from `least` players on."""
+def trait_summary(scores: DataFrame, score: str, least: int = 11) -> DataFrame:
+    """One row for scores (score, null_sd, z, half1, half2 and their player's `value`): players, mean and variance of z (more than 1 is more than chance), likeness
+    of halves, likeness to value and trend by it, and the variance of z and the likeness of halves when the line on value is taken out; from the third on for `least` players and more.
+    """
     line = scores.agg(
         F.count("*").alias("players"), F.avg("z").alias("z_mean"), F.var_pop("z").alias("z_var"), F.regr_count("half1", "half2").alias("_h"), F.corr("half1", "half2").alias("_r"),
-        F.corr("value", "clutch").alias("_v"), F.regr_slope("clutch", "value").alias("_b"), F.regr_intercept("clutch", "value").alias("_a"))
-    left = F.when(F.col("null_sd") > 0, (F.col("clutch") - F.col("_a") - F.col("_b") * F.col("value")) / F.col("null_sd"))
-    rest = scores.join(F.broadcast(line.select("_a", "_b")), how="cross").agg(F.var_pop(left).alias("_rest"))  # one row beside each
-    enough = F.col("players") >= least
-    return line.join(rest, how="cross").select("players", "z_mean", "z_var", F.when(F.col("_h") >= least, F.col("_r")).alias("half_r"), F.when(enough, F.col("_v")).alias("value_r"), F.when(enough, F.col("_rest")).alias("z_var_rest"))
+        F.corr("value", score).alias("_v"), F.regr_slope(score, "value").alias("_b"), F.regr_intercept(score, "value").alias("_a"))
+    fitted = F.col("_a") + F.col("_b") * F.col("value")
+    left = F.when(F.col("null_sd") > 0, (F.col(score) - fitted) / F.col("null_sd"))
+    rest = scores.join(F.broadcast(line.select("_a", "_b")), how="cross").agg(F.var_pop(left).alias("_z"), F.corr(F.col("half1") - fitted, F.col("half2") - fitted).alias("_hr"))  # one row beside each
+    enough = lambda c, n="players": F.when(F.col(n) >= least, F.col(c))
+    return line.join(rest, how="cross").select("players", "z_mean", "z_var", enough("_r", "_h").alias("half_r"), enough("_v").alias("value_r"), enough("_b").alias("trend"), enough("_z").alias("z_var_rest"), enough("_hr", "_h").alias("half_r_rest"))
+
+
+def durability_scores(rows: DataFrame, least: int = 100, flat: float = 1e-6) -> DataFrame:
+    """player, n, slope of y on x, null_sd, z, half1 and half2 (slopes of the earlier and the later half, the odd row to the later), for players with `least` rows whose x vary.
+
+    rows: player, x, y, and half (1 or 2). null_sd is the slope's deviation when the y of a player are dealt anew, in closed form over all deals: the root of
+    (squares of y about its mean) / (those of x) / (n - 1). So nothing is drawn and rows are summed before the shuffle. Slopes of halves whose x don't vary are null.
+    """
+    one = lambda v, h: F.when(F.col("half") == h, v)
+    x, y = F.col("x"), F.col("y")
+    terms = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
+    sums = {f"{k}{h}": F.sum(one(e, h)) for h in (1, 2) for k, e in terms.items()}
+    s = rows.groupBy("player").agg(*(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sums.items()))
+    whole = lambda k: F.col(f"{k}1") + F.col(f"{k}2")
+    part = lambda h: (lambda k: F.col(f"{k}{h}"))
+    about = lambda of, a, b: of(a + b) - of(a) * of(b) / of("n")
+    slope = lambda of: F.when((of("n") > 0) & (about(of, "x", "x") > 1e-9), about(of, "x", "y") / about(of, "x", "x"))
+    s = s.where((whole("n") >= least) & (about(whole, "x", "x") / whole("n") >= flat * flat))
+    s = s.select("player", whole("n").cast("long").alias("n"), slope(whole).alias("slope"), F.sqrt(F.greatest(about(whole, "y", "y"), F.lit(0.0)) / about(whole, "x", "x") / (whole("n") - 1)).alias("null_sd"), slope(part(1)).alias("half1"), slope(part(2)).alias("half2"))
+    return s.select("player", "n", "slope", "null_sd", F.when(F.col("null_sd") > 0, F.col("slope") / F.col("null_sd")).otherwise(0.0).alias("z"), "half1", "half2")

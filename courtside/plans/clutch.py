@@ -1,17 +1,18 @@
-"""Big rallies, odds split by serve, scores of deciders, and draws that are no knockout."""
+"""Big rallies and strong opponents, odds split by serve, scores of deciders, and draws that are no knockout."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.functions.probability import serve_chances
-from courtside.operators.clutch import clutch_scores, clutch_summary, leveraged
+from courtside.functions.probability import SIGMOID, serve_chances, sigmoid
+from courtside.operators.clutch import clutch_scores, durability_scores, leveraged, trait_summary
+from courtside.operators.ranks import ranked_within
 from courtside.operators.serve import decider_scores, serve_table
 from courtside.plans.pricing import log_states, match_gap
 from courtside.registry import query
 from courtside.sources.logs import LOGS, POINT, log_rows
-from courtside.sources.tables import RATING, rating, table
+from courtside.sources.tables import GAMES, RATING, games, rating, table
 
 
 def _scores(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
@@ -29,7 +30,7 @@ def clutch(spark: SparkSession, sf_dir: str, least: int = 10) -> DataFrame:
 @query(None)
 def clutch_spread(spark: SparkSession, sf_dir: str, least: int = 10) -> DataFrame:
     """Whether the scores of `clutch` say anything: their variance, halves against each other, and what their servers' values leave of it."""
-    return clutch_summary(_scores(spark, sf_dir, least).withColumn("value", rating(F.substring("server", 2, 20).cast("long"))))
+    return trait_summary(_scores(spark, sf_dir, least).withColumn("value", rating(F.substring("server", 2, 20).cast("long"))), "clutch")
 
 
 _GAP = "(" + " + ".join(f"{s} * {RATING.format(p=f'(match_id * 4 + {i})')}" for i, s in enumerate((1, 1, -1, -1))) + ")"
@@ -70,3 +71,57 @@ def draw_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.coalesce(F.col("o_orderpriority").isin(*KNOCKOUT), F.lit(False))
     d = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("draw")).agg(F.count("*").alias("n"), F.count_if(known).alias("known"), F.count_distinct(F.col("o_orderkey") % 16).alias("entrants"))
     return d.withColumn("kind", F.when(F.col("entrants") < 4, "few").when(F.col("known") * 2 < F.col("n"), "groups").otherwise("knockout"))
+
+
+#: What a pair's difference adds to its sum, and a stand-in for what a pair has beyond that.
+GAMMA = -0.2
+
+
+def bond(x, y):
+    return (F.least(x, y) * 7 + F.greatest(x, y) * 3) % 11 / F.lit(100.0) - F.lit(0.05)
+
+
+_BOND = "((least({x}, {y}) * 7 + greatest({x}, {y}) * 3) % 11 / 100.0 - 0.05)"
+
+
+def _team(x, y):
+    return rating(x) + rating(y) + GAMMA * F.abs(rating(x) - rating(y))
+
+
+_TEAM = f"({RATING.format(p='{x}')} + {RATING.format(p='{y}')} - 0.2 * abs({RATING.format(p='{x}')} - {RATING.format(p='{y}')}))"
+_SIDES = ({"x": "a1", "y": "a2"}, {"x": "b1", "y": "b2"})
+_GAP_SQL = "round(t1 - t2 + " + _BOND.format(**_SIDES[0]) + " - " + _BOND.format(**_SIDES[1]) + ", 9)"
+_MOMENTS = "count(*) n, covar_pop(x, y) / nullif(var_pop(x), 0) slope, var_pop(x) vx, var_pop(y) vy, regr_slope(y, x) filter (where half = 1) half1, regr_slope(y, x) filter (where half = 2) half2"
+_DURABILITY = f"""{GAMES}, tv as (select *, {_TEAM.format(**_SIDES[0])} t1, {_TEAM.format(**_SIDES[1])} t2 from games where not is_forfeit), rs as (select *, s1 / (s1 + s2) - {SIGMOID.format(x=_GAP_SQL)} r from tv),
+st as (select avg(t) mu, stddev_pop(t) sd from (select t1 t from tv union all select t2 from tv)),
+pr as (select a1 player, 1 slot, t2 opp, r y, "date", gid, s1, s2 from rs union all select a2, 2, t2, r, "date", gid, s1, s2 from rs union all select b1, 3, t1, -r, "date", gid, s1, s2 from rs union all select b2, 4, t1, -r, "date", gid, s1, s2 from rs),
+hv as (select player, (opp - mu) / sd x, y, case when row_number() over (partition by player order by "date", gid, slot, s1, s2) <= count(*) over (partition by player) // 2 then 1 else 2 end half from pr, st),
+du as (select *, sqrt(vy / vx / (n - 1)) null_sd from (select player, {_MOMENTS} from hv group by player) where n >= 60 and vx >= 1e-12)"""
+
+
+def _durability(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    g = games(spark, sf_dir).where(~F.col("is_forfeit")).withColumns({"t1": _team(F.col("a1"), F.col("a2")), "t2": _team(F.col("b1"), F.col("b2"))})
+    strength = g.agg(F.sum(F.col("t1") + F.col("t2")).alias("s"), F.sum(F.col("t1") * F.col("t1") + F.col("t2") * F.col("t2")).alias("ss"), (2 * F.count("*")).alias("n"))
+    strength = strength.select((F.col("s") / F.col("n")).alias("mu"), F.sqrt(F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)).alias("sd"))
+    gap = F.round(F.col("t1") - F.col("t2") + bond(F.col("a1"), F.col("a2")) - bond(F.col("b1"), F.col("b2")), 9)
+    r = F.col("s1") / (F.col("s1") + F.col("s2")) - sigmoid(gap)
+    seen = F.array(*(F.struct(F.col(p).alias("player"), F.lit(k).alias("slot"), F.col(opp).alias("opp"), (r * sign).alias("y")) for k, (p, opp, sign) in enumerate((("a1", "t2", 1), ("a2", "t2", 1), ("b1", "t1", -1), ("b2", "t1", -1)), 1)))
+    rows = ranked_within(g.select("date", "gid", "s1", "s2", F.inline(seen)), ["player"], ["date", "gid", "slot", "s1", "s2"], "_i", "_n")
+    rows = rows.join(F.broadcast(strength), how="cross").select("player", ((F.col("opp") - F.col("mu")) / F.col("sd")).alias("x"), "y", F.when(F.expr("_i <= _n div 2"), 1).otherwise(2).alias("half"))  # one row beside each
+    return durability_scores(rows, least)
+
+
+@query(f"with {_DURABILITY} select player, n, round(slope, 6) slope, round(null_sd, 6) null_sd, round(slope / null_sd, 4) z, round(half1, 6) half1, round(half2, 6) half2 from du")
+def durability(spark: SparkSession, sf_dir: str, least: int = 60) -> DataFrame:
+    """How players' results beyond expectation go with the opponents' strength, against the exact spread under new deals, and in the earlier and the later half of their games."""
+    s = _durability(spark, sf_dir, least)
+    return s.select("player", "n", *(F.round(c, d).alias(c) for c, d in (("slope", 6), ("null_sd", 6), ("z", 4), ("half1", 6), ("half2", 6))))
+
+
+@query(f"""with {_DURABILITY}, v as (select *, slope / null_sd z, {RATING.format(p='player')} as val from du), l as (select regr_slope(slope, val) b, regr_intercept(slope, val) a from v)
+select count(*) players, round(avg(z), 5) z_mean, round(var_pop(z), 5) z_var, round(corr(half1, half2), 5) half_r, round(corr(val, slope), 5) value_r, round(any_value(b), 5) trend,
+round(var_pop((slope - a - b * val) / null_sd), 5) z_var_rest, round(corr(half1 - a - b * val, half2 - a - b * val), 5) half_r_rest from v, l""")
+def durability_spread(spark: SparkSession, sf_dir: str, least: int = 60) -> DataFrame:
+    """Whether the slopes of `durability` say anything: more spread than by chance, halves that agree, and what is left when players' own values are taken out."""
+    s = trait_summary(_durability(spark, sf_dir, least).withColumn("value", rating(F.col("player"))), "slope")
+    return s.select("players", *(F.round(c, 5).alias(c) for c in s.columns[1:]))

@@ -9,7 +9,7 @@ import pytest
 
 from courtside import catalog
 from courtside.operators import serve
-from courtside.operators.clutch import clutch_scores, clutch_summary
+from courtside.operators.clutch import clutch_scores, durability_scores, trait_summary
 from courtside.sources.logs import log_rows
 
 from .conftest import SMALL
@@ -76,16 +76,31 @@ def test_spread_is_that_of_all_deals(spark):
 def test_summary(spark):
     scores = [(f"p{i}", i * 0.01 - 0.05 + (i % 3) * 0.02, 0.02 + i % 2 * 0.01, (i % 4) * 0.1, (i % 5) * 0.1 if i else None, i * 0.1) for i in range(14)]
     df = spark.createDataFrame([(s, c, n, c / n, a, b, v) for s, c, n, a, b, v in scores], "server string, clutch double, null_sd double, z double, half1 double, half2 double, value double")
-    r = clutch_summary(df).first()
+    r = trait_summary(df, "clutch").first()
     z = [c / n for _, c, n, *_ in scores]
     line = statistics.linear_regression([x[5] for x in scores], [x[1] for x in scores])
     rest = [(c - line.intercept - line.slope * v) / n for _, c, n, _, _, v in scores]
     halves = [(a, b) for *_, a, b, _ in scores if b is not None]
     assert r.players == 14 and r.z_mean == pytest.approx(statistics.fmean(z)) and r.z_var == pytest.approx(statistics.pvariance(z)) and r.z_var_rest == pytest.approx(statistics.pvariance(rest))
     assert r.half_r == pytest.approx(statistics.correlation(*zip(*halves))) and r.value_r == pytest.approx(statistics.correlation([x[1] for x in scores], [x[5] for x in scores]))
-    few = clutch_summary(df.limit(5)).first()
+    assert r.trend == pytest.approx(line.slope)
+    fit = [line.intercept + line.slope * x[5] for x in scores]
+    apart = [(x[3] - f, x[4] - f) for x, f in zip(scores, fit) if x[4] is not None]
+    assert r.half_r_rest == pytest.approx(statistics.correlation(*zip(*apart)))
+    few = trait_summary(df.limit(5), "clutch").first()
     assert few.players == 5 and few.half_r is few.value_r is few.z_var_rest is None
-    assert clutch_summary(df.limit(0)).first().players == 0
+    assert trait_summary(df.limit(0), "clutch").first().players == 0
+
+
+def test_durability_spread_is_that_of_all_deals(spark):
+    x, y = [0.5, -1.2, 2.0, 0.1, -0.4, 0.5], [0.1, -0.2, 0.3, 0.05, 0.0, -0.1]
+    rows = [("p", a, b, 1 + (i >= 3)) for i, (a, b) in enumerate(zip(x, y))] + [("same", 1.0, b, 1) for b in y] + [("few", a, b, 2) for a, b in zip(x[:2], y)] + [("half", a, b, 1 if a == 0.5 else 2) for a, b in zip(x, y)]
+    got = {r.player: r for r in durability_scores(spark.createDataFrame(rows, "player string, x double, y double, half int"), least=3).collect()}
+    deals = [statistics.linear_regression(x, p).slope for p in itertools.permutations(y)]
+    assert got.keys() == {"p", "half"} and got["p"].n == 6
+    assert got["p"].null_sd == pytest.approx(statistics.pstdev(deals)) and got["p"].slope == pytest.approx(statistics.linear_regression(x, y).slope) and got["p"].z == pytest.approx(got["p"].slope / statistics.pstdev(deals))
+    assert got["p"].half1 == pytest.approx(statistics.linear_regression(x[:3], y[:3]).slope) and got["p"].half2 == pytest.approx(statistics.linear_regression(x[3:], y[3:]).slope)
+    assert got["half"].half1 is None
 
 
 def test_decider_scores(spark):
