@@ -7,8 +7,8 @@ from courtside.registry import query
 from courtside.functions.probability import logit, normal_cdf, race_win, sigmoid
 from courtside.operators import effects, refits, simplex
 from courtside.operators.fits import keyed_newton
+from courtside.operators.resampling import resampled_sums
 from courtside.plans.aggregates import forecasts
-from courtside.plans.models import _M, _POISSON_SQL, mixed
 from courtside.sources.storage import written
 from courtside.sources.tables import games, rating
 
@@ -60,10 +60,7 @@ def yearly_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resampled(cells: DataFrame, reps: int) -> DataFrame:
     """keyed cells of `reps` resamples of whole matches, by Poisson weights that are hashes of (match, rep). cells: match_id, x0, x1, x2, won, n."""
-    whole = cells.groupBy("match_id").agg(F.collect_list(F.struct("x0", "x1", "x2", "won", "n")).alias("own"))  # a match's games
-    drawn = whole.select("match_id", "own", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("key"))
-    drawn = drawn.withColumn("u", mixed(F.col("match_id") % _M, F.col("key").cast("long")) / float(_M)).withColumn("k", F.expr(_POISSON_SQL)).where("k > 0")
-    return drawn.select("key", "k", F.inline("own")).groupBy("key", "x0", "x1", "x2").agg(F.sum(F.col("k") * F.col("won")).alias("won"), F.sum(F.col("k") * F.col("n")).alias("n"))
+    return resampled_sums(cells, "match_id", ["x0", "x1", "x2"], ["won", "n"], reps)
 
 
 @query(None)

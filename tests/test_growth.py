@@ -1,7 +1,11 @@
 """What larger tables need: nothing dear is done once a row, sorted whole or moved more often than it must."""
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courtside import catalog
+from courtside.operators import resampling
+from courtside.plans.models import _M, mixed
 
 from .conftest import SMALL
 
@@ -13,3 +17,19 @@ def plan(spark, name, sf_dir=SMALL):
 @pytest.mark.parametrize("name", ["upset_band", "day_summary"])
 def test_races_are_not_played_for_every_game(spark, name):
     assert "aggregate(" not in plan(spark, name) and "lambda" not in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["resampled_fit", "paired_bootstrap", "permutation_null"])
+def test_rows_are_not_repeated_for_each_repetition(spark, name, monkeypatch):
+    from courtside.plans import fitting
+
+    seen = []
+    monkeypatch.setattr(fitting, "keyed_newton", lambda cells: seen.append(cells) or cells.selectExpr("key", "won as b0", "won as b1", "won as b2"))
+    assert "sequence(" not in plan(spark, name) and "explode(" not in plan(spark, name)
+
+
+def test_hashes_equal_those_of_spark(spark):
+    keys, reps = np.array([0, 1, 77, 2**31 - 1, 2**31 + 5, 2**40 + 3]), np.array([0, 1, 1999])
+    rows = spark.createDataFrame([(i, j, int(k), int(r)) for i, k in enumerate(keys) for j, r in enumerate(reps)], "i int, j int, k long, r long")
+    want = {(r.i, r.j): r.h for r in rows.select("i", "j", mixed(F.col("k") % _M, F.col("r")).alias("h")).collect()}
+    assert want == {(i, j): int(h) for i, row in enumerate(resampling.hashes(keys, reps)) for j, h in enumerate(row)}
