@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from courtside import catalog
 from courtside.operators import resampling
 from courtside.plans.models import _M, mixed
+from courtside.sources import tables
 
 from .conftest import SMALL
+from .oracle import same
 
 
 def plan(spark, name, sf_dir=SMALL):
@@ -33,3 +35,14 @@ def test_hashes_equal_those_of_spark(spark):
     rows = spark.createDataFrame([(i, j, int(k), int(r)) for i, k in enumerate(keys) for j, r in enumerate(reps)], "i int, j int, k long, r long")
     want = {(r.i, r.j): r.h for r in rows.select("i", "j", mixed(F.col("k") % _M, F.col("r")).alias("h")).collect()}
     assert want == {(i, j): int(h) for i, row in enumerate(resampling.hashes(keys, reps)) for j, h in enumerate(row)}
+
+
+@pytest.mark.parametrize("name", ["games_unpivot", "running_games", "standings_full", "record_lists"])
+def test_more_games_are_more_parts(spark, name, monkeypatch):
+    monkeypatch.setattr(tables, "PART_BYTES", 1000)
+    assert "RepartitionByExpression [l_orderkey" in plan(spark, name)
+    same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLE_SQL[name], SMALL)
+
+
+def test_first_games_are_found_by_hash(spark):
+    assert "min(struct(" not in plan(spark, "first_seen_index") and "named_struct(date" not in plan(spark, "first_seen_index")
