@@ -46,3 +46,8 @@ def test_more_games_are_more_parts(spark, name, monkeypatch):
 
 def test_first_games_are_found_by_hash(spark):
     assert "min(struct(" not in plan(spark, "first_seen_index") and "named_struct(date" not in plan(spark, "first_seen_index")
+
+
+def test_pools_are_sorted_in_ranges(spark):
+    for name in ("elo", "elo_steps"):
+        assert "RepartitionByExpression [context" in plan(spark, name) and "date#" in plan(spark, name).split("MapInPandas")[-1].split("RepartitionByExpression")[1].split("\n")[0]
