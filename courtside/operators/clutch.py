@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from courtside.operators.ranks import ranked_within
 from courtside.operators.serve import leverage
+from courtside.sources.storage import written
 
 
 def leveraged(rallies: DataFrame, states: DataFrame, group: list[str], flat: float = 1e-9) -> DataFrame:
@@ -55,6 +56,32 @@ def trait_summary(scores: DataFrame, score: str, least: int = 11) -> DataFrame:
     return line.join(rest, how="cross").select("players", "z_mean", "z_var", enough("_r", "_h").alias("half_r"), enough("_v").alias("value_r"), enough("_b").alias("trend"), enough("_z").alias("z_var_rest"), enough("_hr", "_h").alias("half_r_rest"))
 
 
+#: Sums of a player's rows: how many, opponents' strength, results, their squares and their product.
+SUMS = {"n": "1D", "o": "opp", "y": "y", "oo": "opp * opp", "yy": "y * y", "oy": "opp * y"}
+
+
+def summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*(F.sum(F.expr(e)).alias(k) for k, e in SUMS.items()))
+
+
+def month_halves(months: DataFrame) -> DataFrame:
+    """months (summed by player and month) with half: 1 or 2 where a month lies wholly in the earlier or the later half of its player's rows, null where the halves meet in it, and take: how many of its rows are of the earlier one."""
+    own = Window.partitionBy("player")  # a row a month
+    before = F.sum("n").over(own.orderBy("month")) - F.col("n")
+    d = months.withColumn("take", F.floor(F.sum("n").over(own) / 2) - before)
+    return d.withColumn("half", F.when(F.col("take") >= F.col("n"), 1).when(F.col("take") <= 0, 2))
+
+
+def standard_halves(parts: DataFrame) -> DataFrame:
+    """slopes()' sums of parts (player, half, and SUMS): x is the opponents' strength in deviations from the mean of all rows."""
+    by = written(parts.groupBy("player", "half").agg(*(F.sum(k).alias(k) for k in SUMS)), "halves")
+    mean = F.sum("o") / F.sum("n")
+    line = by.agg(mean.alias("mu"), F.sqrt(F.sum("oo") / F.sum("n") - mean * mean).alias("sd"))
+    at = by.join(F.broadcast(line), how="cross")  # one row beside each
+    x = {"n": "n", "x": "(o - n * mu) / sd", "y": "y", "xx": "(oo - 2 * mu * o + n * mu * mu) / (sd * sd)", "yy": "yy", "xy": "(oy - mu * y) / sd"}
+    return at.groupBy("player").agg(*(F.coalesce(F.sum(F.when(F.col("half") == h, F.expr(e))), F.lit(0.0)).alias(f"{k}{h}") for h in (1, 2) for k, e in x.items()))
+
+
 def durability_scores(rows: DataFrame, least: int = 100, flat: float = 1e-6) -> DataFrame:
     """player, n, slope of y on x, null_sd, z, half1 and half2 (slopes of the earlier and the later half, the odd row to the later), for players with `least` rows whose x vary.
 
@@ -65,7 +92,11 @@ def durability_scores(rows: DataFrame, least: int = 100, flat: float = 1e-6) ->
     x, y = F.col("x"), F.col("y")
     terms = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "yy": y * y, "xy": x * y}
     sums = {f"{k}{h}": F.sum(one(e, h)) for h in (1, 2) for k, e in terms.items()}
-    s = rows.groupBy("player").agg(*(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sums.items()))
+    return slopes(rows.groupBy("player").agg(*(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in sums.items())), least, flat)
+
+
+def slopes(s: DataFrame, least: int, flat: float = 1e-6) -> DataFrame:
+    """durability_scores() of sums by player: n, x, y, xx, yy and xy of each half (n1, n2, ...)."""
     whole = lambda k: F.col(f"{k}1") + F.col(f"{k}2")
     part = lambda h: (lambda k: F.col(f"{k}{h}"))
     about = lambda of, a, b: of(a + b) - of(a) * of(b) / of("n")

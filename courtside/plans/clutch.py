@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtside.functions.probability import SIGMOID, serve_chances, sigmoid
-from courtside.operators.clutch import clutch_scores, durability_scores, leveraged, trait_summary
+from courtside.operators.clutch import SUMS, clutch_scores, leveraged, month_halves, slopes, standard_halves, summed, trait_summary
 from courtside.operators.ranks import ranked_within
 from courtside.operators.serve import decider_scores, serve_table
 from courtside.plans.pricing import log_states, match_gap
 from courtside.registry import query
 from courtside.sources.logs import LOGS, POINT, log_rows
+from courtside.sources.storage import written
 from courtside.sources.tables import GAMES, RATING, games, rating, table
 
 
@@ -99,16 +100,26 @@ hv as (select player, (opp - mu) / sd x, y, case when row_number() over (partiti
 du as (select *, sqrt(vy / vx / (n - 1)) null_sd from (select player, {_MOMENTS} from hv group by player) where n >= 60 and vx >= 1e-12)"""
 
 
-def _durability(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    g = games(spark, sf_dir).where(~F.col("is_forfeit")).withColumns({"t1": _team(F.col("a1"), F.col("a2")), "t2": _team(F.col("b1"), F.col("b2"))})
-    strength = g.agg(F.sum(F.col("t1") + F.col("t2")).alias("s"), F.sum(F.col("t1") * F.col("t1") + F.col("t2") * F.col("t2")).alias("ss"), (2 * F.count("*")).alias("n"))
-    strength = strength.select((F.col("s") / F.col("n")).alias("mu"), F.sqrt(F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)).alias("sd"))
+def _seen(g: DataFrame) -> DataFrame:
+    """Four rows a game: player, slot, the opponents' strength and the result beyond expectation, and by what a player's games are ordered."""
+    g = g.withColumns({"t1": _team(F.col("a1"), F.col("a2")), "t2": _team(F.col("b1"), F.col("b2"))})
     gap = F.round(F.col("t1") - F.col("t2") + bond(F.col("a1"), F.col("a2")) - bond(F.col("b1"), F.col("b2")), 9)
-    r = F.col("s1") / (F.col("s1") + F.col("s2")) - sigmoid(gap)
-    seen = F.array(*(F.struct(F.col(p).alias("player"), F.lit(k).alias("slot"), F.col(opp).alias("opp"), (r * sign).alias("y")) for k, (p, opp, sign) in enumerate((("a1", "t2", 1), ("a2", "t2", 1), ("b1", "t1", -1), ("b2", "t1", -1)), 1)))
-    rows = ranked_within(g.select("date", "gid", "s1", "s2", F.inline(seen)), ["player"], ["date", "gid", "slot", "s1", "s2"], "_i", "_n")
-    rows = rows.join(F.broadcast(strength), how="cross").select("player", ((F.col("opp") - F.col("mu")) / F.col("sd")).alias("x"), "y", F.when(F.expr("_i <= _n div 2"), 1).otherwise(2).alias("half"))  # one row beside each
-    return durability_scores(rows, least)
+    g = g.withColumn("r", F.col("s1") / (F.col("s1") + F.col("s2")) - sigmoid(gap))  # once a game, not once a player
+    seen = F.array(*(F.struct(F.col(p).alias("player"), F.lit(k).alias("slot"), F.col(opp).alias("opp"), (F.col("r") * sign).alias("y")) for k, (p, opp, sign) in enumerate((("a1", "t2", 1), ("a2", "t2", 1), ("b1", "t1", -1), ("b2", "t1", -1)), 1)))
+    return g.select("month", "date", "gid", "s1", "s2", F.inline(seen))
+
+
+def _durability(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """Games are written once and summed by player and month; only those of a month in which a player's halves meet are ranked one by one."""
+    month = F.year("date") * 12 + F.month("date")
+    g = written(games(spark, sf_dir).where(~F.col("is_forfeit")).select(month.alias("month"), "date", "gid", "a1", "a2", "b1", "b2", "s1", "s2"), "games")
+    months = written(month_halves(summed(_seen(g), "player", "month")), "months")
+    meet = months.where("half is null").select(F.col("player").alias("p"), F.col("month").alias("m"), "take")  # a row a player
+    few = g.join(F.broadcast(meet.select("m").distinct()), F.col("month").eqNullSafe(F.col("m")), "left_semi")
+    rows = _seen(few).join(F.broadcast(meet), F.col("player").eqNullSafe(F.col("p")) & F.col("month").eqNullSafe(F.col("m")))
+    rows = ranked_within(rows.select("player", "date", "gid", "slot", "s1", "s2", "opp", "y", "take"), ["player"], ["date", "gid", "slot", "s1", "s2"], "_i").withColumn("half", F.when(F.col("_i") <= F.col("take"), 1).otherwise(2))
+    parts = months.where("half is not null").select("player", "half", *SUMS).unionByName(summed(rows, "player", "half"))
+    return slopes(standard_halves(parts), least)
 
 
 @query(f"with {_DURABILITY} select player, n, round(slope, 6) slope, round(null_sd, 6) null_sd, round(slope / null_sd, 4) z, round(half1, 6) half1, round(half2, 6) half2 from du")

@@ -9,7 +9,7 @@ import pytest
 
 from courtside import catalog
 from courtside.operators import serve
-from courtside.operators.clutch import clutch_scores, durability_scores, trait_summary
+from courtside.operators.clutch import clutch_scores, durability_scores, month_halves, summed, trait_summary
 from courtside.sources.logs import log_rows
 
 from .conftest import SMALL
@@ -126,3 +126,11 @@ def test_decider_scores(spark):
             return p * to(a + 1, b, 0, a + 1 >= serve.DECIDER and a - b >= 1, 0) + (1 - p) * to(a, b + 1, 1, b + 1 >= serve.DECIDER and b - a >= 1, 1)
 
         assert sum(a * b * p for (a, b), p in by[ps].items()) == pytest.approx((value(0, 0, 0) + value(0, 0, 1)) / 2, abs=1e-7)
+
+
+def test_halves_that_meet_in_a_month(spark):
+    """An odd row is of the later half; a month is cut where the halves meet in it, and one that ends with the earlier half is not."""
+    rows = [("a", 1, 1.0, 0.5), ("a", 1, 2.0, 0.1), ("a", 2, 3.0, 0.2), ("a", 2, 5.0, 0.9), ("a", 3, 4.0, 0.3), ("b", 7, 1.0, 0.1), ("b", 8, 2.0, 0.2)] + [("c", 4, float(k), 0.0) for k in range(5)]
+    sums = summed(spark.createDataFrame(rows, "player string, month int, opp double, y double"), "player", "month")
+    got = {(r.player, r.month): (r.half, r.take) for r in month_halves(sums).collect()}
+    assert {k: h for k, (h, _) in got.items()} == {("a", 1): 1, ("a", 2): 2, ("a", 3): 2, ("b", 7): 1, ("b", 8): 2, ("c", 4): None} and got["c", 4][1] == 2

@@ -51,3 +51,14 @@ def test_first_games_are_found_by_hash(spark):
 def test_pools_are_sorted_in_ranges(spark):
     for name in ("elo", "elo_steps"):
         assert "RepartitionByExpression [context" in plan(spark, name) and "date#" in plan(spark, name).split("MapInPandas")[-1].split("RepartitionByExpression")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["durability", "durability_spread"])
+def test_only_games_where_halves_meet_are_ranked(spark, name, monkeypatch):
+    from courtside.plans import clutch
+
+    seen, ranked = [], clutch.ranked_within
+    monkeypatch.setattr(clutch, "ranked_within", lambda rows, *a: seen.append(rows) or ranked(rows, *a))
+    same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLE_SQL[name], SMALL)
+    every = 4 * tables.games(spark, SMALL).where("not is_forfeit").count()
+    assert 0 < seen[0].count() * 10 < every
