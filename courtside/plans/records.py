@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 from courtside.registry import query
 from courtside.operators import records
 from courtside.sources.storage import fresh_path, load_days, newest_by_key, quarantined, upserted, written_with_counts
-from courtside.sources.tables import table
+from courtside.sources.tables import stored, table
 
 _NAMES = {1: "One", 2: "Two", 3: "Three", 4: "Four", 5: "Five"}
 _TITLES = ("Womens pairs, draw: main", "Mens pairs, draw: second", "Mixed pairs, draw: main", "Alone", "Mixed pairs, draw: third")
@@ -45,12 +45,22 @@ def _camel() -> dict:
     return dict(_fields(), matchAbbreviation=_pick(_ABBREVIATIONS, k), matchupUuid=F.concat(F.lit("X"), F.floor(k / 8)), roundText=F.when(k % 3 == 0, "Finals"))
 
 
+#: Stored bytes of orders whose documents a task writes or reads: some 15,000, each of about 2,000 bytes.
+PART_BYTES = 256 << 10
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of orders in as many parts as their documents ask for: a key has few bytes, its document much to reckon, and a file may be one row group."""
+    keys, parts = table(spark, sf_dir, "orders").select("o_orderkey"), stored(spark, f"{sf_dir}/orders.parquet") // PART_BYTES
+    return keys.repartition(parts, "o_orderkey") if parts > 1 else keys
+
+
 def raw_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(body): an order is a match; even keys write camel case and a bare record, odd keys snake case and a list."""
     k = F.col("o_orderkey")
     snake = {records._snake(n): v for n, v in (_fields() | {"eventTitle": _pick(_TITLES, k), "roundText": F.when(k % 3 == 0, " Finals ")}).items()}
     even, odd = F.to_json(F.struct(_packed(_camel()).alias("data"))), F.to_json(F.struct(F.array(_packed(snake)).alias("data")))
-    return table(spark, sf_dir, "orders").select(F.when(k % 2 == 0, even).otherwise(odd).alias("body"))
+    return _orders(spark, sf_dir).select(F.when(k % 2 == 0, even).otherwise(odd).alias("body"))
 
 
 def fixture_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +103,7 @@ def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
 union all select 'm' || k, i, case when dropped is not null then 'drop' else 'flag' end, coalesce(dropped, flagged) from gm where coalesce(dropped, flagged) is not null""")
 def raw_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All that was dropped or flagged, with its reason: matches and games."""
-    good, bad = _matches(spark, sf_dir)
-    whole = bad.select("match_id", F.lit(None).cast("int").alias("game"), F.lit("drop").alias("action"), "reason")
-    return whole.unionByName(records.games_of(good).where("action <> 'keep'").select("match_id", F.col("game_number").alias("game"), "action", "reason"))
+    return records.quarantine_of(records.matches(raw_bodies(spark, sf_dir)))
 
 
 @query(f"with {_RAW} select 'x' || (k // 8) fixture, count(*) n from gm where k % 2 = 0 and dropped is null group by all having count(*) <> 4")

@@ -62,3 +62,13 @@ def test_only_games_where_halves_meet_are_ranked(spark, name, monkeypatch):
     same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLE_SQL[name], SMALL)
     every = 4 * tables.games(spark, SMALL).where("not is_forfeit").count()
     assert 0 < seen[0].count() * 10 < every
+
+
+def test_documents_are_parsed_once_and_in_parts(spark, monkeypatch):
+    from courtside.plans import records
+
+    monkeypatch.setattr(records, "PART_BYTES", 1000)
+    assert plan(spark, "raw_quarantine").count("Relation [") == 1
+    for name in ("raw_quarantine", "raw_games", "fixture_counts", "mixed_same_gender"):
+        assert "RepartitionByExpression [o_orderkey" in plan(spark, name)
+    same(catalog.QUERIES["raw_quarantine"](spark, SMALL), catalog.ORACLE_SQL["raw_quarantine"], SMALL)
