@@ -75,16 +75,16 @@ select user_id, min(ts) "start", max(ts) last, count(*) n, cast(arg_max(b - low,
 def live_days(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
     """Players' days out of a stream in several micro-batches, points taken back in it, each day ended by a timer or the next day; what the watermark has not passed yet is still open.
 
-    The events are dropped as files in the order of time, as a source would, and the stream reads one drop a micro-batch.
+    The events are dropped in the order of time, as a source would, each drop as many files as its size asks for, and the stream goes on from where it
+    stopped with each drop: a drop is a micro-batch.
     """
     days.use_rocksdb(spark)
     e = table(spark, sf_dir, "events").withColumn("step", F.expr(_STEP.format(k="get_json_object(props, '$.k')")))
     e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "step")
     cuts = e.agg(F.percentile_approx(F.col("ts").cast("double"), [k / batches for k in range(1, batches)], 1000).alias("cuts")).first().cuts or []
-    path, at = fresh_path(spark, "drops"), F.col("ts").cast("double")
-    for low, high in zip([None, *cuts], [*cuts, None]):
+    path, to, at = fresh_path(spark, "drops"), fresh_path(spark, "days"), F.col("ts").cast("double")
+    for low, high in zip([None, *cuts], [*cuts, None]):  # where the upper cut is None it is the last drop
         part = e.where((at > low if low is not None else F.lit(True)) & (at <= high if high is not None else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = live.drained(days.days(stream), fresh_path(spark, "days"))
+        part.hint("rebalance").write.mode("append").parquet(path)
+        out = live.drained(days.days(spark.readStream.schema(e.schema).parquet(path)), to, more=high is not None)
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "standing")

@@ -1,12 +1,13 @@
 """Each player's day in a stream: points that can be taken back, and an end when nothing has come for half an hour.
 
-A day's standing points are a list of state, its begin, last row and number of rows a value of state, and its end is a timer of event time; state is
-cleared when the day ends. Where rows of two days come in one micro-batch, the later row ends the earlier day.
+Open days (begin, last row and number of rows) and their standing points are lists of state, for SHARD players each; a timer of event time stands for the
+first end of an open day of theirs, and what has ended leaves the state. Where rows of two days come in one micro-batch, the later row ends the earlier day.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,42 +23,74 @@ def _timer(last_us: int) -> int:
     return -(-(last_us + QUIET) // 1000)
 
 
+#: Players whose days are kept together, by their number divided by it: a call for each player costs more than its few rows.
+SHARD = 64
+
+
 class Days(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         long = lambda *names: StructType([StructField(n, LongType()) for n in names])
         self.handle = handle
-        self.day = handle.getValueState("day", long("start_us", "last_us", "n"))
-        self.points = handle.getListState("points", long("event_id"))
-
-    def _ended(self, key, day: tuple[int, int, int], points: list[int]) -> pd.DataFrame:
-        row = {"user_id": key[0], "start_us": day[0], "last_us": day[1], "n": day[2], "standing": len(points), "newest": points[-1] if points else -1}
-        return pd.DataFrame([row])
+        self.open = handle.getListState("days", long("user_id", "start_us", "last_us", "n"))
+        self.points = handle.getListState("points", long("user_id", "event_id"))
+        self.timer = handle.getValueState("timer", long("at"))
+
+    def _load(self) -> tuple[dict, dict]:
+        days, points = {d[0]: (d[1], d[2], d[3]) for d in self.open.get()}, {}
+        for user, event_id in self.points.get():
+            points.setdefault(user, []).append(event_id)
+        return days, points
+
+    def _save(self, days: dict, points: dict) -> None:
+        standing = [(u, p) for u, own in points.items() for p in own]
+        self.open.put([(u, *d) for u, d in days.items()]) if days else self.open.clear()
+        self.points.put(standing) if standing else self.points.clear()
+        old, new = self.timer.get(), min((_timer(d[1]) for d in days.values()), default=None)
+        if old and old[0] != new:
+            self.handle.deleteTimer(old[0])
+        if new is None:
+            self.timer.clear()
+        elif not old or old[0] != new:
+            self.handle.registerTimer(new)
+            self.timer.update((new,))
+
+    @staticmethod
+    def _row(user, day: tuple[int, int, int], points: list[int] | None) -> tuple:
+        return (user, *day, len(points or ()), points[-1] if points else -1)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("user_id", "start_us", "last_us", "n", "standing", "newest"), zip(*rows))))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["us", "event_id"])  # the key's rows of one micro-batch
-        day = tuple(self.day.get()) if self.day.exists() else None
-        points = [p[0] for p in self.points.get()] if self.points.exists() else []
-        before = day[1] if day else None
-        for event_id, us, step in zip(own["event_id"].tolist(), own["us"].tolist(), own["step"].tolist()):
+        got = list(rows)  # the shard's rows of one micro-batch
+        event_ids, times, steps = (np.concatenate([g[c].to_numpy() for g in got]) for c in ("event_id", "us", "step"))
+        users = np.concatenate([g["user_id"].to_numpy() for g in got]).tolist() if key[0] is not None else [None] * len(times)
+        days, points = self._load()
+        ended = []
+        for i in np.lexsort((event_ids, times)).tolist():
+            user, us, step = users[i], int(times[i]), steps[i]
+            day = days.get(user)
             if day and us - day[1] >= QUIET:
-                yield self._ended(key, day, points)
-                day, points = None, []
-            day = (day[0], us, day[2] + 1) if day else (us, us, 1)
+                ended.append(self._row(user, day, points.pop(user, None)))
+                day = None
+            days[user] = (day[0], us, day[2] + 1) if day else (us, us, 1)
             if step > 0:
-                points.append(event_id)
-            elif step < 0 and points:
-                points.pop()
-        self.day.update(day)
-        self.points.put([(p,) for p in points]) if points else self.points.clear()
-        if before is not None:
-            self.handle.deleteTimer(_timer(before))
-        self.handle.registerTimer(_timer(day[1]))
+                points.setdefault(user, []).append(int(event_ids[i]))
+            elif step < 0 and points.get(user):
+                points[user].pop()
+        self._save(days, points)
+        if ended:
+            yield self._frame(ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.day.exists():
-            yield self._ended(key, tuple(self.day.get()), [p[0] for p in self.points.get()] if self.points.exists() else [])
-            self.day.clear()
-            self.points.clear()
+        days, points = self._load()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = [u for u, d in days.items() if _timer(d[1]) <= now]
+        ended = [self._row(u, days.pop(u), points.pop(u, None)) for u in over]
+        self._save(days, points)
+        if ended:
+            yield self._frame(ended)
 
     def close(self) -> None:
         pass
@@ -65,8 +98,8 @@ class Days(StatefulProcessor):
 
 def days(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """A row for each day of a player that has ended: its begin and last row, its rows, and what stands of its points. events: event_id, ts, user_id, step."""
-    rows = events.withWatermark("ts", delay).select("ts", "user_id", "event_id", "step", F.unix_micros("ts").alias("us"))
-    ended = rows.groupBy("user_id").transformWithStateInPandas(Days(), DAY, "append", "eventtime")
+    rows = events.withWatermark("ts", delay).select("ts", "user_id", "event_id", "step", F.unix_micros("ts").alias("us"), F.floor(F.col("user_id") / SHARD).alias("shard"))
+    ended = rows.groupBy("shard").transformWithStateInPandas(Days(), DAY, "append", "eventtime")
     return ended.select("user_id", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("last_us").alias("last"), "n", "standing", "newest")
 
 

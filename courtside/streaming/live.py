@@ -67,8 +67,9 @@ def first_records(events: DataFrame) -> DataFrame:
     return events.select("event_id", "user_id", "event_type").groupBy("user_id").applyInPandasWithState(emit, "event_id long, user_id long, event_type string", "given boolean", "append", "NoTimeout")
 
 
-def drained(stream: DataFrame, path: str, kind: str = "parquet") -> DataFrame:
-    """All that is there now, through an append-only file sink (parquet, or json: a line a row) in a shared folder, and read back."""
+def drained(stream: DataFrame, path: str, kind: str = "parquet", more: bool = False) -> DataFrame:
+    """All that is there now, through an append-only file sink (parquet, or json: a line a row) in a shared folder, and read back. more: the stream goes on at once, so timers that have run out wait for its next rows and need no micro-batch of their own."""
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not more).lower())
     q = stream.writeStream.format(kind).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).format(kind).load(f"{path}/rows")

@@ -70,3 +70,17 @@ def test_days_over_a_restart(spark, folder, tmp_path):
     want = [(7, 0, 4, 2, 5), (7, 40, 1, 1, 7), (8, 2, 2, 1, 6)]
     assert run() == want
     assert run() == want
+
+
+def test_days_of_a_shard_end_each_by_its_own(spark, folder, tmp_path, monkeypatch):
+    """Players share a state and its timer, not their days: calls go with shards, and all days that are over end in one of them."""
+    days.use_rocksdb(spark)
+    schema = "event_id long, ts timestamp, user_id long, step int"
+    feed = lambda rows: spark.createDataFrame([(i, T0 + datetime.timedelta(minutes=m), u, s) for i, m, u, s in rows], schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda more: sorted((r.user_id, r.n, r.standing, r.newest) for r in live.drained(days.days(spark.readStream.schema(schema).parquet(folder)), f"file://{tmp_path}/out", more=more).collect())
+    feed([(u, u, u, 1) for u in range(20)] + [(100 + u, 20 + u, u, 1) for u in range(0, 20, 2)])
+    assert run(True) == []
+    feed([(200, 58, 3, 0), (201, 40, 100, 1)])
+    assert run(False) == sorted([(u, 1, 1, u) for u in range(1, 20, 2)] + [(u, 2, 2, 100 + u) for u in (0, 2, 4, 6)])
+    plan = days.days(spark.readStream.schema(schema).parquet(folder))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "shard" in plan.split("TransformWithStateInPySpark")[1].split("Project")[1]
