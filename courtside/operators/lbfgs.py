@@ -138,3 +138,44 @@ def minimized(start: DataFrame, loss: Callable[[DataFrame], DataFrame], passes:
     for part in ended:
         out = out.unionByName(part)
     return out.select("fit", "name", (F.col("z") * F.col("scale")).alias("x")), {k: (f.loss, f.passes) for k, f in fits.items()}
+
+
+def minimized_few(start: dict[str, tuple], loss: Callable[[dict[str, np.ndarray]], dict[str, tuple[float, np.ndarray]]], passes: int = 50, until: float = 1e-4) -> tuple[dict[str, np.ndarray], dict[str, tuple[float, int]]]:
+    """minimized() for vectors that are known to be few numbers: they are held here, so a pass is one evaluation and nothing else.
+
+    start: x, scale and ridge by fit. loss gets x by fit (of those that aren't done) and gives loss and gradient. Gives x by fit, and each fit's loss and passes.
+    """
+    fits = {k: _Fit() for k in start}
+    scale, ridge = {k: v[1] for k, v in start.items()}, {k: v[2] for k, v in start.items()}
+    z = {k: v[0] / v[1] for k, v in start.items()}
+    g = {k: np.zeros(len(v)) for k, v in z.items()}
+    past: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in start}
+    base = lambda k: np.array([*(s for s, _ in past[k]), *(y for _, y in past[k]), g[k]])
+    for _ in range(passes):
+        going = [k for k, f in fits.items() if not f.done]
+        if not going:
+            break
+        trial = {k: z[k] + fits[k].step * (np.array(fits[k].coef) @ base(k)) if fits[k].coef else z[k] for k in going}
+        got = loss({k: t * scale[k] for k, t in trial.items()})
+        for k in going:
+            fit, x = fits[k], trial[k] * scale[k]
+            value, slope = got.get(k, (0.0, np.zeros(len(x))))
+            value, slope = value + float((ridge[k] * x * x).sum()) / 2, (slope + ridge[k] * x) * scale[k]
+            fit.passes += 1
+            first = not fit.coef
+            if not (first or (np.isfinite(value) and value <= fit.loss + ENOUGH * fit.step * fit.slope)):
+                fit.step *= SHORTER
+                fit.done = fit.step < 1e-8
+                continue
+            s, y = trial[k] - z[k], slope - g[k]
+            if not first and s @ y > 1e-10 * (y @ y):
+                past[k] = [*past[k], (s, y)][-MEMORY:]
+            z[k], g[k] = trial[k], slope
+            gain, fit.loss, fit.pairs = fit.loss - value, value, len(past[k])
+            products = base(k) @ base(k).T
+            norm = np.sqrt(products[-1, -1])
+            coef = _direction(products, fit.pairs)
+            fit.coef, fit.slope = coef.tolist(), float(coef @ products[:, -1])
+            fit.step = 1.0 if fit.pairs else float(min(1.0, 1 / max(norm, 1e-300)))
+            fit.done = bool(norm <= until * max(1.0, np.sqrt(z[k] @ z[k])) or (not first and gain <= TOO_LITTLE * abs(value)) or fit.slope >= 0)
+    return {k: z[k] * scale[k] for k in start}, {k: (f.loss, f.passes) for k, f in fits.items()}

@@ -102,6 +102,38 @@ def test_refits_equal_dense_minima(spark):
             assert np.abs(eta(own) - eta(best)).max() < 5e-3, fit
 
 
+def test_refits_are_the_same_by_blocks_and_by_joins(spark, monkeypatch):
+    """Few values are handed to blocks of observations, many are a table joined to the rows: the same steps, the same values."""
+    obs = refits.observations(games(spark, SMALL).where("not is_forfeit and match_id % 10 = 0"))
+    monkeypatch.setattr(refits, "BLOCK", 100)  # several blocks a fit and task
+    blocks = refits.blocks_of(obs)
+    seen = {}
+    for r in blocks.select("fit", F.explode("names").alias("name")).distinct().collect():
+        seen.setdefault(r.fit, {refits.GAMMA, refits.LOG_SPREAD}).add(r.name)
+    names, rng = {k: np.array(sorted(v)) for k, v in seen.items()}, np.random.default_rng(5)
+    x = {k: rng.normal(scale=0.3, size=len(v)) for k, v in names.items()}
+    got = refits._block_loss(blocks, names)(x)
+    at = spark.createDataFrame([(k, int(n), float(v)) for k in names for n, v in zip(names[k], x[k])], "fit string, name long, x double")
+    want = {(r.fit, r.name): (r.f, r.g) for r in refits._loss(obs)(at).collect()}
+    for fit in refits.REFITS:
+        k = fit.name
+        used = [i for i, n in enumerate(names[k]) if n >= 0 or (n == refits.GAMMA and fit.structure == "gamma") or (n == refits.LOG_SPREAD and fit.level == "margin")]
+        assert got[k][0] == pytest.approx(sum(want[k, n][0] for n in names[k]), rel=1e-9)
+        assert [got[k][1][i] for i in used] == pytest.approx([want[k, names[k][i]][1] for i in used], rel=1e-8, abs=1e-9)
+    # the same steps from there, but for structures with a kink, where ties are told apart by the order of sums
+    few = refits.refitted(obs, passes=3)[1]
+    monkeypatch.setattr(refits, "FEW_VALUES", 0)
+    many = refits.refitted(obs, passes=3)[1]
+    for fit in refits.REFITS:
+        if fit.structure != "gamma":
+            assert few[fit.name] == (pytest.approx(many[fit.name][0], rel=1e-9), many[fit.name][1])
+
+
+def test_observations_are_moved_once_for_all_fits(spark):
+    plan = refits.observations(games(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate inline" in plan  # fits are told apart after the sums, not before
+
+
 def test_rosenbrock_and_quadratics(spark):
     """Several fits at once, one of them curved, of different sizes."""
     names = [("bent", k, -1.2 if k == 0 else 1.0, 1.0, 0.0) for k in range(2)] + [("flat", k, 3.0, 1.0, 0.5) for k in range(5)]
