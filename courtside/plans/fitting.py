@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from courtside.registry import query
-from courtside.functions.probability import logit, normal_cdf, race_win, sigmoid
+from courtside.functions.probability import logit, normal_cdf, race_win, race_win_known, sigmoid
 from courtside.operators import effects, refits, simplex
 from courtside.operators.fits import keyed_newton
 from courtside.operators.resampling import resampled_sums
@@ -25,10 +25,11 @@ def map_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def refit_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each refit of the games before a day forecasts those from it on, where all four players have values; matches and games by a logit, points by the race, margins by the normal."""
-    g = written(games(spark, sf_dir).where("not is_forfeit"), "games")
+    g = written(games(spark, sf_dir).where("not is_forfeit").select("match_id", "game_no", "date", *refits.SIDES, "s1", "s2", "target", "margin"), "games")
     values, _ = refits.refitted(refits.observations(g.where(F.col("date") < SPLIT)))
     later = refits.forecast(g.where(F.col("date") >= SPLIT), written(values, "values"))
-    p = F.when(F.col("level") == "points", race_win(sigmoid(F.col("eta")), F.col("target"))).when(F.col("level") == "margin", normal_cdf(F.col("eta") / F.exp("log_spread"))).otherwise(sigmoid(F.col("eta")))
+    later = later.withColumn("rally", sigmoid(F.col("eta")))
+    p = F.when(F.col("level") == "points", race_win_known(F.col("rally"), F.col("target"))).when(F.col("level") == "margin", normal_cdf(F.col("eta") / F.exp("log_spread"))).otherwise(sigmoid(F.col("eta")))
     f = later.select("fit", p.alias("p"), (F.col("margin") > 0).cast("int").alias("y"))
     return f.groupBy("fit").agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
 

@@ -134,6 +134,14 @@ def test_observations_are_moved_once_for_all_fits(spark):
     assert "Aggregate" not in plan and "Generate inline" in plan  # fits are told apart after the sums, not before
 
 
+def test_races_of_known_targets(spark):
+    from courtside.functions.probability import race_win, race_win_known
+
+    rows = spark.createDataFrame([(p / 20, t) for p in range(21) for t in (11, 15, 21)], "p double, t int")
+    for r in rows.select(race_win(F.col("p"), F.col("t")).alias("a"), race_win_known(F.col("p"), F.col("t")).alias("b")).collect():
+        assert r.a == pytest.approx(r.b, rel=1e-10)
+
+
 def test_rosenbrock_and_quadratics(spark):
     """Several fits at once, one of them curved, of different sizes."""
     names = [("bent", k, -1.2 if k == 0 else 1.0, 1.0, 0.0) for k in range(2)] + [("flat", k, 3.0, 1.0, 0.5) for k in range(5)]
