@@ -36,6 +36,8 @@ from courtside.operators.graph import connected_components
 from .common import BROADCAST_IDS, discard, numbered, without_ids, written
 
 SHINGLE = 5
+#: Of lower-cased texts that have words.
+WORDED = r"[\p{L}\p{N}]"
 #: Chance that a pair of similarity 0.8 shares no band: (1 - 0.8^6)^32 = 6e-5.
 ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
@@ -45,6 +47,8 @@ WIDE = 2048
 CHUNK, TURNS = 256, 4
 #: Shingles and texts that are hashed at once.
 _PART, _TEXTS, _WIDE_TEXTS = 200_000, 2000, 512
+#: Arrivals of several turns that are made at once.
+_ARRIVALS = 100_000
 
 
 def least_alike(bits: int, least: float) -> int:
@@ -81,19 +85,39 @@ def shingles(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
-    """(n, registers): in each register the shingle that arrived first."""
+    """(n, registers): in each register the shingle that arrived first.
+
+    Texts are looked at for whether all their shingles are late after every eighth part of the turns so far, and the turns in between are
+    made at once: arrivals that are too late change nothing, and short texts take many turns.
+    """
     arrival, owner = np.full(n * registers, np.inf), np.zeros(n * registers, np.uint64)
+    latest = np.empty(n)
     t, turn = np.zeros(len(text)), 0
     while len(text):
-        turn += 1
-        draw = _mix(shingle + np.uint64((turn * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF))
-        t = t - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
+        turns = max(1, min(turn // 8, _ARRIVALS // len(text)))
+        salts = np.arange(turn + 1, turn + turns + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+        turn += turns
+        draw = _mix(shingle + salts[:, None])
+        wait = np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
+        wait /= weight
+        wait[0] = t - wait[0]
+        for k in range(1, turns):
+            wait[k] = wait[k - 1] - wait[k]
+        t = wait[-1]
         register = text * registers + (_mix(draw) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(arrival, register, t)
-        first = t == arrival[register]
-        owner[register[first]] = shingle[first]
-        go_on = t < arrival.reshape(n, registers).max(1)[text]
-        text, shingle, weight, t = text[go_on], shingle[go_on], weight[go_on], t[go_on]
+        if turns > 1 or turn > 1:  # most come too late for their registers
+            at = np.flatnonzero((wait < arrival[register]).ravel())
+            register, early = register.ravel()[at], wait.ravel()[at]
+        else:
+            at, register, early = np.arange(len(text)), register.ravel(), wait.ravel()
+        np.minimum.at(arrival, register, early)
+        first = early == arrival[register]
+        owner[register[first]] = shingle[at[first] % len(text)]
+        there = np.flatnonzero(np.bincount(text, minlength=n))
+        latest[there] = arrival.reshape(n, registers)[there].max(1)
+        go_on = np.flatnonzero(t < latest[text])
+        if len(go_on) < len(text):
+            text, shingle, weight, t = text[go_on], shingle[go_on], weight[go_on], t[go_on]
     return owner.reshape(n, registers)
 
 
@@ -119,9 +143,11 @@ def probability_jaccard(a: dict[int, int] | tuple, b: dict[int, int] | tuple) ->
 
 def _keyed(docs: DataFrame, *columns) -> DataFrame:
     """The columns, raw (a hash of the text as it is), text_key (equal for equal words) and the words as hashes, of rows that have words."""
-    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
-    docs = docs.select(*columns, F.xxhash64("text").alias("raw"), words.alias("words")).where(F.size("words") > 0)
-    return docs.select(*columns, "raw", F.unhex(F.md5(F.array_join("words", " "))).alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    lower = F.lower("text")
+    docs = docs.where(lower.rlike(WORDED)).select(*columns, F.xxhash64("text").alias("raw"), F.array_remove(F.split(lower, r"[^\p{L}\p{N}]+"), "").alias("words"))
+    # the key is never null, so that no join on it cuts all texts into words once more to leave out nulls
+    key = F.coalesce(F.unhex(F.md5(F.array_join("words", " "))), F.lit(b""))
+    return docs.select(*columns, "raw", key.alias("text_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
 def _parts(lists: pa.ListArray, most: int, rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -359,7 +385,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def _classed(docs: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", "text_key").join(found, "text_key").select("doc_id", "class_id")
     # texts without words have classes of their own
-    bare = docs.where(~F.coalesce(F.lower("text").rlike(r"[\p{L}\p{N}]"), F.lit(False)))
+    bare = docs.where(~F.coalesce(F.lower("text").rlike(WORDED), F.lit(False)))
     return rows.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id")))
 
 

@@ -1,11 +1,48 @@
-"""What the operators must not spend: large batches."""
+"""What the operators must not spend: turns over short texts, words cut twice, large batches."""
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
+from courtside.llm import near_dedup
 from courtside.llm.common import BATCH_ROWS
 from pyspark.sql import functions as F
 
 
+def _one_by_one(shingle, weight, registers):
+    """The registers of one text: all arrivals of each shingle, one after another, until far more than enough came."""
+    first, owner = np.full(registers, np.inf), np.zeros(registers, np.uint64)
+    for s, w in zip(shingle, weight):
+        t = 0.0
+        for turn in range(1, 60 * registers):
+            draw = near_dedup._mix(np.array([s + np.uint64(turn * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)]))
+            t -= np.log(((draw[0] >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / w
+            r = int(near_dedup._mix(draw)[0] % np.uint64(registers))
+            if t < first[r]:
+                first[r], owner[r] = t, s
+    return owner
+
+
+def test_short_texts_take_few_turns(monkeypatch):
+    rng = np.random.default_rng(2)
+    sizes = [1, 3, 9]
+    text = np.repeat(np.arange(3), sizes)
+    shingle, weight = rng.integers(1, 2**63, len(text)).astype(np.uint64), rng.integers(1, 4, len(text))
+    with np.errstate(over="ignore"):
+        want = [_one_by_one(shingle[text == k], weight[text == k], 24) for k in range(3)]
+    assert (near_dedup.signatures(text, shingle, weight, 3, 24) == np.array(want)).all()
+    calls, mix = [], near_dedup._mix
+    monkeypatch.setattr(near_dedup, "_mix", lambda x: calls.append(1) or mix(x))
+    near_dedup.signatures(text[:1], shingle[:1], weight[:1], 1, 2048)  # over 10,000 arrivals of one shingle
+    assert len(calls) < 500
+
+
+def test_words_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    other = spark.createDataFrame([(1, bytearray(b"x"))], "n long, text_key binary")
+    plan = near_dedup._keyed(docs, "id").join(F.broadcast(other), "text_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_pipeline_hands_on_small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
