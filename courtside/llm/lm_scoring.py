@@ -18,9 +18,11 @@ the uniform model, an empty table no rows. Other columns are ignored.
 """
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,8 @@ SAMPLE, SAMPLE_IDS = 1000, 512
 PART, LANES = 1 << 15, 512
 FREQUENT = 1_000_000
 END, VOCAB = 1, 49_408
+#: Of a score: in single precision the next ones depend on a text's place in its batch.
+DECIMALS = 4
 #: Characters whose words a task holds at once; words it counts before it hands them on.
 CHARS, HELD_WORDS = 2_000_000, 200_000
 
@@ -58,17 +62,18 @@ def windows(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
 
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b for a b of two axes, in one call."""
-    return (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[-1])
+@functools.cache
+def _keep_memory() -> None:
+    """A step frees some 15 MB of arrays and the next one takes as much. The C library hands freed memory back to the system where it is more than twice
+    the largest block that was freed before (of 32 MB at most), and new pages come zeroed; once such a block was freed, a worker keeps what it has."""
+    np.empty(31 << 20, np.uint8)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """In place; the weights keep z far below what would overflow."""
-    np.minimum(z, 80, out=z)
-    np.exp(z, out=z)
-    z /= z @ np.ones((z.shape[1], 1), z.dtype)
-    return z
+def _exp(z: np.ndarray, most: float) -> np.ndarray:
+    """exp(z) in place, of z up to 80; most: no z is above it, so that z is looked through only where the weights let it be larger."""
+    if not most <= 80:
+        np.minimum(z, 80, out=z)
+    return np.exp(z, out=z)
 
 
 class Attention:
@@ -79,25 +84,31 @@ class Attention:
         normal = lambda *s: rng.normal(0, 0.25, s).astype("f4")
         self.leaf_of, self.share = leaf_of.astype(np.int16), share
         self.w = {"e": normal(LEAVES + 1, D), "p": normal(WIDTH, D), "qkv": normal(D, 3 * D), "o": normal(D, D), "x": normal(D, D), "b": np.zeros(D, "f4"), "c1": normal(D, BRANCH), "b1": np.zeros(BRANCH, "f4"), "c2": normal(BRANCH, D, BRANCH), "b2": np.zeros((BRANCH, BRANCH), "f4")}
-        self.mask = np.where(np.tril(np.ones((WIDTH, WIDTH), bool)), 0, -1e9).astype("f4")
+        #: Largest weights of attention before exp: far beyond what these weights give, so nothing overflows; none for what comes later.
+        self.mask = np.where(np.tril(np.ones((WIDTH, WIDTH), bool)), 60, -1e9).astype("f4")
 
     def _hidden(self, x: np.ndarray):
+        """What the layers hold: e, the projection, (q, k, v, 1) side by side, weights of attention times their sum, 1 over that sum, m, and the hidden values with a 1 after them."""
         w = self.w
         e = w["e"].take(x, 0)
         e += w["p"]
-        qkv = _times(e, w["qkv"])
-        q, k, v = qkv[..., :D], qkv[..., D : 2 * D], qkv[..., 2 * D :]
-        a = q @ k.transpose(0, 2, 1)
-        a *= a.dtype.type(D**-0.5)
-        np.minimum(a, 60, out=a)  # far beyond what these weights give; no overflow
-        a += self.mask
+        project = np.concatenate([w["qkv"][:, :D] * e.dtype.type(D**-0.5), w["qkv"][:, D:]], 1)
+        qkv = np.empty((*x.shape, 3 * D + 1), e.dtype)
+        qkv[..., -1] = 1
+        np.matmul(e.reshape(-1, D), project, out=qkv.reshape(-1, 3 * D + 1)[:, :-1])
+        a = qkv[..., :D] @ qkv[..., D : 2 * D].transpose(0, 2, 1)
+        np.minimum(a, self.mask.astype(a.dtype, copy=False), out=a)
         np.exp(a, out=a)
-        a /= a @ np.ones((WIDTH, 1), a.dtype)
-        m = a @ v
-        h = _times(m, w["o"])
-        h += _times(e, w["x"])
-        h += w["b"]
-        return e, q, k, v, a, m, np.tanh(h, out=h)
+        m = (a @ qkv[..., 2 * D :]).reshape(-1, D + 1)  # its last column: the sums of a
+        over = 1 / m[:, D:]
+        m = m[:, :D] * over
+        # a column more, whose tanh is 1
+        wide = np.zeros((2 * D, D + 1), e.dtype)
+        wide[:D, :D], wide[D:, :D] = w["o"], w["x"]
+        h = m @ wide[:D]
+        h += e.reshape(-1, D) @ wide[D:]
+        h += np.append(w["b"], e.dtype.type(20))
+        return e.reshape(-1, D), project, qkv, a, over, m, np.tanh(h, out=h)
 
     def _by_group(self, y: np.ndarray):
         """(places of y that are not -1, sorted by their leaf's group; those leaves' groups and members; where groups begin)."""
@@ -108,86 +119,120 @@ class Attention:
         group = group[order]
         return at[order], group, leaf[order] & BRANCH - 1, np.searchsorted(group, np.arange(BRANCH + 1)).tolist()
 
+    def _softmaxes(self, own: np.ndarray, cuts: list[int]):
+        """The exponentials of both levels and their sums; own: hidden values and a 1, by group."""
+        w = self.w
+        one, two = np.concatenate([w["c1"], w["b1"][None]]), np.concatenate([w["c2"], w["b2"][:, None]], 1)
+        first = _exp(own @ one, np.abs(one).sum(0).max())  # hidden values are between -1 and 1
+        second = np.empty_like(first)
+        for g in range(BRANCH):
+            if cuts[g + 1] > cuts[g]:
+                np.matmul(own[cuts[g] : cuts[g + 1]], two[g], out=second[cuts[g] : cuts[g + 1]])
+        _exp(second, np.abs(two).sum(1).max())
+        ones = np.ones(BRANCH, first.dtype)
+        return first, first @ ones, second, second @ ones
+
     def leaf_logs(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of target leaves, and their places. x: (windows, WIDTH) of leaves before; y: leaves, -1 where none is scored."""
         at, group, member, cuts = self._by_group(y)
-        h = self._hidden(x)[-1].reshape(-1, D)[at]
-        row = np.arange(len(h))
-        out = _softmax(h @ self.w["c1"] + self.w["b1"])[row, group]
-        for g in range(BRANCH):
-            a, b = cuts[g], cuts[g + 1]
-            if b > a:
-                out[a:b] *= _softmax(h[a:b] @ self.w["c2"][g] + self.w["b2"][g])[row[: b - a], member[a:b]]
-        return np.log(out), at
+        first, sum1, second, sum2 = self._softmaxes(self._hidden(x)[-1].take(at, 0), cuts)
+        row = np.arange(len(at))
+        return np.log(first[row, group] / sum1 * (second[row, member] / sum2)), at
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all places (y: -1 is left out) and its gradient."""
+        """Mean loss over all places (y: -1 is left out) and its gradient.
+
+        Softmaxes stay undivided: what is D wide is divided by their sums rather than what is BRANCH or WIDTH wide.
+        """
         w = self.w
-        e, q, k, v, a, m, h = self._hidden(x)
+        e, project, qkv, a, over, m, h = self._hidden(x)
         at, group, member, cuts = self._by_group(y)
         n, row = max(1, len(at)), np.arange(len(at))
-        own = h.reshape(-1, D)[at]
-        one = _softmax(own @ w["c1"] + w["b1"])
-        chance = one[row, group]
-        one[row, group] -= 1
-        one /= one.dtype.type(n)
-        g = {"c1": own.T @ one, "b1": one.sum(0), "c2": np.zeros_like(w["c2"]), "b2": np.zeros_like(w["b2"])}
-        back = one @ w["c1"].T
+        own = h.take(at, 0)
+        first, sum1, second, sum2 = self._softmaxes(own, cuts)
+        own1, own2 = first[row, group], second[row, member]
+        loss = -float(np.log(own1 / sum1 * (own2 / sum2)).sum()) / n
+        first[row, group] = own1 - sum1
+        second[row, member] = own2 - sum2
+        part1, part2 = (1 / (sum1 * sum1.dtype.type(n)))[:, None], (1 / (sum2 * sum2.dtype.type(n)))[:, None]
+        g1, g2 = (own * part1).T @ first, np.zeros((BRANCH, D + 1, BRANCH), first.dtype)
+        scaled, back, c2 = own * part2, np.empty((len(at), D), first.dtype), w["c2"].transpose(0, 2, 1)
         for branch in range(BRANCH):
             i, j = cuts[branch], cuts[branch + 1]
             if j > i:
-                two = _softmax(own[i:j] @ w["c2"][branch] + w["b2"][branch])
-                chance[i:j] *= two[row[: j - i], member[i:j]]
-                two[row[: j - i], member[i:j]] -= 1
-                two /= two.dtype.type(n)
-                g["c2"][branch], g["b2"][branch] = own[i:j].T @ two, two.sum(0)
-                back[i:j] += two @ w["c2"][branch].T
-        loss = -float(np.log(chance).sum()) / n
-        own *= own
-        back *= 1 - own
+                np.matmul(scaled[i:j].T, second[i:j], out=g2[branch])
+                np.matmul(second[i:j], c2[branch], out=back[i:j])
+        g = {"c1": g1[:D], "b1": g1[D], "c2": g2[:, :D], "b2": g2[:, D]}
+        back *= part2
+        back += (first @ w["c1"].T) * part1
+        own = own[:, :D]
+        back *= 1 - own * own
         dh = np.zeros((x.size, D), h.dtype)
         dh[at] = back
-        e, m = e.reshape(-1, D), m.reshape(-1, D)
         g["o"], g["x"], g["b"] = m.T @ dh, e.T @ dh, back.sum(0)
-        de, dm = dh @ w["x"].T, (dh @ w["o"].T).reshape(h.shape)
-        ds = dm @ v.transpose(0, 2, 1)
-        ds -= (a * ds) @ np.ones((WIDTH, 1), a.dtype)
+        dm = np.empty((x.size, D + 1), h.dtype)
+        np.multiply(dh @ w["o"].T, over, out=dm[:, :D])
+        np.negative(np.einsum("ij,ij->i", dm[:, :D], m), out=dm[:, D])
+        dm = dm.reshape(*x.shape, D + 1)
+        ds = dm @ qkv[..., 2 * D :].transpose(0, 2, 1)
         ds *= a
-        ds *= a.dtype.type(D**-0.5)
-        dqkv = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dm], 2).reshape(-1, 3 * D)
+        dqkv = np.empty((*x.shape, 3 * D), h.dtype)
+        np.matmul(ds, qkv[..., D : 2 * D], out=dqkv[..., :D])
+        np.matmul(ds.transpose(0, 2, 1), qkv[..., :D], out=dqkv[..., D : 2 * D])
+        np.matmul(a.transpose(0, 2, 1), dm[..., :D], out=dqkv[..., 2 * D :])
+        dqkv = dqkv.reshape(-1, 3 * D)
         g["qkv"] = e.T @ dqkv
-        de += dqkv @ w["qkv"].T
-        g["p"] = de.reshape(h.shape).sum(0)
+        g["qkv"][:, :D] *= h.dtype.type(D**-0.5)
+        de = dh @ w["x"].T
+        de += dqkv @ project.T
+        g["p"] = de.reshape(len(x), -1).sum(0).reshape(WIDTH, D)
         flat = x.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         flat = flat[order]
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         g["e"] = np.zeros_like(w["e"])
-        g["e"][flat[first]] = np.add.reduceat(de[order], first, axis=0)
+        g["e"][flat[first]] = np.add.reduceat(de.take(order, 0), first, axis=0)
         return loss, g
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, rate: float, lanes: int = 64, seed: int = 5) -> "Attention":
-        rng, m, v = np.random.default_rng(seed), {}, {}
+        _keep_memory()
+        rng = np.random.default_rng(seed)
         order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-steps * lanes // len(x)))]) if len(x) else []
+        flat = self.flat()
+        self._lay(flat)
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
         for step in range(1, steps + 1 if len(x) else 1):
             pick = order[(step - 1) * lanes : step * lanes]
             _, grad = self.gradient(x[pick], y[pick])
+            g = np.concatenate([grad[k].ravel() for k in sorted(grad)])
             now = rate * (1.05 - step / (steps + 1))
-            for key, g in grad.items():
-                m[key] = 0.9 * m.get(key, 0) + 0.1 * g
-                v[key] = 0.98 * v.get(key, 0) + 0.02 * g * g
-                self.w[key] = (self.w[key] - now * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.98**step)) + 1e-8)).astype(self.w[key].dtype)
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            g *= 0.02
+            v *= 0.98
+            v += g
+            np.multiply(v, 1 / (1 - 0.98**step), out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= now / (1 - 0.9**step)
+            flat -= g
         return self
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
-
-    def take(self, flat: np.ndarray) -> "Attention":
+    def _lay(self, flat: np.ndarray) -> None:
+        """From now on the weights are views of flat."""
         at = 0
         for k in sorted(self.w):
             n = self.w[k].size
-            self.w[k] = flat[at : at + n].reshape(self.w[k].shape).astype("f4")
+            self.w[k] = flat[at : at + n].reshape(self.w[k].shape)
             at += n
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
+
+    def take(self, flat: np.ndarray) -> "Attention":
+        self._lay(flat.astype("f4"))
         return self
 
     def windows_of(self, ids: np.ndarray, sizes: np.ndarray, overlap: int = CONTEXT):
@@ -227,6 +272,7 @@ class Attention:
 
     def scores(self, ids: np.ndarray, sizes: np.ndarray, lanes: int = 1024) -> np.ndarray:
         """log10 probability of each text."""
+        _keep_memory()
         out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.share[ids], len(sizes))
         for first, last, i, j in self._in_parts(sizes, CONTEXT):
             x, y, text = self.windows_of(ids[i:j], sizes[first:last])
@@ -391,13 +437,6 @@ def fit(texts: DataFrame) -> Attention:
     return net.take(flat)
 
 
-class _Known(dict):
-    """Counts of frequent words; -1 for all others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def scores(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark, scratch = docs.sparkSession, []
@@ -410,27 +449,34 @@ def scores(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     frequent = counts.where(F.col("c") >= train_tokens / FREQUENT).where(F.length("word") <= 64)
     known = spark.sparkContext.broadcast({bytes(r.word): r.c for r in frequent.toLocalIterator()})
     hold = spark.sparkContext.broadcast(fit(texts.where("not held").select("row", "ids")))
-    log_c = lambda c: np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
+    log_c = lambda c: np.log10(np.maximum(c + 0.5, 0.5) / (train_tokens + 0.5 * (distinct + 1)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Known(known.value)
+        count = known.value.get
         for batch in batches:
             for part in _slices(batch, CHARS):
-                n, n_known, base, rare, ends = [], [], [], [], [0]
-                for t in part.column("text").to_pylist():
-                    words = tokens(t)
-                    words.append(b"")
-                    c = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
-                    there = c >= 0
-                    n.append(len(words))
-                    n_known.append(int(there.sum()))
-                    base.append(float(log_c(c[there]).sum()))
-                    if n_known[-1] < n[-1]:
-                        rare += Counter([words[i] for i in np.flatnonzero(~there).tolist()]).items()
+                words = [[*tokens(t), b""] for t in part.column("text").to_pylist()]
+                n = np.fromiter(map(len, words), np.int64, len(words))
+                first = np.cumsum(n) - n
+                c = np.fromiter(map(count, chain.from_iterable(words), repeat(-1)), np.int64, n.sum())
+                there = c >= 0
+                base = np.add.reduceat(np.where(there, log_c(c), 0), first) if len(n) else np.empty(0)
+                n_known = np.add.reduceat(there, first, dtype=np.int64) if len(n) else n
+                at = np.flatnonzero(~there)
+                rare, times, ends = [], [], [0]
+                for own, places in zip(words, np.split(at, np.searchsorted(at, first[1:]))):
+                    if len(places):
+                        own = [own[i] for i in (places - first[len(ends) - 1]).tolist()]
+                        if len(set(own)) < len(own):
+                            own = Counter(own)
+                            times += own.values()
+                        else:
+                            times += repeat(1, len(own))
+                        rare += own
                     ends.append(len(rare))
-                pairs = pa.StructArray.from_arrays([pa.array([w for w, _ in rare], pa.binary()), pa.array([k for _, k in rare], pa.int32())], ["word", "times"])
+                pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], ["word", "times"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held"), pa.array(n), pa.array(n_known), pa.array(base, pa.float64()), pa.array(hold.value.scores(*_ids(part))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                    [part.column("row"), part.column("doc_id"), part.column("held"), pa.array(n), pa.array(n_known), pa.array(base, pa.float64()), pa.array(np.round(hold.value.scores(*_ids(part)), DECIMALS)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
                     [c.split()[0] for c in ("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare")])
 
     done = written(texts.select("row", "doc_id", "held", "text", "ids").mapInArrow(scored, SCORED), "lm-scores", compression="zstd")

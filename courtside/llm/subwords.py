@@ -58,31 +58,41 @@ class Subwords:
         for token, i in ranks.items():
             self._ends[i] = token.endswith(b" ")
         self._pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self._odd = regex.compile(r"[^\x21-\x7e\xa1-ɏ]|<\|")
+        self._odd = regex.compile(r"[^\x20-\x7e\xa1-ɏ]|<\|")  # words have no space
         self._known: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> None:
-        lines, plain = [], []
-        for w in words:
-            plain_ascii = w.isascii() and w.isprintable()
-            if plain_ascii and w.isalpha():
-                plain.append((w, 1))
-                lines.append(w.lower())
-                continue
-            if "<|" in w if plain_ascii else self._odd.search(w):
-                self._known[w] = self._by_library(w)
-                continue
-            low = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).lower()
-            pieces = [low] if low.isalpha() else self._pieces.findall(low)
-            plain.append((w, len(pieces)))
-            lines += pieces
-        if not plain:
+        if not words:
             return
+        together = " ".join(words)
+        if self._odd.search(together):
+            plain = []
+            for w in words:
+                if self._odd.search(w):
+                    self._known[w] = self._by_library(w)
+                else:
+                    plain.append(w)
+            words, together = plain, " ".join(plain)
+            if not words:
+                return
+        # none of these characters changes what is before or after it, so the words are lower-cased in one go
+        low = (together if together.isascii() else unicodedata.normalize("NFC", together)).lower().split(" ")
+        lines, pieces = low, np.ones(len(low), np.int64)
+        cut = [i for i, letters in enumerate(map(str.isalpha, low)) if not letters]
+        if cut:
+            parts = []
+            for i in cut:
+                w = low[i]
+                # letters and one character more are two pieces, which needs no pattern
+                parts.append([w[:-1], w[-1]] if w[:-1].isalpha() else self._pieces.findall(w))
+                low[i] = " ".join(parts[-1])
+            pieces[cut] = list(map(len, parts))
+            lines = [x for x in low if x] if not pieces[cut].all() else low
         ids = np.array(self._bpe.encode_ordinary(" ".join(lines) + " " if lines else ""), np.uint16)
         ends = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
-        cuts = (2 * ends[np.concatenate([[0], np.cumsum([n for _, n in plain])])]).tolist()
+        cuts = (2 * ends[np.concatenate([[0], np.cumsum(pieces)])]).tolist()
         raw = ids.tobytes()
-        self._known.update((w, raw[a:b]) for (w, _), a, b in zip(plain, cuts, cuts[1:]))
+        self._known.update(zip(words, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def _by_library(self, word: str) -> bytes:
         if self._slow is None:
@@ -94,7 +104,7 @@ class Subwords:
     def _ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         known = self._known
-        new = {w for w in words if w not in known}
+        new = set(words).difference(known)
         if new:
             if len(known) + len(new) > REMEMBERED:
                 self._known = known = {"": b""}

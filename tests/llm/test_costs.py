@@ -1,9 +1,13 @@
-"""What the operators must not spend: turns over short texts, words cut twice, large batches."""
+"""What the operators must not spend: turns over short texts, words cut twice, large batches, new memory in every step."""
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from courtside.llm import near_dedup
+from courtside.llm import lm_scoring, near_dedup
 from courtside.llm.common import BATCH_ROWS
 from pyspark.sql import functions as F
 
@@ -53,3 +57,33 @@ def test_pipeline_hands_on_small_batches(spark):
         assert rows.agg(F.max("id")).first()[0] <= BATCH_ROWS
     finally:
         spark.conf.set(key, before)
+
+
+def test_training_takes_no_new_memory():
+    """Steps of op8's training, and its scores, use the memory that the steps before had."""
+    code = """
+import resource
+import numpy as np
+from courtside.llm import lm_scoring as lm
+net = lm.Attention(np.arange(lm.VOCAB) % lm.LEAVES, np.zeros(lm.VOCAB))
+ids, sizes = np.random.default_rng(1).integers(2, 40_000, 200_000).astype(np.uint16), np.full(400, 500)
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for f in (lambda: net.learn(ids, sizes, 0.01, 1), lambda: net.scores(ids, sizes)):
+    f()
+    before = faults()
+    f()
+    print(faults() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"OMP_NUM_THREADS": "1"}, check=True).stdout
+    assert max(map(int, out.split())) < 200, out
+
+
+def test_large_weights_do_not_overflow():
+    net = lm_scoring.Attention(*lm_scoring.tree(np.arange(lm_scoring.VOCAB)[::-1].astype(float), np.arange(50)))
+    net.w["b1"] += 100  # beyond what exp can take in single precision
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, lm_scoring.LEAVES, (6, lm_scoring.WIDTH)).astype(np.int16)
+    x = np.concatenate([np.full((6, 1), lm_scoring.LEAVES, np.int16), y[:, :-1]], 1)
+    logs, at = net.leaf_logs(x, y)
+    loss, gradient = net.gradient(x, y)
+    assert np.isfinite(logs).all() and np.isfinite(loss) and all(np.isfinite(g).all() for g in gradient.values()) and sorted(at) == list(range(y.size))
