@@ -167,6 +167,21 @@ def test_blocks_are_read_and_handed_on_a_few_at_once(spark, monkeypatch):
     assert 0 < most.value <= refits.GROUP and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_holdout_refits_read_blocks_a_few_at_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(blocks, names):
+        raise Seen([file.metadata.row_group(i).num_rows for file in map(pq.ParquetFile, (f.removeprefix("file://") for f in blocks.inputFiles())) for i in range(file.metadata.num_row_groups)])
+
+    monkeypatch.setattr(refits, "GROUP", 2)
+    monkeypatch.setattr(refits, "_block_loss", stop)
+    with pytest.raises(Seen) as seen:
+        fitting.refit_holdout(spark, SMALL)
+    groups = seen.value.args[0]
+    assert sum(groups) >= len(refits.REFITS) and max(groups) <= 2
+
+
 def test_observations_are_moved_once_for_all_fits(spark):
     plan = refits.observations(games(spark, SMALL))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate inline" in plan  # fits are told apart after the sums, not before
