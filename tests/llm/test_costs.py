@@ -59,6 +59,22 @@ def test_pipeline_hands_on_small_batches(spark):
         spark.conf.set(key, before)
 
 
+def test_pipeline_reads_small_batches(spark, tmp_path):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(k) for k in keys]
+    spark.range(0, 5000, 1, 1).write.parquet(f"file://{tmp_path}/rows")
+    try:
+        corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame([], "doc_id long, text string"), "")
+        plan = spark.read.parquet(f"file://{tmp_path}/rows")._jdf.queryExecution().executedPlan()
+        while plan.children().nonEmpty():
+            plan = plan.children().head()
+        batches = plan.executeColumnar().count()
+        assert batches >= 5000 / BATCH_ROWS
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
 def test_training_takes_no_new_memory():
     """Steps of op8's training, and its scores, use the memory that the steps before had."""
     code = """
